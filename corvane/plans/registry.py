@@ -2,10 +2,439 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from corvane.operators import expand, metrics, records, solve, votes
+from corvane.sources import graphs
+from corvane.streaming import packets
+
+#: Lines of orders as experiment records, for the record operators.
+RECORDS = """SELECT l_returnflag AS dataset, l_linestatus AS method, CASE WHEN l_linenumber > 1 THEN l_linenumber END AS seed, l_orderkey AS query_node,
+  CASE WHEN l_orderkey % 2 = 0 THEN 'val' ELSE 'test' END AS split, l_partkey % 7 AS label, CASE WHEN l_suppkey % 11 > 0 THEN l_suppkey % 7 END AS predicted,
+  l_extendedprice AS metric, l_discount > 0.05 AS capped, CAST(l_quantity AS BIGINT) AS size, l_partkey AS ord FROM lineitem"""
+_Q: dict = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def add(f):
+        _Q[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _graph(name: str) -> str:
+    e, n = graphs.VIEWS[name]
+    return f"WITH RECURSIVE edges AS ({e}), nodes AS ({n}), members AS (SELECT source AS query, source AS node FROM edges UNION SELECT source, target FROM edges)"
+
+
+def _balls(spark, d, name="part"):
+    """Edges, nodes and the closed one-hop ball of every source."""
+    edges, nodes = graphs.graph_view(spark, d, name)
+    queries = edges.select(F.col("source").alias("query")).distinct()
+    return edges, nodes, expand.bfs_ball(expand.revealed(edges), queries, 1)
+
+
+def _nation_queries(spark, d):
+    edges, nodes = graphs.graph_view(spark, d, "nation")
+    return edges, nodes, nodes.select(F.col("node_id").alias("query"))
+
+
+def _records(spark, d) -> DataFrame:
+    graphs.tables(spark, d, "lineitem")
+    return spark.sql(RECORDS)
+
+
+_COUNTS = """, marked AS (SELECT m.query, m2.node IS NOT NULL AS inner_ FROM edges e JOIN members m ON e.source = m.node LEFT JOIN members m2 ON m2.query = m.query AND m2.node = e.target),
+counts AS (SELECT query, CAST(sum(CASE WHEN inner_ THEN 1 ELSE 0 END) AS BIGINT) AS num_edges, CAST(sum(CASE WHEN inner_ THEN 0 ELSE 1 END) AS BIGINT) AS boundary_edges FROM marked GROUP BY query),
+sizes AS (SELECT query, count(*) AS num_nodes FROM members GROUP BY query),
+base AS (SELECT query, num_nodes, coalesce(num_edges, 0) AS num_edges, coalesce(boundary_edges, 0) AS boundary_edges FROM sizes LEFT JOIN counts USING (query))"""
+
+
+@_query(f"{graphs.PART_EDGES}")
+def graph_edges(spark, d):
+    return graphs.graph_view(spark, d, "part")[0]
+
+
+@_query(f"WITH e AS ({graphs.PART_EDGES}) SELECT DISTINCT node_id FROM (SELECT source AS node_id FROM e UNION ALL SELECT target FROM e) x")
+def scan_edges_first_two_cols(spark, d):
+    return graphs.first_two_columns(graphs.graph_view(spark, d, "part")[0])[1]
+
+
+@_query(f"WITH n AS ({graphs.PART_NODES}) SELECT node_id, label, CASE WHEN train THEN 'train' WHEN val THEN 'val' WHEN test THEN 'test' ELSE 'unlabeled' END AS split FROM n")
+def scan_nodes(spark, d):
+    nodes = graphs.graph_view(spark, d, "part")[1]
+    return nodes.select("node_id", "label", F.when(F.col("train"), "train").when(F.col("val"), "val").when(F.col("test"), "test").otherwise("unlabeled").alias("split"))
+
+
+@_query(f"{_graph('part')} SELECT m.n AS node_id, coalesce(label, 0) AS label FROM (SELECT unnest(range(0, (SELECT max(greatest(source, target)) FROM edges) + 1)) AS n) m LEFT JOIN nodes ON node_id = n WHERE n <= (SELECT greatest((SELECT max(greatest(source, target)) FROM edges), (SELECT max(node_id) FROM nodes)))"
+        f" UNION SELECT node_id, label FROM nodes")
+def scan_existing_export(spark, d):
+    return graphs.existing_export(*graphs.graph_view(spark, d, "part"))
+
+
+@_query(f"{_graph('part')} SELECT node, count(*) AS degree, count(DISTINCT neighbour) AS distinct_degree FROM (SELECT source AS node, target AS neighbour FROM edges UNION ALL SELECT target, source FROM edges) x GROUP BY node")
+def scan_sim_adjacency(spark, d):
+    both = expand.undirected(graphs.graph_view(spark, d, "part")[0], distinct=False)
+    return both.groupBy("node").agg(F.count("*").alias("degree"), F.countDistinct("neighbour").alias("distinct_degree"))
+
+
+@_query(f"""{_graph('part')}, ins AS (SELECT target AS node, source AS neighbour, row_number() OVER (PARTITION BY target ORDER BY source) AS r FROM edges)
+SELECT node, neighbour FROM ins WHERE r <= 2 UNION ALL SELECT source, target FROM edges""")
+def oracle_query(spark, d):
+    return expand.revealed(graphs.graph_view(spark, d, "part")[0], 2)
+
+
+@_query(f"{_graph('part')}{_COUNTS} SELECT query, num_nodes, num_edges, boundary_edges, CASE WHEN num_nodes < 2 THEN 0.0 ELSE CAST(num_edges AS DOUBLE) / (num_nodes * (num_nodes - 1)) END AS pair_density, CAST(num_edges AS DOUBLE) / num_nodes AS avg_degree, num_edges - CAST(0.25 AS DOUBLE) * (num_nodes * (num_nodes - 1)) AS parametric_obj FROM base")
+def ball_density(spark, d):
+    edges, _, members = _balls(spark, d)
+    return metrics.density_columns(metrics.edge_counts(edges, members))
+
+
+@_query(f"{_graph('part')} SELECT m.query, e.source, e.target FROM edges e JOIN members m ON e.source = m.node JOIN members m2 ON m2.query = m.query AND m2.node = e.target")
+def induced_edges(spark, d):
+    edges, _, members = _balls(spark, d)
+    return expand.induced_edges(edges, members)
+
+
+@_query(f"{_graph('nation')} SELECT m.query, e.source, e.target FROM edges e JOIN members m ON e.source = m.node WHERE NOT EXISTS (SELECT 1 FROM members m2 WHERE m2.query = m.query AND m2.node = e.target)")
+def boundary_edges(spark, d):
+    edges, _, members = _balls(spark, d, "nation")
+    return expand.boundary_edges(edges, members)
+
+
+_REACH = """, walk AS (SELECT node_id AS query, node_id AS node, 0 AS distance FROM nodes UNION SELECT query, target, distance + 1 FROM walk JOIN edges ON source = node WHERE distance < 25),
+dist AS (SELECT query, node, min(distance) AS distance FROM walk GROUP BY query, node)"""
+
+
+@_query(f"{_graph('nation')}{_REACH} SELECT query, node, distance FROM dist")
+def bfs_distances(spark, d):
+    edges, _, queries = _nation_queries(spark, d)
+    return expand.bfs_distances(expand.revealed(edges), queries)
+
+
+@_query(f"{_graph('nation')}{_REACH} SELECT query, node FROM dist WHERE distance <= 2")
+def bfs_ball(spark, d):
+    edges, _, queries = _nation_queries(spark, d)
+    return expand.bfs_ball(expand.revealed(edges), queries, 2)
+
+
+@_query(f"{_graph('nation')}{_REACH} SELECT query, count(*) AS reached FROM dist GROUP BY query")
+def out_reachable(spark, d):
+    edges, _, queries = _nation_queries(spark, d)
+    return expand.bfs_ball(expand.revealed(edges), queries, -1).groupBy("query").agg(F.count("*").alias("reached"))
+
+
+@_query(f"""{_graph('nation')}, walk AS (SELECT node_id AS query, node_id AS node, 0 AS distance FROM nodes UNION SELECT query, target, distance + 1 FROM walk JOIN edges ON source = node JOIN nodes n ON n.node_id = target WHERE distance < 10 AND NOT n.val)
+SELECT query, node, min(distance) AS distance FROM walk GROUP BY query, node""")
+def bfs_distance_forbidden(spark, d):
+    edges, nodes, queries = _nation_queries(spark, d)
+    return expand.bfs_distances(expand.revealed(edges), queries, 10, nodes.where("val").select(F.col("node_id").alias("node")))
+
+
+@_query(f"{_graph('nation')}{_REACH} SELECT query, node, distance, row_number() OVER (PARTITION BY query ORDER BY distance, node) - 1 AS ordinal FROM dist WHERE distance <= 2")
+def discovery_ordinal(spark, d):
+    edges, _, queries = _nation_queries(spark, d)
+    return expand.discovery_ordinals(expand.revealed(edges), queries, 2).withColumn("ordinal", F.col("ordinal").cast("long"))
+
+
+@_query(f"{_graph('part')} SELECT DISTINCT least(source, target) AS u, greatest(source, target) AS v FROM edges WHERE source <> target")
+def support_link(spark, d):
+    return expand.support_links(graphs.graph_view(spark, d, "part")[0])
+
+
+@_query(f"{_graph('part')} SELECT DISTINCT source AS query FROM edges WHERE source NOT IN (SELECT target FROM edges)")
+def pure_sources(spark, d):
+    return expand.pure_sources(graphs.graph_view(spark, d, "part")[0])
+
+
+@_query(f"{_graph('part')} SELECT e.source, e.target FROM edges e JOIN edges r ON e.source = r.target AND e.target = r.source")
+def reciprocal_pairs(spark, d):
+    return expand.reciprocal_edges(graphs.graph_view(spark, d, "part")[0])
+
+
+_LINKS = ", links AS (SELECT DISTINCT least(source, target) AS u, greatest(source, target) AS v FROM edges WHERE source <> target)"
+
+
+@_query(f"{_graph('nation')}{_LINKS}, t AS (SELECT ab.u AS a, ab.v AS b, bc.v AS c FROM links ab JOIN links bc ON ab.v = bc.u JOIN links ac ON ac.u = ab.u AND ac.v = bc.v) SELECT a AS node FROM t UNION SELECT b FROM t UNION SELECT c FROM t")
+def triangle_through_q(spark, d):
+    return expand.in_triangle(graphs.graph_view(spark, d, "nation")[0])
+
+
+_REGION = "SELECT CAST(n_regionkey AS BIGINT) AS query, CAST(n_nationkey AS BIGINT) AS node FROM nation"
+
+
+@_query(f"""WITH RECURSIVE edges AS ({graphs.NATION_EDGES}), members AS ({_REGION}),
+inner_ AS (SELECT m.query, e.source, e.target FROM edges e JOIN members m ON e.source = m.node JOIN members m2 ON m2.query = m.query AND m2.node = e.target),
+both_ AS (SELECT query, source AS a, target AS b FROM inner_ UNION SELECT query, target, source FROM inner_),
+walk AS (SELECT query, node, node AS r FROM members UNION SELECT w.query, w.node, b.b FROM walk w JOIN both_ b ON b.query = w.query AND b.a = w.r)
+SELECT query, node, min(r) AS component FROM walk GROUP BY query, node""")
+def weak_components(spark, d):
+    edges, _, _ = _nation_queries(spark, d)
+    return expand.weak_components(edges, spark.sql(_REGION))
+
+
+@_query(f"""WITH RECURSIVE edges AS ({graphs.NATION_EDGES}), members AS ({_REGION}){_COUNTS},
+inner_ AS (SELECT m.query, e.source, e.target FROM edges e JOIN members m ON e.source = m.node JOIN members m2 ON m2.query = m.query AND m2.node = e.target),
+both_ AS (SELECT query, source AS a, target AS b FROM inner_ UNION SELECT query, target, source FROM inner_),
+walk AS (SELECT query, node, node AS r FROM members UNION SELECT w.query, w.node, b.b FROM walk w JOIN both_ b ON b.query = w.query AND b.a = w.r),
+comp AS (SELECT query, node, min(r) AS c FROM walk GROUP BY query, node), csize AS (SELECT query, c, count(*) AS k FROM comp GROUP BY query, c),
+parts AS (SELECT query, count(*) AS weak_components, max(k) AS largest_component FROM csize GROUP BY query),
+mutual AS (SELECT i.query, count(*) AS mutual FROM inner_ i JOIN inner_ r ON r.query = i.query AND r.source = i.target AND r.target = i.source GROUP BY i.query)
+SELECT query, num_nodes, num_edges, boundary_edges, num_edges + boundary_edges AS out_volume, weak_components, largest_component, CAST(num_edges AS DOUBLE) / num_nodes AS avg_internal_degree, CAST(2 * num_edges AS DOUBLE) / num_nodes AS total_degree,
+  coalesce(CAST(num_edges AS DOUBLE) / nullif(num_nodes * (num_nodes - 1), 0), 0.0) AS density, coalesce(CAST(boundary_edges AS DOUBLE) / nullif(num_edges + boundary_edges, 0), 0.0) AS conductance, CAST(boundary_edges AS DOUBLE) / num_nodes AS expansion,
+  CAST(largest_component AS DOUBLE) / num_nodes AS wcc_ratio, coalesce(CAST(coalesce(mutual, 0) AS DOUBLE) / nullif(num_edges, 0), 0.0) AS reciprocity
+FROM base JOIN parts USING (query) LEFT JOIN mutual USING (query)""")
+def subgraph_qualities(spark, d):
+    edges, _, _ = _nation_queries(spark, d)
+    return metrics.subgraph_qualities(edges, spark.sql(_REGION))
+
+
+@_query(f"""{_graph('nation')}{_LINKS}, ends AS (SELECT u AS a, v AS b FROM links UNION ALL SELECT v, u FROM links),
+m AS (SELECT m.query, m2.node IS NOT NULL AS i FROM ends JOIN members m ON a = m.node LEFT JOIN members m2 ON m2.query = m.query AND m2.node = b),
+c AS (SELECT query, CAST(sum(CASE WHEN i THEN 1 ELSE 0 END) AS BIGINT) AS twice, CAST(sum(CASE WHEN i THEN 0 ELSE 1 END) AS BIGINT) AS cut, count(*) AS volume FROM m GROUP BY query), s AS (SELECT query, count(*) AS size FROM members GROUP BY query), t AS (SELECT 2 * count(*) AS total FROM links)
+SELECT query, size, twice // 2 AS internal_links, cut AS boundary_links, CAST(cut AS DOUBLE) / nullif(least(volume, total - volume), 0) AS conductance, CAST(cut AS DOUBLE) / nullif(cut + 2 * (twice // 2), 0) AS mixing, CAST(cut AS DOUBLE) / size AS expansion FROM s JOIN c USING (query), t""")
+def subgraph_quality_undirected(spark, d):
+    edges, _, members = _balls(spark, d, "nation")
+    return metrics.undirected_qualities(edges, members)
+
+
+@_query(f"""{_graph('nation')}, ends AS (SELECT source AS a, target AS b FROM edges UNION ALL SELECT target, source FROM edges),
+m AS (SELECT m.query, m2.node IS NOT NULL AS i FROM ends JOIN members m ON a = m.node LEFT JOIN members m2 ON m2.query = m.query AND m2.node = b),
+c AS (SELECT query, CAST(sum(CASE WHEN i THEN 0 ELSE 1 END) AS BIGINT) AS cut, count(*) AS volume FROM m GROUP BY query), t AS (SELECT 2 * count(*) AS total FROM edges)
+SELECT query, cut, volume, coalesce(CAST(cut AS DOUBLE) / nullif(least(volume, total - volume), 0), 0.0) AS conductance FROM c, t""")
+def sim_qualities(spark, d):
+    edges, _, members = _balls(spark, d, "nation")
+    return metrics.list_qualities(edges, members)
+
+
+@_query(f"""{_graph('part')}, inner_ AS (SELECT m.query, a.label AS a, b.label AS b FROM edges e JOIN members m ON e.source = m.node JOIN members m2 ON m2.query = m.query AND m2.node = e.target JOIN nodes a ON a.node_id = e.source JOIN nodes b ON b.node_id = e.target),
+same AS (SELECT query, count(*) AS n_e, sum(CASE WHEN a = b THEN 1 ELSE 0 END) AS n_same FROM inner_ GROUP BY query), v AS (SELECT query, label, count(*) AS c FROM members JOIN nodes ON node_id = node AND train WHERE node <> query GROUP BY query, label),
+t AS (SELECT query, sum(c) AS n_train FROM v GROUP BY query), s AS (SELECT v.query, n_train, round(-sum(CAST(c AS DOUBLE) / n_train * log2(CAST(c AS DOUBLE) / n_train)), 9) + 0.0 AS entropy, sum(CASE WHEN v.label = o.label THEN c ELSE 0 END) AS n_own FROM v JOIN t ON t.query = v.query JOIN nodes o ON o.node_id = v.query GROUP BY v.query, n_train),
+z AS (SELECT query, count(*) AS size FROM members GROUP BY query)
+SELECT query, size, CASE WHEN size <= 5 THEN 'small' WHEN size <= 20 THEN 'medium' ELSE 'large' END AS size_bucket, CAST(n_same AS DOUBLE) / n_e AS same_label_ratio, entropy, CAST(n_own AS DOUBLE) / n_train AS own_share, CAST(coalesce(n_train, 0) AS BIGINT) AS n_train FROM z LEFT JOIN same USING (query) LEFT JOIN s USING (query)""")
+def per_class_breakdown(spark, d):
+    edges, nodes, members = _balls(spark, d)
+    return metrics.per_class(edges, members, nodes)
+
+
+@_query(f"""{_graph('nation')}, a AS (SELECT query, node FROM members), b AS (SELECT a.node_id AS query, b.node_id AS node FROM nodes a JOIN nodes b ON a.label = b.label),
+j AS (SELECT coalesce(a.query, b.query) AS query, CAST(sum(CASE WHEN a.node IS NOT NULL AND b.node IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS tp, CAST(sum(CASE WHEN b.node IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS fp, CAST(sum(CASE WHEN a.node IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS fn FROM a FULL JOIN b ON a.query = b.query AND a.node = b.node GROUP BY 1)
+SELECT query, tp, fp, fn, coalesce(CAST(tp AS DOUBLE) / nullif(tp + fp, 0), 0.0) AS precision, coalesce(CAST(tp AS DOUBLE) / nullif(tp + fn, 0), 0.0) AS recall, coalesce(CAST(2 * tp AS DOUBLE) / nullif(2 * tp + fp + fn, 0), 0.0) AS f1, coalesce(CAST(tp AS DOUBLE) / nullif(tp + fp + fn, 0), 0.0) AS jaccard FROM j""")
+def overlap_metrics(spark, d):
+    _, nodes, members = _balls(spark, d, "nation")
+    own = nodes.select(F.col("node_id").alias("query"), "label").join(nodes.select(F.col("node_id").alias("node"), "label"), "label").select("query", "node")
+    return metrics.overlap(members, own)
+
+
+_VOTE = "SELECT query, label AS predicted FROM (SELECT query, label, row_number() OVER (PARTITION BY query ORDER BY {score} DESC, label) AS r FROM {votes} GROUP BY query, label) x WHERE r = 1"
+
+
+@_query(f"{_graph('part')}, v AS (SELECT query, label FROM members JOIN nodes ON node_id = node AND train WHERE node <> query) {_VOTE.format(score='count(*)', votes='v')}")
+def label_vote(spark, d):
+    _, nodes, members = _balls(spark, d)
+    return votes.label_vote(votes.train_members(members, nodes))
+
+
+@_query(f"""{_graph('nation')}{_REACH}, v AS (SELECT query, label, 2520 // distance AS w FROM dist JOIN nodes ON node_id = node AND train WHERE distance > 0) {_VOTE.format(score='sum(w)', votes='v')}""")
+def distance_vote(spark, d):
+    edges, nodes, queries = _nation_queries(spark, d)
+    dist = expand.bfs_distances(expand.revealed(edges), queries)
+    return votes.distance_vote(votes.train_members(dist.select("query", "node"), nodes), dist)
+
+
+@_query(f"""{_graph('nation')}{_REACH}, v AS (SELECT query, label, distance FROM dist JOIN nodes ON node_id = node AND train WHERE distance > 0), f AS (SELECT query, min(distance) AS m FROM v GROUP BY query),
+near AS (SELECT v.query, label FROM v JOIN f ON f.query = v.query AND distance = m), got AS ({_VOTE.format(score='count(*)', votes='near')}), g AS (SELECT label FROM nodes WHERE train GROUP BY label ORDER BY count(*) DESC, label LIMIT 1)
+SELECT node_id AS query, coalesce(predicted, (SELECT label FROM g)) AS predicted FROM nodes LEFT JOIN got ON query = node_id""")
+def fallback_vote(spark, d):
+    edges, nodes, queries = _nation_queries(spark, d)
+    return votes.fallback_vote(expand.bfs_distances(expand.revealed(edges), queries), nodes)
+
+
+@_query(f"WITH nodes AS ({graphs.PART_NODES}) SELECT label AS majority FROM nodes WHERE train GROUP BY label ORDER BY count(*) DESC, label LIMIT 1")
+def global_majority(spark, d):
+    return votes.global_majority(graphs.graph_view(spark, d, "part")[1])
+
+
+@_query(f"{_graph('part')}, v AS (SELECT source AS query, label FROM edges JOIN nodes ON node_id = target AND train), p AS ({_VOTE.format(score='count(*)', votes='v')}) SELECT query, label, predicted FROM p JOIN nodes ON node_id = query WHERE predicted <> label")
+def hard_subset(spark, d):
+    return votes.hard_subset(*graphs.graph_view(spark, d, "part"))
+
+
+@_query(f"WITH n AS ({graphs.PART_NODES}) SELECT label, count(*) AS members, sha256(string_agg(CAST(node_id AS VARCHAR), chr(10) ORDER BY node_id)) AS digest FROM n GROUP BY label")
+def set_hashes(spark, d):
+    nodes = graphs.graph_view(spark, d, "part")[1]
+    return nodes.groupBy("label").agg(F.count("*").alias("members"), F.substring(records.set_hash(F.collect_list("node_id")), 8, 64).alias("digest"))
+
+
+@_query(f"WITH n AS ({graphs.PART_NODES}) SELECT label, count(*) AS c, row_number() OVER (ORDER BY count(*) DESC, label) AS place FROM n GROUP BY label")
+def class_stats(spark, d):
+    counts = graphs.graph_view(spark, d, "part")[1].groupBy("label").agg(F.count("*").alias("c"))
+    return counts.withColumn("place", F.row_number().over(Window.orderBy(F.desc("c"), "label")).cast("long"))
+
+
+@_query(f"{_graph('part')}, deg AS (SELECT node, count(*) AS degree FROM (SELECT source AS node FROM edges UNION ALL SELECT target FROM edges) x GROUP BY node) SELECT node AS query, degree FROM deg ORDER BY degree DESC, node DESC LIMIT 1")
+def max_degree_query(spark, d):
+    both = expand.undirected(graphs.graph_view(spark, d, "part")[0], distinct=False)
+    return both.groupBy("node").agg(F.count("*").alias("degree")).agg(F.max_by("node", F.struct("degree", "node")).alias("query"), F.max("degree").alias("degree"))
+
+
+_R = f"WITH r AS ({RECORDS})"
+
+
+@_query(f"""{_R} SELECT dataset, method, seed, count(*) AS n_rows, count(DISTINCT query_node) AS n_queries, round(avg(metric), 4) AS metric_mean, round(CASE WHEN count(metric) = 1 THEN 0.0 ELSE stddev_samp(metric) END, 4) AS metric_std, round(quantile_cont(metric, 0.5), 4) AS metric_median,
+round(quantile_cont(metric, 0.25), 4) AS metric_q1, round(quantile_cont(metric, 0.75), 4) AS metric_q3, min(metric) AS metric_min, max(metric) AS metric_max, count(metric) AS metric_n FROM r GROUP BY dataset, method, seed""")
+def summarise_cells(spark, d):
+    return records.summarise_cells(_records(spark, d), ["dataset", "method", "seed"], ["metric"])
+
+
+@_query(f"{_R} SELECT dataset, method, split, CAST(sum(CASE WHEN capped THEN 1 ELSE 0 END) AS BIGINT) AS capped_count, CAST(sum(CASE WHEN capped THEN 1 ELSE 0 END) AS DOUBLE) / count(capped) AS capped_rate FROM r GROUP BY dataset, method, split")
+def flag_rates(spark, d):
+    return records.flag_rates(_records(spark, d), ["dataset", "method", "split"], ["capped"])
+
+
+@_query(f"{_R}, c AS (SELECT dataset, method, predicted, count(*) AS c FROM r WHERE predicted IS NOT NULL GROUP BY dataset, method, predicted) SELECT dataset, method, string_agg(predicted || ':' || c, ',' ORDER BY CAST(predicted AS VARCHAR)) AS counts FROM c GROUP BY dataset, method")
+def category_counts(spark, d):
+    return records.category_counts(_records(spark, d), ["dataset", "method"], "predicted")
+
+
+@_query(f"{_R} SELECT dataset, method, query_node, round(quantile_cont(metric, 0.5), 4) AS metric, bool_or(capped) AS capped, arg_min(size, {{'a': coalesce(seed, -1), 'b': size}}) AS size, count(*) AS n_rows FROM r GROUP BY dataset, method, query_node")
+def collapse_seeds(spark, d):
+    return records.collapse_seeds(_records(spark, d), ["dataset", "method", "query_node"], "metric", "capped", "size")
+
+
+_PRF = """, x AS (SELECT {k}, label AS l, 1 AS nt, 0 AS np, CASE WHEN label = coalesce(predicted, -1) THEN 1 ELSE 0 END AS tp FROM r UNION ALL SELECT {k}, coalesce(predicted, -1), 0, 1, 0 FROM r),
+per AS (SELECT {k}, l, sum(nt) AS nt, sum(np) AS np, sum(tp) AS tp FROM x GROUP BY {k}, l),
+prf AS (SELECT {k}, round(avg(CASE WHEN np > 0 THEN CAST(tp AS DOUBLE) / np ELSE 0.0 END), 9) AS precision, round(avg(CASE WHEN nt > 0 THEN CAST(tp AS DOUBLE) / nt ELSE 0.0 END), 9) AS recall, round(avg(CASE WHEN nt + np > 0 THEN CAST(2 * tp AS DOUBLE) / (nt + np) ELSE 0.0 END), 9) AS f1,
+CAST(sum(tp) AS DOUBLE) / sum(nt) AS accuracy, CAST(sum(nt) AS BIGINT) AS n FROM per GROUP BY {k})"""
+
+
+@_query(f"{_R}{_PRF.format(k='dataset, method, seed')} SELECT * FROM prf")
+def macro_prf(spark, d):
+    return records.macro_prf(_records(spark, d), ["dataset", "method", "seed"])
+
+
+@_query(f"{_R}{_PRF.format(k='dataset, method, seed')} SELECT * EXCLUDE rk FROM (SELECT *, row_number() OVER (PARTITION BY dataset, method ORDER BY f1 DESC, precision DESC, recall DESC, seed ASC NULLS FIRST) AS rk FROM prf) x WHERE rk = 1")
+def best_by_val_f1(spark, d):
+    return records.best_by_val(records.macro_prf(_records(spark, d), ["dataset", "method", "seed"]), ["dataset", "method"], "seed")
+
+
+@_query(f"{_R}, k AS (SELECT count(*) AS n FROM (SELECT DISTINCT dataset FROM r) y) SELECT query_node FROM r GROUP BY query_node HAVING count(DISTINCT dataset) = (SELECT n FROM k)")
+def query_intersection(spark, d):
+    return records.common_queries(_records(spark, d), ["dataset"])
+
+
+@_query(f"""{_R}, b AS (SELECT query_node, min(metric) AS base FROM r WHERE method = 'F' GROUP BY query_node), x AS (SELECT metric - base AS delta FROM r JOIN b USING (query_node) WHERE method = 'O')
+SELECT count(*) AS n, round(quantile_cont(delta, 0.5), 4) AS median, round(quantile_cont(delta, 0.25), 4) AS q1, round(quantile_cont(delta, 0.75), 4) AS q3 FROM x""")
+def paired_join(spark, d):
+    r = _records(spark, d)
+    deltas = records.paired_deltas(r.where("method = 'O'"), r.where("method = 'F'"), "metric")
+    q = F.percentile("delta", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    return deltas.agg(F.count("*").alias("n"), F.round(q[1], 4).alias("median"), F.round(q[0], 4).alias("q1"), F.round(q[2], 4).alias("q3"))
+
+
+@_query(f"{_R} SELECT dataset, query_node, metric, size FROM (SELECT *, row_number() OVER (PARTITION BY dataset, query_node ORDER BY metric, size, ord) AS rk FROM r) x WHERE rk = 1")
+def first_per_query(spark, d):
+    first = records.dedup(_records(spark, d), ["dataset", "query_node"], [F.asc("metric"), F.asc("size"), F.asc("ord")])
+    return first.select("dataset", "query_node", "metric", "size")
+
+
+@_query(f"""{_R}, done AS (SELECT dataset, seed, query_node, metric FROM (SELECT *, row_number() OVER (PARTITION BY dataset, seed, query_node ORDER BY metric, ord) AS rk FROM r WHERE split = 'val' AND NOT capped) x WHERE rk = 1),
+todo AS (SELECT DISTINCT dataset, seed, query_node FROM r WHERE split = 'val') SELECT count(d.metric) AS reused, count(*) - count(d.metric) AS to_do FROM todo t LEFT JOIN done d ON t.dataset = d.dataset AND t.seed IS NOT DISTINCT FROM d.seed AND t.query_node = d.query_node""")
+def solver_resume_join(spark, d):
+    r = _records(spark, d).where("split = 'val'")
+    keys = ["dataset", "seed", "query_node"]
+    hit, left = records.resume_join(r.select(*keys).distinct(), r.where("NOT capped").select(*keys, "metric", "ord"), keys, [F.asc("metric"), F.asc("ord")])
+    return hit.agg(F.count("*").alias("reused")).crossJoin(left.agg(F.count("*").alias("to_do")))  # one row each
+
+
+@_query(f"{_R} SELECT dataset, CASE WHEN size <= 5 THEN 'small' WHEN size <= 20 THEN 'medium' ELSE 'large' END AS size_bucket, count(*) AS n FROM r GROUP BY 1, 2")
+def size_buckets(spark, d):
+    return _records(spark, d).groupBy("dataset", records.size_bucket(F.col("size")).alias("size_bucket")).agg(F.count("*").alias("n"))
+
+
+@_query(f"""{_R}, c AS (SELECT dataset, CAST(sum(CASE WHEN capped THEN 1 ELSE 0 END) AS DOUBLE) AS s, count(*) AS n FROM r GROUP BY dataset)
+SELECT dataset, round(greatest(((s / n) + 3.841458820694124 / (2 * n)) / (1 + 3.841458820694124 / n) - 1.959963984540054 * sqrt((s / n) * (1 - s / n) / n + 3.841458820694124 / (4.0 * n * n)) / (1 + 3.841458820694124 / n), 0.0), 9) AS lo,
+round(least(((s / n) + 3.841458820694124 / (2 * n)) / (1 + 3.841458820694124 / n) + 1.959963984540054 * sqrt((s / n) * (1 - s / n) / n + 3.841458820694124 / (4.0 * n * n)) / (1 + 3.841458820694124 / n), 1.0), 9) AS hi FROM c""")
+def wilson_interval(spark, d):
+    c = _records(spark, d).groupBy("dataset").agg(F.sum(F.col("capped").cast("double")).alias("s"), F.count("*").cast("double").alias("n"))
+    lo, hi = records.wilson_interval(F.col("s"), F.col("n"))
+    return c.select("dataset", F.round(lo, 9).alias("lo"), F.round(hi, 9).alias("hi"))
+
+
+@_query("SELECT k, kappa FROM (VALUES (3), (4), (5)) a(k), (VALUES (0), (1), (2)) b(kappa)")
+def param_grid(spark, d):
+    return records.param_grid(spark, k=[3, 4, 5], kappa=[0, 1, 2]).select(F.col("k").cast("int").alias("k"), F.col("kappa").cast("int").alias("kappa"))
+
+
+@_query(f"{_R} SELECT query_node, ord, metric, max(metric) OVER (PARTITION BY query_node ORDER BY ord, metric, size ROWS UNBOUNDED PRECEDING) AS best FROM r")
+def incumbent_running_best(spark, d):
+    w = Window.partitionBy("query_node").orderBy("ord", "metric", "size").rowsBetween(Window.unboundedPreceding, 0)
+    return _records(spark, d).select("query_node", "ord", "metric", F.max("metric").over(w).alias("best"))
+
+
+@_query("SELECT url_, regexp_replace(url_, '^.*/', '') AS id FROM (SELECT DISTINCT url AS url_ FROM pages) x")
+def extract_id(spark, d):
+    pages = spark.read.parquet(f"{d}/pages.parquet").select(F.col("url").alias("url_")).distinct()
+    return pages.select("url_", F.substring_index("url_", "/", -1).alias("id"))
+
+
+_LINES = """SELECT event_id AS seq, CAST(user_id AS VARCHAR) AS session, CASE WHEN event_type IN ('purchase', 'signup') THEN 'JSON_INCUMBENT:{"bb_node": ' || event_id || ', "density": ' || CAST(event_id % 97 AS VARCHAR) || '.5, "size": ' || user_id || '}' ELSE 'iteration ' || event_type || ' error' END AS value FROM events"""
+
+
+def _lines(spark, d):
+    graphs.tables(spark, d, "events")
+    return spark.sql(_LINES.replace("VARCHAR", "STRING"))
+
+
+@_query(f"WITH l AS ({_LINES}) SELECT CASE WHEN starts_with(value, 'JSON_INCUMBENT:') THEN 'incumbent' ELSE 'log' END AS type, count(*) AS n FROM l GROUP BY 1")
+def packet_stream(spark, d):
+    return packets.packets(_lines(spark, d)).groupBy("type").agg(F.count("*").alias("n"))
+
+
+@_query(f"""WITH l AS ({_LINES}), p AS (SELECT session, seq, CAST(json_extract(substr(value, 16), '$.bb_node') AS BIGINT) AS b, CAST(json_extract(substr(value, 16), '$.density') AS DOUBLE) AS d, CAST(json_extract(substr(value, 16), '$.size') AS BIGINT) AS s FROM l WHERE starts_with(value, 'JSON_INCUMBENT:'))
+SELECT session, max(b) AS bb_nodes, arg_max(d, seq) AS density, arg_max(s, seq) AS size, count(*) AS incumbents FROM p GROUP BY session""")
+def incumbent_fold(spark, d):
+    return packets.fold_incumbents(packets.packets(_lines(spark, d)))
+
+
+@_query(f"WITH l AS ({_LINES}) SELECT CASE WHEN starts_with(value, 'JSON') THEN 'incumbent' ELSE 'error' END AS class, count(*) AS n FROM l GROUP BY 1")
+def classify_line(spark, d):
+    return _lines(spark, d).groupBy(packets.classify_line(F.col("value")).alias("class")).agg(F.count("*").alias("n"))
+
+
+# Kernels: no SQL; tests hold them against enumeration.
+@_query()
+def dense_community(spark, d):
+    edges, _, queries = _nation_queries(spark, d)
+    return solve.dense_communities(solve.reveal(edges, queries)).select("query", "k", "kappa", "density", "size")
+
+
+@_query()
+def avgdeg_anchored(spark, d):
+    edges, _, queries = _nation_queries(spark, d)
+    return solve.average_degree_communities(solve.reveal(edges, queries)).select("query", "avg_degree")
+
+
+@_query()
+def grow_to_k(spark, d):
+    edges, _, queries = _nation_queries(spark, d)
+    return solve.grown_communities(solve.reveal(edges, queries, 1))
+
+
+@_query()
+def cut_qualities(spark, d):
+    edges, _, queries = _nation_queries(spark, d)
+    return solve.cut_qualities(solve.reveal(edges, queries))
+
 
 def queries() -> dict:
-    return {}
+    return dict(_Q)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
