@@ -23,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import materialise
+
 #: Words that are units, or numbers written out.
 UNITS = (
     "kg g mg lb lbs oz t km m cm mm mi mile miles yd ft in inch inches l ml s sec secs second seconds min mins minute minutes h hr hrs hour hours day days week weeks month months year years "
@@ -50,17 +52,23 @@ def _kind(w: Column, names: bool) -> Column:
     return kind.when(w.rlike(r"^\p{Lu}\p{Ll}"), F.lit("<name>")) if names else kind
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``, computed once: a column named inside a lambda may be put there as its whole expression, for each element."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def _windows(df: DataFrame, ids: list[str], width: int) -> DataFrame:
     """``ids, at, hash, slots`` of the windows of ``width`` of ``words`` that begin at ``starts``, by either kind of template."""
-    cut = F.transform("starts", lambda at: F.struct(at.alias("at"), F.slice("words", at, width).alias("words")))
+    cut = _let(F.struct("starts", "words"), lambda s: F.transform(s.starts, lambda at: F.struct(at.alias("at"), F.slice(s.words, at, width).alias("words"))))
     at = df.select(*ids, F.explode(cut).alias("cut")).select(*ids, "cut.at", "cut.words").where(F.size("words") == width)
     kinds = F.array(F.struct(F.lit(0).alias("v"), F.transform("words", lambda w: _kind(w, False)).alias("k")), F.struct(F.lit(1).alias("v"), F.transform("words", lambda w: _kind(w, True)).alias("k")))
     cut = at.select(*ids, "at", F.transform("words", F.lower).alias("w"), F.explode(kinds).alias("t"))
-    shape = F.transform("w", lambda w, i: F.when(F.get("t.k", i).isNull(), w).otherwise(F.concat(F.get("t.k", i), F.array_position("w", w).cast("string"))))
-    slots = F.filter(F.transform("w", lambda w, i: F.when(F.get("t.k", i).isNotNull(), w)), lambda w: w.isNotNull())
+    cut = cut.select(*ids, "at", "w", "t.v", F.arrays_zip(F.col("w").alias("w"), F.col("t.k").alias("k")).alias("z"))
+    shape = _let(F.struct("w", "z"), lambda s: F.transform(s.z, lambda p: F.when(p.k.isNull(), p.w).otherwise(F.concat(p.k, F.array_position(s.w, p.w).cast("string")))))
+    slots = F.transform(F.filter("z", lambda p: p.k.isNotNull()), lambda p: p.w)
     literals = width - F.size(slots)
     # A template of mostly slots would match by chance.
-    return cut.where(literals * 2 >= width).select(*ids, "at", F.xxhash64(F.lit(width), "t.v", F.array_join(shape, " ")).alias("hash"), slots.alias("slots"))
+    return cut.where(literals * 2 >= width).select(*ids, "at", F.xxhash64(F.lit(width), "v", F.array_join(shape, " ")).alias("hash"), slots.alias("slots"))
 
 
 def _starts(width: int) -> Column:
@@ -70,7 +78,8 @@ def _starts(width: int) -> Column:
 def _starts_near(width: int) -> Column:
     """Starts of the windows that hold one of ``spots``."""
     near = F.transform("spots", lambda p: F.sequence(F.greatest(F.lit(1), p - (width - 1)), p))
-    return F.filter(F.array_distinct(F.flatten(near)), lambda p: p <= F.size("words") - (width - 1))
+    both = F.struct(F.array_distinct(F.flatten(near)).alias("near"), (F.size("words") - (width - 1)).alias("last"))
+    return _let(both, lambda s: F.filter(s.near, lambda p: p <= s["last"]))
 
 
 def find_items(
@@ -107,6 +116,7 @@ def find_items(
         held = rows.select(key, F.posexplode("words").alias("i", "w")).select(key, (F.col("i") + 1).alias("i"), F.lower("w").alias("word"))
         held = held.join(anchors, "word", "left_semi").groupBy(key).agg(F.collect_set("i").alias("spots"))
         rows = rows.join(held, key)
+    rows = materialise(rows, "anchored")  # few documents, read once a width
     totals = plates.select("item", "at").distinct().groupBy("item").agg(F.count("*").alias("windows"))
     plates = plates.select("item", F.col("at").alias("item_at"), "hash", F.col("slots").alias("item_slots")).distinct()
     if plates.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:

@@ -44,7 +44,7 @@ def with_signature(df: DataFrame, text: str, out: str, k: int = 3) -> DataFrame:
     ahead = [F.slice("_w", 1 + j, F.greatest(F.size("_w") - j, F.lit(0))).alias(f"w{j}") for j in range(k)]
     kmers = F.transform(F.arrays_zip(*ahead), lambda z, i: F.struct(z.alias("z"), i.cast("long").alias("i")))
     kmers = F.filter(kmers, lambda p: p.z[f"w{k - 1}"].isNotNull() | (p.i == 0)) if k > 1 else kmers
-    df = df.withColumn("_e", F.array_sort(F.transform(kmers, lambda p: packed(F.xxhash64(*(p.z[f"w{j}"] for j in range(k))), p.i)))).drop("_w")
+    df = df.withColumn("_e", F.sort_array(F.transform(kmers, lambda p: packed(F.xxhash64(*(p.z[f"w{j}"] for j in range(k))), p.i)))).drop("_w")
     # _f: index of the first of each run of equal k-mers, spread over the run by doubling steps.
     before = F.arrays_zip(F.col("_e").alias("x"), F.concat(none, F.col("_e")).alias("y"))
     first = F.transform(F.filter(before, lambda p: p.x.isNotNull()), lambda p, i: F.when(hash_of(p.x).eqNullSafe(hash_of(p.y)), F.lit(-1)).otherwise(i))
@@ -55,7 +55,7 @@ def with_signature(df: DataFrame, text: str, out: str, k: int = 3) -> DataFrame:
 
     df = df.withColumn("_f", F.aggregate(F.array(*(F.lit(1 << i) for i in range(_PLACE))), first, spread))
     mixed = F.transform(F.arrays_zip(F.col("_e").alias("x"), F.col("_f").alias("f")), lambda p, i: packed(F.xxhash64(hash_of(p.x), i - p.f), p.x))
-    df = df.withColumn("_m", F.array_sort(mixed)).drop("_e", "_f")
+    df = df.withColumn("_m", F.sort_array(mixed)).drop("_e", "_f")
     # _s: the two smallest of each bin.
     far = F.arrays_zip(F.col("_m").alias("x"), F.concat(none, none, F.col("_m")).alias("y"))
     small = F.filter(far, lambda p: p.x.isNotNull() & ~F.coalesce(bin_of(p.x) == bin_of(p.y), F.lit(False)))
