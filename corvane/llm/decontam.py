@@ -10,8 +10,11 @@ and it counts only if its slots are consistent: one value of the item's maps to
 one value of the document's. An item is found in a document when the matched
 windows are at least ``min_cover`` of the item's, or ``min_windows``.
 
-Windows are hashed only of documents that hold an anchor: the longest word of
-some benchmark window that is no slot. Every window has one, so none is lost.
+Windows are hashed only around anchors: two words of a benchmark window that are
+no slots, at their distance. At least half of a template's words are literal, so
+every window has such a pair, any document window with its template has the pair
+at the same places, and none is lost. The nearest pair is taken, of these the
+longest, so neighbouring windows share theirs.
 
 Nulls: null or empty texts have no windows. Items of fewer than ``MIN_WORDS``
 words are not searched; those shorter than a window are one window of their own
@@ -32,7 +35,7 @@ UNITS = (
 ).split()
 NUMBERS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million".split()
 WIDTH, MIN_WORDS = 8, 4
-#: Up to so many anchors are a set in the filter; more are joined.
+#: Up to so many anchors are sets in the filter; more are joined.
 MAX_SET = 20_000
 #: Up to so many benchmark windows are broadcast; more are shuffled.
 MAX_BROADCAST = 2_000_000
@@ -82,6 +85,39 @@ def _starts_near(width: int) -> Column:
     return _let(both, lambda s: F.filter(s.near, lambda p: p <= s["last"]))
 
 
+def _anchor(width: int) -> Column:
+    """The pair of literals that stands for a window's ``words``: negated distance, length, and both in lower case."""
+
+    def nearest(names: bool) -> Column:
+        literal = F.transform("words", lambda w, i: F.struct(_kind(w, names).isNull().alias("fixed"), F.lower(w).alias("x"), i.alias("i")))
+
+        def pairs(those: Column) -> Column:
+            both = F.zip_with(those, F.slice(those, 2, width), lambda a, b: F.struct((a.i - b.i).alias("near"), (F.length(a.x) + F.length(b.x)).alias("n"), a.x.alias("u"), b.x.alias("v")))
+            return F.when(F.size(those) * 2 >= width, F.array_max(F.filter(both, lambda p: p.v.isNotNull())))
+
+        return _let(F.filter(literal, lambda p: p.fixed), pairs)
+
+    # Literals under names as slots are literals either way; where they are too few, that template is not used.
+    return F.coalesce(nearest(True), nearest(False))
+
+
+def _pair_hashes(distance: int) -> str:
+    """SQL: hashes of the words ``lw`` with those ``distance`` on, by place."""
+    return f"zip_with(lw, slice(lw, {1 + distance}, size(lw)), (a, b) -> xxhash64({distance}, a, b))"
+
+
+def _lowered(body: str) -> str:
+    """SQL: ``body`` with ``lw`` for the lower-case ``words``, computed once."""
+    return f"get(transform(array(transform(words, x -> lower(x))), lw -> {body}), 0)"
+
+
+def _spots(anchors: dict[int, list[int]]) -> Column:
+    """Places of the words that begin an anchor; ``anchors`` by distance."""
+    hit = "filter(transform({}, (h, i) -> if(h IN ({}), i + 1, null)), i -> i IS NOT NULL)"
+    found = ", ".join(hit.format(_pair_hashes(d), ", ".join(f"{h}L" for h in hashes)) for d, hashes in sorted(anchors.items()))
+    return F.expr(_lowered(f"array_distinct(flatten(array({found})))"))
+
+
 def find_items(
     docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text",
     width: int = WIDTH, min_cover: float = 0.3, min_windows: int = 6,
@@ -99,23 +135,23 @@ def find_items(
     for w, part in sized.items():
         own = _windows(part.withColumn("starts", _starts(w)), ["item"], w)
         plates = own if plates is None else plates.union(own)
-        literal = F.filter("words", lambda x: _kind(x, True).isNull())
-        # Anchors by window: the longest literal word (of these, the last in order); words of slots only have none.
         spots = part.select("words", F.explode(_starts(w)).alias("at")).select(F.slice("words", F.col("at"), w).alias("words"))
-        longest = spots.select(F.array_max(F.transform(literal, lambda x: F.struct(F.length(x).alias("n"), F.lower(x).alias("x")))).getField("x").alias("word"))
-        anchors = longest if anchors is None else anchors.union(longest)
-    anchors = anchors.where("word IS NOT NULL").distinct()
-    picked = [r.word for r in anchors.limit(MAX_SET + 1).collect()]
+        pairs = spots.select(_anchor(w).alias("a")).where("a IS NOT NULL").select((-F.col("a.near")).alias("d"), F.col("a.u").alias("u"), F.col("a.v").alias("v"))
+        pairs = pairs.select("d", F.xxhash64("d", "u", "v").alias("h"))
+        anchors = pairs if anchors is None else anchors.union(pairs)
+    anchors = materialise(anchors.distinct(), "anchors")
+    picked = anchors.limit(MAX_SET + 1).collect()
     rows = docs.select(F.col(key).alias(key), words_of(text).alias("words"))
     if not picked:
         return empty
     if len(picked) <= MAX_SET:
-        spots = F.filter(F.transform("words", lambda w, i: F.when(F.lower(w).isin(*picked), i + 1)), lambda i: i.isNotNull())
-        rows = rows.withColumn("spots", spots).where(F.size("spots") > 0)
+        by_distance = {d: sorted(r.h for r in picked if r.d == d) for d in {r.d for r in picked}}
+        rows = rows.withColumn("spots", _spots(by_distance)).where(F.size("spots") > 0)
     else:
-        held = rows.select(key, F.posexplode("words").alias("i", "w")).select(key, (F.col("i") + 1).alias("i"), F.lower("w").alias("word"))
-        held = held.join(anchors, "word", "left_semi").groupBy(key).agg(F.collect_set("i").alias("spots"))
-        rows = rows.join(held, key)
+        hashes = F.expr(_lowered(f"array({', '.join(_pair_hashes(d) for d in range(1, width))})"))
+        held = rows.select(F.col(key).alias("_key"), F.posexplode(hashes).alias("d", "h")).select("_key", (F.col("d") + 1).alias("d"), F.posexplode("h").alias("i", "h"))
+        held = held.join(anchors, ["d", "h"], "left_semi").groupBy("_key").agg(F.collect_set(F.col("i") + 1).alias("spots"))
+        rows = rows.join(held, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
     rows = materialise(rows, "anchored")  # few documents, read once a width
     totals = plates.select("item", "at").distinct().groupBy("item").agg(F.count("*").alias("windows"))
     plates = plates.select("item", F.col("at").alias("item_at"), "hash", F.col("slots").alias("item_slots")).distinct()
