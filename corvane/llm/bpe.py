@@ -26,7 +26,9 @@ PRE_TOKEN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 MAX_WORDS = 1_000_000
 _SPACE_AFTER_SPACE = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S) ")
-#: The commonest chunks besides plain words: a word and marks, perhaps with the first word of the next line.
+#: Marks that often follow a word; each is a pre-token where nothing else follows it.
+_MARKS = frozenset(".,;:!?")
+#: The commonest chunks besides these and plain words: a word and marks, perhaps with the first word of the next line.
 _WORD_MARKS = re.compile(r"([^\W\d_]+)([^\w\s]+)(?:\n([^\W\d_]+)([^\w\s]*))?\Z")
 
 
@@ -54,6 +56,8 @@ class _Words(dict):
         self.pieces, self.pattern = pieces, pattern
 
     def __missing__(self, chunk: str) -> bytes:
+        if chunk[-1:] in _MARKS and (word := chunk[:-1]).isalpha():
+            return self[word] + self.pieces[chunk[-1]]
         if chunk.isalpha():
             ids = self.pieces.__missing__(" " + chunk)
             del self.pieces[" " + chunk]
@@ -67,7 +71,7 @@ class _Words(dict):
 
 
 def _odd_space(text: str) -> bool:
-    return any(c + " " in text for c in "\t\r\x0b\x0c\x1c\x1d\x1e\x1f")
+    return any(c in text and c + " " in text for c in "\t\r\x0b\x0c\x1c\x1d\x1e\x1f")
 
 
 def _byte_alphabet() -> dict[int, int]:
