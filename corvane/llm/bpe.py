@@ -24,7 +24,8 @@ import regex
 PRE_TOKEN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A worker forgets its words beyond so many, to bound its memory.
 MAX_WORDS = 1_000_000
-_SPACE_AFTER_SPACE = re.compile(r"\s ")
+#: White space besides the space and the line feed.
+_ODD_SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 _CUT = re.compile(r"(?<=\S) ")
 #: Marks that often follow a word; each is a pre-token where nothing else follows it.
 _MARKS = frozenset(".,;:!?")
@@ -39,13 +40,17 @@ class _Pieces(dict):
         self.tokenizer, self.table = tokenizer, _byte_alphabet()
         self.space = chr(self.table[0x20])
 
+    def encode(self, piece: str) -> bytes:
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(piece.encode().decode("latin-1").translate(self.table))]).tobytes()
+
+    def encode_word(self, word: str) -> bytes:
+        """Ids of a space and a word of letters."""
+        if word.isascii():
+            return array("I", [t.id for t in self.tokenizer.model.tokenize(self.space + word)]).tobytes()
+        return self.encode(" " + word)
+
     def __missing__(self, piece: str) -> bytes:
-        if piece[0] == " " and piece[1:].isalpha() and piece.isascii():
-            shown = self.space + piece[1:]
-        else:
-            shown = piece.encode().decode("latin-1").translate(self.table)
-        ids = array("I", [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
-        self[piece] = ids
+        ids = self[piece] = self.encode(piece)
         return ids
 
 
@@ -59,9 +64,7 @@ class _Words(dict):
         if chunk[-1:] in _MARKS and (word := chunk[:-1]).isalpha():
             return self[word] + self.pieces[chunk[-1]]
         if chunk.isalpha():
-            ids = self.pieces.__missing__(" " + chunk)
-            del self.pieces[" " + chunk]
-            self[chunk] = ids
+            ids = self[chunk] = self.pieces.encode_word(chunk)
             return ids
         if (m := _WORD_MARKS.match(chunk)) and m[1].isalpha() and (not m[3] or m[3].isalpha()):
             ids = self[m[1]] + self.pieces[m[2]]
@@ -71,7 +74,7 @@ class _Words(dict):
 
 
 def _odd_space(text: str) -> bool:
-    return any(c in text and c + " " in text for c in "\t\r\x0b\x0c\x1c\x1d\x1e\x1f")
+    return any(c in text and c + " " in text for c in _ODD_SPACES)
 
 
 def _byte_alphabet() -> dict[int, int]:
@@ -113,7 +116,7 @@ class TextEncoder:
         if not self.chunked or any(a in text for a in self.added):
             return self.whole(text)
         chunks = text.split(" ")
-        if "" in chunks or "\n " in text or not text.isascii() and _SPACE_AFTER_SPACE.search(text) or _odd_space(text):
+        if "" in chunks or "\n " in text or _odd_space(text):
             chunks = _CUT.split(text)
         head = chunks.pop(0)
         first = b"".join([self.pieces[p] for p in self.words.pattern.findall(head)])
