@@ -26,6 +26,8 @@ _PLACE = 24  # bits: words of a text
 _BIN = 6  # bits
 BINS = 1 << _BIN
 _TUPLE = 32  # bits of a tuple's hash in a signature
+#: Heads of up to so many blocks, 40 bytes each, are broadcast; more are shuffled.
+MAX_BROADCAST = 200_000
 
 
 def _and(c: Column, mask: int) -> Column:
@@ -101,6 +103,8 @@ def with_next(df: DataFrame, key: str, text: str, carry: dict[str, str], block_r
     order = Window.orderBy("_block")  # one row a block
     heads = heads.withColumn("up", F.lead("_block").over(order)).withColumn("bottom", F.min("_block").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     heads = heads.select(F.col("_block").alias("hb"), F.col("k").alias("hk"), F.coalesce("up", "bottom").alias("to"), F.col("up").isNull().alias("wrap"))
+    # One row a block: about ``span / width`` rows, so texts are not shuffled for this join unless that is large.
+    heads = F.broadcast(heads) if span // width < MAX_BROADCAST else heads
     ghost = rows.join(heads, (F.col(key).eqNullSafe(F.col("hk"))) & (F.col("_block") == F.col("hb")), "left")
     plain = F.struct(F.col("_block").alias("block"), F.lit(0).alias("ghost"))
     extra = F.struct(F.col("to").alias("block"), F.when(F.col("wrap"), 2).otherwise(1).alias("ghost"))
