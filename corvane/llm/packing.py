@@ -130,7 +130,8 @@ def pack_best_fit(pieces: DataFrame, capacity: int = 1024, max_docs: int = 1024,
     table = np.asarray(sorted(runs), "i8").reshape(-1, 6)
     plan = spark.sparkContext.broadcast(table)
     before = Window.partitionBy("length").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sizes.select("length", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    # Written, so that the join keeps both keys: dealt by length alone, as this window is, one length's pieces would meet in one task.
+    bases = materialise(sizes.select("length", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "bases")
     order = Window.partitionBy("length", "block").orderBy("doc_id", "piece", "start")
     ranked = pieces.withColumn("at", F.row_number().over(order) - 1).join(bases, ["length", "block"])
     ranked = ranked.withColumn("rank", F.col("base") + F.col("at")).drop("base", "at", "block")
