@@ -216,3 +216,13 @@ def test_order_minhash(spark, docs, empty):
         assert 0 <= rows[doc].near_edited <= 1 and 0 <= rows[doc].near_next <= 1
     assert rows[1].fingerprint == rows[9].fingerprint != rows[3].fingerprint and rows[4].fingerprint == rows[5].fingerprint == ""
     assert order_minhash.fingerprint_edits(empty).count() == 0
+
+
+def test_many_anchors_are_joined_with_the_same_result(spark, monkeypatch):
+    said = "a farmer carries 12 kg of apples and 30 oranges towards the market before noon"
+    docs = spark.createDataFrame([(1, f"well {said} then"), (2, "nothing of the kind is written here at all"), (None, said.replace("12", "17")), (3, None), (1, said)], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, said)], "item_id long, text string")
+    few = sorted(map(str, decontam.find_items(docs, bench).collect()))
+    monkeypatch.setattr(decontam, "MAX_SET", 0)
+    assert sorted(map(str, decontam.find_items(docs, bench).collect())) == few
+    assert len(few) == 2
