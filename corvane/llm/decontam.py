@@ -10,15 +10,23 @@ and it counts only if its slots are consistent: one value of the item's maps to
 one value of the document's. An item is found in a document when the matched
 windows are at least ``min_cover`` of the item's, or ``min_windows``.
 
+A window of mostly slots would match by chance, so it has no template and is
+matched by its words, slot values included; so are items of fewer than
+``MIN_WORDS`` words. Verbatim copies are thus found of every item that has words.
+``search_of`` says which windows of an item have a template. An item's cover is the
+greater of its share of all windows and of those with a template, so windows
+without one do not hide a copy with other values.
+
 Windows are hashed only around anchors: two words of a benchmark window that are
 no slots, at their distance. At least half of a template's words are literal, so
-every window has such a pair, any document window with its template has the pair
-at the same places, and none is lost. The nearest pair is taken, of these the
-longest, so neighbouring windows share theirs.
-
-Nulls: null or empty texts have no windows. Items of fewer than ``MIN_WORDS``
-words are not searched; those shorter than a window are one window of their own
-width. Repeated items and documents are found alike. Empty tables give no rows.
+every template has such a pair, any document window with it has the pair at the
+same places, and none is lost. The nearest pair is taken, of these the longest, so
+neighbouring windows share theirs. A window matched by its words has two
+neighbours for anchor, whatever they are, or its only word, at no distance.
+
+Nulls: null or empty texts have no windows. Items shorter than a window are one
+window of their own width, so an item of one word is found wherever the word is.
+Repeated items and documents are found alike. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -61,7 +69,7 @@ def _let(value: Column, body) -> Column:
 
 
 def _windows(df: DataFrame, ids: list[str], width: int) -> DataFrame:
-    """``ids, at, hash, slots`` of the windows of ``width`` of ``words`` that begin at ``starts``, by either kind of template."""
+    """``ids, at, hash, slots, exact`` of the windows of ``width`` of ``words`` that begin at ``starts``, by either kind of template, or by their words."""
     cut = _let(F.struct("starts", "words"), lambda s: F.transform(s.starts, lambda at: F.struct(at.alias("at"), F.slice(s.words, at, width).alias("words"))))
     at = df.select(*ids, F.explode(cut).alias("cut")).select(*ids, "cut.at", "cut.words").where(F.size("words") == width)
     kinds = F.array(F.struct(F.lit(0).alias("v"), F.transform("words", lambda w: _kind(w, False)).alias("k")), F.struct(F.lit(1).alias("v"), F.transform("words", lambda w: _kind(w, True)).alias("k")))
@@ -69,9 +77,12 @@ def _windows(df: DataFrame, ids: list[str], width: int) -> DataFrame:
     cut = cut.select(*ids, "at", "w", "t.v", F.arrays_zip(F.col("w").alias("w"), F.col("t.k").alias("k")).alias("z"))
     shape = _let(F.struct("w", "z"), lambda s: F.transform(s.z, lambda p: F.when(p.k.isNull(), p.w).otherwise(F.concat(p.k, F.array_position(s.w, p.w).cast("string")))))
     slots = F.transform(F.filter("z", lambda p: p.k.isNotNull()), lambda p: p.w)
-    literals = width - F.size(slots)
-    # A template of mostly slots would match by chance.
-    return cut.where(literals * 2 >= width).select(*ids, "at", F.xxhash64(F.lit(width), "v", F.array_join(shape, " ")).alias("hash"), slots.alias("slots"))
+    # A template of mostly slots would match by chance. Slots without names are slots with them too.
+    exact = F.lit(True) if width < MIN_WORDS else (width - F.size(slots)) * 2 < width
+    cut = cut.select(*ids, "at", "w", "v", "z", exact.alias("exact")).where(~F.col("exact") | (F.col("v") == 0))
+    by_words, by_shape = F.xxhash64(F.lit(width), F.lit(2), F.array_join("w", " ")), F.xxhash64(F.lit(width), "v", F.array_join(shape, " "))
+    none = F.array().cast("array<string>")
+    return cut.select(*ids, "at", F.when(F.col("exact"), by_words).otherwise(by_shape).alias("hash"), F.when(F.col("exact"), none).otherwise(slots).alias("slots"), "exact")
 
 
 def _starts(width: int) -> Column:
@@ -86,7 +97,7 @@ def _starts_near(width: int) -> Column:
 
 
 def _anchor(width: int) -> Column:
-    """The pair of literals that stands for a window's ``words``: negated distance, length, and both in lower case."""
+    """The pair of words that stands for a window's ``words``: negated distance, length, and both in lower case."""
 
     def nearest(names: bool) -> Column:
         literal = F.transform("words", lambda w, i: F.struct(_kind(w, names).isNull().alias("fixed"), F.lower(w).alias("x"), i.alias("i")))
@@ -97,8 +108,12 @@ def _anchor(width: int) -> Column:
 
         return _let(F.filter(literal, lambda p: p.fixed), pairs)
 
+    # Of a window matched by its words, any neighbours stand.
+    beside = 1 if width > 1 else 0
+    both = F.zip_with("words", F.slice("words", 1 + beside, width), lambda a, b: F.struct(F.lit(-beside).alias("near"), (F.length(a) + F.length(b)).alias("n"), F.lower(a).alias("u"), F.lower(b).alias("v")))
+    exact = F.array_max(F.filter(both, lambda p: p.v.isNotNull()))
     # Literals under names as slots are literals either way; where they are too few, that template is not used.
-    return F.coalesce(nearest(True), nearest(False))
+    return exact if width < MIN_WORDS else F.coalesce(nearest(True), nearest(False), exact)
 
 
 def _pair_hashes(distance: int) -> str:
@@ -118,17 +133,33 @@ def _spots(anchors: dict[int, list[int]]) -> Column:
     return F.expr(_lowered(f"array_distinct(flatten(array({found})))"))
 
 
+def _widths(items: DataFrame, width: int) -> dict[int, DataFrame]:
+    """``items`` by the width of their windows."""
+    own = F.least(F.size("words"), F.lit(width))
+    return {r.w: items.where(own == r.w) for r in items.select(own.alias("w")).distinct().collect()}  # at most ``width`` values
+
+
+def search_of(bench: DataFrame, item: str = "item_id", item_text: str = "text", width: int = WIDTH) -> DataFrame:
+    """``item, words, windows, templates`` of every item: no templates, and only verbatim copies are found; no windows, and nothing is."""
+    items = bench.select(F.col(item).alias("item"), words_of(item_text).alias("words"))
+    rows = items.select("item", F.size("words").cast("long").alias("words"), F.lit(None).cast("int").alias("at"), F.lit(True).alias("exact"))
+    for w, part in _widths(items.where(F.size("words") > 0), width).items():
+        own = _windows(part.withColumn("starts", _starts(w)), ["item"], w)
+        rows = rows.union(own.select("item", F.lit(None).cast("long"), "at", "exact").distinct())
+    at = lambda exact: F.countDistinct(F.when(exact, F.col("at")))
+    return rows.groupBy("item").agg(F.max("words").alias("words"), F.countDistinct("at").alias("windows"), at(~F.col("exact")).alias("templates"))
+
+
 def find_items(
     docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text",
     width: int = WIDTH, min_cover: float = 0.3, min_windows: int = 6,
 ) -> DataFrame:
     """``key, item, matched, windows, cover`` of each item found in a document."""
     spark = docs.sparkSession
-    items = bench.select(F.col(item).alias("item"), words_of(item_text).alias("words")).where(F.size("words") >= MIN_WORDS)
-    widths = [r.w for r in items.select(F.least(F.size("words"), F.lit(width)).alias("w")).distinct().collect()]  # at most ``width`` values
-    sized = {w: items.where(F.least(F.size("words"), F.lit(width)) == w) for w in widths}
+    items = bench.select(F.col(item).alias("item"), words_of(item_text).alias("words")).where(F.size("words") > 0)
+    sized = _widths(items, width)
     empty = spark.createDataFrame([], f"`{key}` {dict(docs.dtypes)[key]}, item {dict(bench.dtypes)[item]}, matched long, windows long, cover double")
-    if not widths:
+    if not sized:
         return empty
     plates = None
     anchors = None
@@ -148,24 +179,25 @@ def find_items(
         by_distance = {d: sorted(r.h for r in picked if r.d == d) for d in {r.d for r in picked}}
         rows = rows.withColumn("spots", _spots(by_distance)).where(F.size("spots") > 0)
     else:
-        hashes = F.expr(_lowered(f"array({', '.join(_pair_hashes(d) for d in range(1, width))})"))
-        held = rows.select(F.col(key).alias("_key"), F.posexplode(hashes).alias("d", "h")).select("_key", (F.col("d") + 1).alias("d"), F.posexplode("h").alias("i", "h"))
+        hashes = F.expr(_lowered(f"array({', '.join(_pair_hashes(d) for d in range(width))})"))
+        held = rows.select(F.col(key).alias("_key"), F.posexplode(hashes).alias("d", "h")).select("_key", "d", F.posexplode("h").alias("i", "h"))
         held = held.join(anchors, ["d", "h"], "left_semi").groupBy("_key").agg(F.collect_set(F.col("i") + 1).alias("spots"))
         rows = rows.join(held, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
     rows = materialise(rows, "anchored")  # few documents, read once a width
-    totals = plates.select("item", "at").distinct().groupBy("item").agg(F.count("*").alias("windows"))
+    totals = plates.select("item", "at", "exact").distinct().groupBy("item").agg(F.count("*").alias("windows"), F.count_if(~F.col("exact")).alias("templates"))
     plates = plates.select("item", F.col("at").alias("item_at"), "hash", F.col("slots").alias("item_slots")).distinct()
     if plates.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
         plates = F.broadcast(plates)
     found = None
-    for w in widths:
+    for w in sized:
         own = _windows(rows.withColumn("starts", _starts_near(w)), [key], w).join(plates, "hash")
         found = own if found is None else found.union(own)
     pairs = F.arrays_zip("item_slots", "slots")
-    found = found.select(key, "item", "item_at", (F.col("at") - F.col("item_at")).alias("shift"), pairs.alias("pairs")).distinct()
-    alike = found.groupBy(key, "item", "shift").agg(F.collect_set("item_at").alias("ats"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
+    found = found.select(key, "item", "item_at", (F.col("at") - F.col("item_at")).alias("shift"), "exact", pairs.alias("pairs")).distinct()
+    ats = F.collect_set(F.struct("item_at", "exact")).alias("ats")
+    alike = found.groupBy(key, "item", "shift").agg(ats, F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
     one_to_one = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p.item_slots)))
-    spots = alike.where(one_to_one).select(key, "item", F.explode("ats").alias("item_at")).distinct()
-    matched = spots.groupBy(key, "item").agg(F.count("*").alias("matched")).join(totals, "item")
-    cover = F.col("matched") / F.col("windows")
+    spots = alike.where(one_to_one).select(key, "item", F.explode("ats").alias("at")).select(key, "item", "at.*").distinct()
+    matched = spots.groupBy(key, "item").agg(F.count("*").alias("matched"), F.count_if(~F.col("exact")).alias("by_template")).join(totals, "item")
+    cover = F.greatest(F.col("matched") / F.col("windows"), F.try_divide("by_template", "templates"))
     return matched.select(key, "item", "matched", "windows", cover.alias("cover")).where((F.col("cover") >= min_cover) | (F.col("matched") >= min_windows))

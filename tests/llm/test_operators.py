@@ -166,6 +166,19 @@ def test_decontamination(spark, empty):
     assert decontam.find_items(empty, bench).count() == 0 and decontam.find_items(spark.createDataFrame(rows, SCHEMA), bench.limit(0)).count() == 0
 
 
+def test_items_of_mostly_slots_are_found_verbatim(spark, monkeypatch):
+    items = [(0, "What is 12 * 7 + 5?"), (1, "Compute 17 * 23 + 4"), (2, "Name Oslo's fjord"), (3, "Xylophone"), (4, " ... "), (5, None), (6, "Sum 1 2 3 4 5 6 7 8 9 10 11 of apples pears plums figs and limes")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(i, f"he asked: {t}; so", 0) for i, t in items if t] + [(10, "What is 13 * 7 + 5?", 0), (11, "so WHAT IS 12 * 7 + 5", 0), (12, items[6][1].replace("11", "12"), 0), (13, "7 12 is what", 0)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    want = {(0, 0), (1, 1), (2, 2), (3, 3), (6, 6), (11, 0), (12, 6)}
+    assert {(r.doc_id, r["item"]) for r in decontam.find_items(docs, bench).collect()} == want
+    said = {r["item"]: (r["words"], r.windows, r.templates) for r in decontam.search_of(bench).collect()}
+    assert said == {0: (5, 1, 0), 1: (4, 1, 0), 2: (4, 1, 1), 3: (1, 1, 0), 4: (0, 0, 0), 5: (0, 0, 0), 6: (19, 12, 4)}
+    monkeypatch.setattr(decontam, "MAX_SET", 0)
+    assert {(r.doc_id, r["item"]) for r in decontam.find_items(docs, bench).collect()} == want
+
+
 @pytest.mark.parametrize("rule", ["norm", "dot"])
 def test_packing(spark, docs, empty, rule):
     pieces = packing.cut_pieces(docs, tokenizer_path(), capacity=64)
