@@ -5,9 +5,10 @@ numbers, units and names become typed placeholders, numbered by first occurrence
 in the window, so a window's template says which slots hold equal values. Each
 window has two templates: with capitalised words as names, and without (for
 passages whose case was changed). A document's windows are hash-joined to the
-benchmark's templates; matches that lie alike in both texts are one alignment,
-and it counts only if its slots are consistent: one value of the item's maps to
-one value of the document's. An item is found in a document when the matched
+benchmark's templates; matches that lie alike in both texts are one alignment.
+Windows whose slots hold the item's own values count. Of the others, those count
+that are consistent: one value of the item's maps to one value of the document's,
+the one that most windows of the alignment have for it. An item is found in a document when the matched
 windows are at least ``min_cover`` of the item's, or ``min_windows``.
 
 A window of mostly slots would match by chance, so it has no template and is
@@ -133,6 +134,23 @@ def _spots(anchors: dict[int, list[int]]) -> Column:
     return F.expr(_lowered(f"array_distinct(flatten(array({found})))"))
 
 
+def _consistent(windows: str) -> Column:
+    """Of ``windows`` (``item_at, exact, pairs``), those of which every item's value has the value that most windows have for it."""
+    every = F.flatten(F.transform(windows, lambda d: d.pairs))
+
+    def chosen(s: Column) -> Column:
+        counted = F.transform(s.distinct_pairs, lambda p: F.struct(p.item_slots.alias("i"), F.size(F.filter(s.every, lambda q: q == p)).alias("n"), p.alias("p")))
+        return _let(counted, lambda every: F.filter(every, lambda c: ~F.exists(every, lambda o: (o.i == c.i) & (o > c))))
+
+    def split(s: Column) -> Column:
+        one_to_one = F.size(s.distinct_pairs) == F.size(F.array_distinct(F.transform(s.distinct_pairs, lambda p: p.item_slots)))
+        best = _let(s, lambda t: F.transform(chosen(t), lambda c: c.p))
+        held = _let(F.struct(s.windows.alias("windows"), best.alias("best")), lambda t: F.filter(t.windows, lambda d: F.size(F.array_except(d.pairs, t.best)) == 0))
+        return F.when(one_to_one, s.windows).otherwise(held)
+
+    return _let(F.struct(F.col(windows).alias("windows"), every.alias("every"), F.array_distinct(every).alias("distinct_pairs")), split)
+
+
 def _widths(items: DataFrame, width: int) -> dict[int, DataFrame]:
     """``items`` by the width of their windows."""
     own = F.least(F.size("words"), F.lit(width))
@@ -192,12 +210,14 @@ def find_items(
     for w in sized:
         own = _windows(rows.withColumn("starts", _starts_near(w)), [key], w).join(plates, "hash")
         found = own if found is None else found.union(own)
-    pairs = F.arrays_zip("item_slots", "slots")
-    found = found.select(key, "item", "item_at", (F.col("at") - F.col("item_at")).alias("shift"), "exact", pairs.alias("pairs")).distinct()
-    ats = F.collect_set(F.struct("item_at", "exact")).alias("ats")
-    alike = found.groupBy(key, "item", "shift").agg(ats, F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
-    one_to_one = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p.item_slots)))
-    spots = alike.where(one_to_one).select(key, "item", F.explode("ats").alias("at")).select(key, "item", "at.*").distinct()
+    pairs = F.array_distinct(F.arrays_zip("item_slots", "slots"))
+    same = F.col("item_slots") == F.col("slots")
+    found = found.select(key, "item", "item_at", (F.col("at") - F.col("item_at")).alias("shift"), "exact", F.when(~same, pairs).alias("pairs")).distinct()
+    spot = F.struct("item_at", "exact")
+    differs = F.collect_set(F.when(F.col("pairs").isNotNull(), F.struct("item_at", "exact", "pairs")))
+    alike = found.groupBy(key, "item", "shift").agg(F.collect_set(F.when(F.col("pairs").isNull(), spot)).alias("same"), differs.alias("differs"))
+    kept = F.transform(_consistent("differs"), lambda d: F.struct(d.item_at.alias("item_at"), d.exact.alias("exact")))
+    spots = alike.select(key, "item", F.explode(F.concat("same", kept)).alias("at")).select(key, "item", "at.*").distinct()
     matched = spots.groupBy(key, "item").agg(F.count("*").alias("matched"), F.count_if(~F.col("exact")).alias("by_template")).join(totals, "item")
     cover = F.greatest(F.col("matched") / F.col("windows"), F.try_divide("by_template", "templates"))
     return matched.select(key, "item", "matched", "windows", cover.alias("cover")).where((F.col("cover") >= min_cover) | (F.col("matched") >= min_windows))

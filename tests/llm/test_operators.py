@@ -179,6 +179,27 @@ def test_items_of_mostly_slots_are_found_verbatim(spark, monkeypatch):
     assert {(r.doc_id, r["item"]) for r in decontam.find_items(docs, bench).collect()} == want
 
 
+def test_one_changed_slot_drops_its_own_windows_only(spark):
+    item = "the road from Paris to the old coast runs past seven small farms and two wide rivers before it turns back towards Paris and ends there at the gate of a walled garden"
+    first = item.replace("Paris", "Lyon")
+    rows = [
+        (1, item[::-1].replace("siraP", "noyL", 1)[::-1], 0),  # word for word but for the later mention
+        (2, first[::-1].replace("noyL", "emoR", 1)[::-1], 0),  # every mention changed, the later otherwise
+        (3, first, 0),
+    ]
+    bench = spark.createDataFrame([(0, item)], "item_id long, text string")
+    found = {r.doc_id: (r.matched, r.windows) for r in decontam.find_items(spark.createDataFrame(rows, SCHEMA), bench).collect()}
+    n = len(item.split()) - 7
+    assert set(found) == {1, 2, 3} and found[1] == found[3] == (n, n) and n / 2 < found[2][0] < n
+
+
+def test_consistent_windows_of_an_alignment(spark):
+    pair = lambda i, d: (i, d)
+    sets = [[(1, False, [pair("a", "x")]), (2, False, [pair("a", "x"), pair("b", "y")]), (3, False, [pair("a", "z")]), (4, False, [pair("b", "y")])], [(1, False, [pair("a", "x")]), (2, False, [pair("b", "x")])], []]
+    df = spark.createDataFrame([(s,) for s in sets], "w array<struct<item_at int, exact boolean, pairs array<struct<item_slots string, slots string>>>>")
+    assert [sorted(d.item_at for d in r.k) for r in df.select(decontam._consistent("w").alias("k")).collect()] == [[1, 2, 4], [1, 2], []]
+
+
 @pytest.mark.parametrize("rule", ["norm", "dot"])
 def test_packing(spark, docs, empty, rule):
     pieces = packing.cut_pieces(docs, tokenizer_path(), capacity=64)
