@@ -4,13 +4,13 @@ The standard library's parser turns a page into lines, one a block element, each
 with its text length, its count of tags, how much of it is link text, and the
 region it lies in. Regions that are never main text (navigation, headers outside
 the article, footers, asides, forms, scripts, adverts, notices, comments) are
-known by element, role, class or id. Where the page marks its article or main
-element, the lines in the largest such element are the content. Elsewhere the
-text-to-tag ratios of the lines are smoothed by a Gaussian, and lines above a
-threshold between the two clusters of smoothed ratios (two means) are content,
-with headings next to them.
+known by element, role, class or id. On every page the text-to-tag ratios of the
+lines are smoothed by a Gaussian, and lines above a threshold between the two
+clusters of smoothed ratios (two means) are content, with headings next to them.
+An article or main element is a prior on its lines: they are content unless most
+of their text is links and their ratio is below the threshold.
 
-Nulls and empty pages: empty text. Text is never cut. White space in a block is
+Nulls and empty pages: empty text. A line's text is never cut. White space in a block is
 one space; blocks are joined by a blank line, in page order. Repeated rows are
 kept. An empty table gives no rows.
 """
@@ -115,7 +115,7 @@ class _Lines(HTMLParser):
 
 
 def _content(lines: list[tuple[str, int, int, int, bool]], sigma: float) -> list[bool]:
-    """Which lines are content, by smoothed text-to-tag ratio."""
+    """Which lines are content, by smoothed text-to-tag ratio and the marks of the page."""
     ratio = np.array([max(0, len(t) - links) / (tags + 1) for t, tags, links, _, _ in lines])
     reach = np.arange(-2, 3)
     kernel = np.exp(-(reach**2) / (2 * sigma**2))
@@ -127,10 +127,15 @@ def _content(lines: list[tuple[str, int, int, int, bool]], sigma: float) -> list
         if near_high.all() or not near_high.any():
             break
         low, high = smooth[~near_high].mean(), smooth[near_high].mean()
-    if high < 2 * max(low, 8.0):  # one cluster: nothing here is set apart
-        return [True] * len(lines)
-    threshold = (low + high) / 2 if low > 0 else high / 4
-    keep = (smooth >= threshold) | (ratio >= threshold)
+    marked = np.array([article > 0 for *_, article, _ in lines])
+    if high < 2 * max(low, 8.0):  # one cluster: nothing here is set apart, but by marks
+        if marked.all() or not marked.any():
+            return [True] * len(lines)
+        threshold = min((low + high) / 2, ratio[marked].mean())
+    else:
+        threshold = (low + high) / 2 if low > 0 else high / 4
+    own = np.array([2 * links <= len(t) for t, _, links, _, _ in lines])
+    keep = (smooth >= threshold) | (ratio >= threshold) | (marked & own)
     return [bool(k or h and keep[i + 1 : i + 2].any()) for i, (k, (*_, h)) in enumerate(zip(keep, lines, strict=True))]
 
 
@@ -144,14 +149,6 @@ def extract_text(html: str | None, sigma: float = 1.0) -> str:
     lines = [(text, *rest) for parts, *rest in parser.lines if (text := _SPACE.sub(" ", "".join(parts)).strip())]
     if not lines:
         return ""
-    sizes: dict[int, int] = {}
-    for text, _, _, article, _ in lines:
-        sizes[article] = sizes.get(article, 0) + len(text)
-    marked = {a: n for a, n in sizes.items() if a}
-    if marked:
-        best = max(marked.values())
-        wanted = {a for a, n in marked.items() if 4 * n >= best}
-        return "\n\n".join(t for t, _, _, a, _ in lines if a in wanted)
     return "\n\n".join(line[0] for line, keep in zip(lines, _content(lines, sigma), strict=True) if keep)
 
 

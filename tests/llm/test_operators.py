@@ -239,6 +239,15 @@ def test_html():
     assert html_extract.extract_text(f"<div><a href=a>x</a> <a href=b>y</a></div><div>{long}</div><p>{long}</p>").count("word") == 120
 
 
+def test_html_marks_are_a_prior():
+    long = "plain words of the story go on and on here " * 8
+    page = f"<body><div><a href=a>one</a> <a href=b>two</a></div><article><p>{long}first</p><p>Short.</p></article><article><p>Brief note.</p></article><div><p>{long}outside</p><p>{long}more</p></div><div><a href=c>c</a> <a href=d>d</a></div><div><a href=e>e</a> <a href=f>f</a></div></body>"
+    text = html_extract.extract_text(page)
+    assert [t.split()[-1] for t in text.split("\n\n")] == ["first", "Short.", "note.", "outside", "more"]
+    links = "".join(f"<p><a href=x{i}>see {i}</a></p>" for i in range(6))
+    assert html_extract.extract_text(f"<main><p>{long}</p><p>{long}</p>{links}</main>").count("see") < 3
+
+
 def test_order_minhash(spark, docs, empty):
     rows = {r.doc_id: r for r in order_minhash.fingerprint_edits(docs).collect()}
     order = sorted(texts(docs).items(), reverse=True)
