@@ -277,7 +277,7 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 75) -> DataFrame:
-    """``key, n_shingles, component_id`` of each row; ``n_links``: links of its representative that were found needed."""
+    """``key, n_shingles, component_id`` of each row. Only connectivity is derived: links within a family are neither counted nor given."""
     spark = df.sparkSession
     docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     nulls = docs.where("doc_id IS NULL").limit(1).count() > 0
