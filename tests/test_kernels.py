@@ -86,3 +86,14 @@ def test_statistics():
     r = K.bootstrap_ci([0, 1, 2] * 20, [0, 1, 1] * 20)
     assert r["lo"] <= r["f1"] <= r["hi"] and r["se"] == pytest.approx((r["hi"] - r["lo"]) / 4)
     assert K.paired_tie([0, 1] * 30, [0, 1] * 30, [0, 1] * 30) and not K.paired_tie([0, 1] * 30, [0, 1] * 30, [1, 0] * 30)
+
+
+def test_dense_community_query_has_no_time_limit_and_says_how_it_ended(spark, sf_dir, monkeypatch):
+    from corvane.operators import solve
+    from corvane.plans import registry
+    from corvane.session import ship
+
+    given, real = {}, solve.dense_communities
+    monkeypatch.setattr(solve, "dense_communities", lambda shown, **kw: given.update(kw) or real(shown, **kw))
+    rows = registry.queries()["dense_community"](ship(spark), sf_dir).collect()
+    assert given["seconds"] is None and rows and {r.gap_status for r in rows} == {"exhausted"}
