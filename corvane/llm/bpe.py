@@ -7,6 +7,10 @@ before by this worker reach the library's model. The ids are those
 of encoding the whole text at once. A text with one of the tokenizer's own
 added strings goes to the library whole, as does every text of a tokenizer of
 another kind.
+
+Texts of a batch are encoded together: their chunks are split and numbered by
+Arrow, each distinct chunk is looked up once, and the ids are gathered by place.
+Batches are cut by bytes, so memory is bounded by the longest text.
 """
 
 from __future__ import annotations
@@ -18,6 +22,8 @@ from array import array
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 #: Fixed value: the pre-token pattern of this family of byte-level vocabularies.
@@ -27,6 +33,10 @@ MAX_WORDS = 1_000_000
 #: White space besides the space and the line feed.
 _ODD_SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 _CUT = re.compile(r"(?<=\S) ")
+#: Spaces that start no pre-token, or lie at an end: texts with them are encoded one by one.
+_UNEVEN = "  |^ | $|[\n" + "".join(f"\\x{{{ord(c):x}}}" for c in _ODD_SPACES) + "] "
+#: Texts are encoded together up to so many bytes.
+SLICE = 4 << 20
 #: Marks that often follow a word; each is a pre-token where nothing else follows it.
 _MARKS = frozenset(".,;:!?")
 #: The commonest chunks besides these and plain words: a word and marks, perhaps with the first word of the next line.
@@ -106,6 +116,7 @@ class TextEncoder:
     def _fresh(self) -> None:
         self.pieces = _Pieces(self.tokenizer)
         self.words = _Words(self.pieces, regex.compile(PRE_TOKEN))
+        self.seen: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -126,6 +137,86 @@ class TextEncoder:
         return ids
 
 
+    def chunk_ids(self, chunk: str) -> bytes:
+        """Ids of a chunk with the space before it, kept whatever the chunk is."""
+        ids = self.seen.get(chunk)
+        if ids is None:
+            ids = self.seen[chunk] = self.words[chunk]
+        return ids
+
+    def _together(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For texts of even spaces: table of ids, and by chunk the stretch of the table; see ``encode_batch``."""
+        split = pc.split_pattern(texts, " ")
+        values, ends = split.values, split.offsets.to_numpy()
+        coded = values.slice(int(ends[0]), int(ends[-1] - ends[0])).dictionary_encode()
+        ends = ends - ends[0]
+        place = coded.indices.to_numpy().astype("i8")
+        parts = [self.chunk_ids(c) for c in coded.dictionary.to_pylist()]
+        # The first chunk of a text has no space before it.
+        for i, head in enumerate(values.take(pa.array(split.offsets.to_numpy()[:-1])).to_pylist()):
+            place[ends[i]] = len(parts)
+            parts.append(b"".join([self.pieces[p] for p in self.words.pattern.findall(head)]))
+        if len(self.words) + len(self.pieces) + len(self.seen) > MAX_WORDS:
+            self._fresh()
+        sizes = np.fromiter((len(p) // 4 for p in parts), "i8", len(parts))
+        return b"".join(parts), sizes, place, ends
+
+    def _slices(self, texts: pa.Array):
+        """``rows, even`` by turns: stretches of texts, and which of them are encoded together."""
+        texts = pc.fill_null(texts, "")
+        even = pc.invert(pc.match_substring_regex(texts, _UNEVEN)) if self.chunked else pa.array(np.zeros(len(texts), bool))
+        for a in self.added:
+            even = pc.and_(even, pc.invert(pc.match_substring(texts, a)))
+        even, bytes_ = even.to_numpy(zero_copy_only=False), pc.binary_length(texts).to_numpy()
+        cut = np.flatnonzero(np.diff(np.cumsum(bytes_) // SLICE)) + 1
+        for a, b in zip([0, *cut], [*cut, len(texts)], strict=True):
+            if a < b:
+                yield texts.slice(int(a), int(b - a)), even[a:b]
+
+    def encode_batch(self, texts: pa.Array):
+        """``sizes, ids`` of stretches of ``texts`` in order: ids a text, and all of them as unsigned 32-bit integers."""
+        for part, even in self._slices(texts):
+            sizes, runs = np.zeros(len(part), "i8"), []
+            if even.any():
+                table, long, place, ends = self._together(part.filter(pa.array(even)))
+                table = np.frombuffer(table, "<u4")
+                n = long[place]
+                upto = np.concatenate([[0], np.cumsum(n)])
+                start = np.concatenate([[0], np.cumsum(long)])[place]
+                ids = table[np.repeat(start - upto[:-1], n) + np.arange(upto[-1])]
+                sizes[even] = np.diff(upto[ends])
+            else:
+                ids = np.zeros(0, "<u4")
+            if even.all():
+                yield sizes, ids
+                continue
+            odd = [np.frombuffer(self.encode(t), "<u4") for t in part.filter(pa.array(~even)).to_pylist()]
+            sizes[~even] = [len(o) for o in odd]
+            at, place = 0, iter(odd)
+            edges = np.flatnonzero(np.diff(even.astype("i1"))) + 1
+            for a, b in zip([0, *edges], [*edges, len(part)], strict=True):
+                if even[a]:
+                    n = int(sizes[a:b].sum())
+                    runs.append(ids[at : at + n])
+                    at += n
+                else:
+                    runs += [next(place) for _ in range(b - a)]
+            yield sizes, np.concatenate(runs)
+
+    def count_batch(self, texts: pa.Array) -> np.ndarray:
+        """Number of ids of each text."""
+        out = []
+        for part, even in self._slices(texts):
+            sizes = np.zeros(len(part), "i8")
+            if even.any():
+                _, long, place, ends = self._together(part.filter(pa.array(even)))
+                sizes[even] = np.diff(np.concatenate([[0], np.cumsum(long[place])])[ends])
+            if not even.all():
+                sizes[~even] = [len(self.encode(t)) // 4 for t in part.filter(pa.array(~even)).to_pylist()]
+            out.append(sizes)
+        return np.concatenate(out) if out else np.zeros(0, "i8")
+
+
 @lru_cache(maxsize=4)
 def encoder(path: str) -> TextEncoder:
     """One encoder per worker process, file and version."""

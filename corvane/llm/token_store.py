@@ -8,7 +8,8 @@ of one document's ids, or of the metadata alone, reads little else.
 
 Nulls: a null text is empty, so it has the end id alone; a row with a null key
 comes first. Repeated keys keep all their rows, ordered by text. An empty table
-gives an empty store. Other columns of the input are ignored.
+gives an empty store. Other columns of the input are ignored, whatever their
+names. A very long text is encoded by itself and is one list in one row.
 """
 
 from __future__ import annotations
@@ -21,21 +22,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .scratch import parallelism
+from .scratch import parallelism, trim
 
 
 def encode_tokens(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int | None = 2) -> DataFrame:
     """``key``, ``n_tokens`` and ``ids`` of each row, in the order of the input's partitions."""
-    end = b"" if end_id is None else np.asarray([end_id], "<u4").tobytes()
+    last = np.asarray([] if end_id is None else [end_id], "<u4")
 
     def encode(batches):
-        encode_one = encoder(tokenizer).encode
+        encode_batch = encoder(tokenizer).encode_batch
         for batch in batches:
-            ids = [encode_one(t) + end for t in batch.column(1).to_pylist()]
-            sizes = np.fromiter((len(i) // 4 for i in ids), "i8", len(ids))
-            ends = np.concatenate([[0], np.cumsum(sizes)]).astype("i4")
-            flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.ListArray.from_arrays(pa.array(ends), flat)], ["key", "n_tokens", "ids"])
+            at = 0
+            for sizes, ids in encode_batch(batch.column(1)):
+                inner = np.cumsum(sizes)
+                ids = np.insert(ids, np.repeat(inner, len(last)), np.tile(last, len(sizes))) if len(last) else ids
+                sizes = sizes + len(last)
+                ends = np.concatenate([[0], np.cumsum(sizes)]).astype("i4")
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids.view("<i4")))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(sizes)), pa.array(sizes), lists], ["key", "n_tokens", "ids"])
+                at += len(sizes)
+        trim()
 
     return df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(encode, "key long, n_tokens long, ids array<int>")
 
@@ -56,10 +62,10 @@ def write_token_store(
     )
 
 
-def read_token_store(spark, path: str, ids: bool = True) -> DataFrame:
-    """``key, start, n_tokens`` (and ``ids``): ``start`` counts the tokens of all rows before.
+def read_token_store(spark, path: str, ids: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Two tables. Rows: ``file, at, key, n_tokens`` (and ``ids``). Files: ``file, base``, the tokens of all files before.
 
-    Sums a file at a time, so only one row a file meets in one place.
+    A row's start is its file's base and the tokens before it in the file, so only one row a file meets in one place.
     """
     store = spark.read.schema("key long, n_tokens long, ids array<int>").parquet(path)
     lengths = store.select(F.col("_metadata.file_path").alias("file"), "key", "n_tokens")
