@@ -1,8 +1,8 @@
 """Exact Jaccard self-join on word n-grams, with skipping by set relations.
 
 1. Each text becomes a set of 64-bit shingle hashes, computed column-wise.
-2. Shingles are counted over the corpus: a task sends each shingle of a batch of
-   documents once, packed by bucket, and the buckets answer with those that are
+2. Shingles are counted over the corpus: a task sends the shingles of a batch of
+   documents, packed by bucket, and the buckets answer with those that are
    shared, by how many (in powers of two). A shingle of one document cannot be
    part of an intersection, so from here on sets are their shared shingles.
 3. Equal sets are one *representative*. Its shingles are ordered rarest first;
@@ -10,7 +10,8 @@
    Unshared shingles come first of all, so most texts index nothing.
 4. Inverted lists of those prefixes are split by size class and by block of
    positions; class pairs that cannot link by size, and blocks from which on the
-   overlap cannot be reached, are skipped whole.
+   overlap with a class cannot be reached, never meet: pairs of classes are part
+   of the join's key, and a block is sent only to those it can reach.
 5. Each representative is compared with one *pivot* of its lists, the same for a
    family of similar sets; the family's answers are then derived from the
    pivot's: members of one pivot are connected through it, and only pivots are
@@ -23,28 +24,32 @@ comparison a member.
 
 Texts are lower-cased for A-Z and cut at ASCII white space. A set has the
 distinct n-word shingles; with fewer words, the whole sequence as one; without
-words (or text) it is empty and links with nothing. Null ids are documents of
-their own kind and kept; repeated ids share a component. An empty table gives no
-rows.
+words (or text) it is empty and links with nothing. Every row is a document of
+its own, those with null or repeated keys too; a component is named by its least
+key that is not null, and is null where it has none. Repeated rows are equal
+sets, so they share a component. Texts are cut into shingles by stretches of
+bytes, a very long one by itself. Other columns, whatever their names, are
+ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import materialise, parallelism
+from .scratch import materialise, parallelism, spread_join, trim
 
 _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
 _BASE = 0x9E3779B97F4A7C15 | 1
 _U = np.uint64
-#: Shingles in a batch that is counted together.
-BATCH = 400_000
+#: Shingles in a batch that is counted together, and characters of the texts that are cut into shingles together.
+BATCH, SLICE = 400_000, 1 << 20
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -75,7 +80,7 @@ def shingle_sets(texts: list[str | None], n: int = 5) -> tuple[np.ndarray, np.nd
     # A word's hash: its bytes as a polynomial, from prefix sums; odd bases have inverses modulo 2**64.
     inverse = pow(_BASE, -1, 1 << 64)
     with np.errstate(over="ignore"):
-        chunk, hashes = 1 << 22, np.empty(len(start), _U)
+        chunk, hashes = 1 << 19, np.empty(len(start), _U)
         at = 0
         while at < len(start):  # in stretches, for memory
             to = max(at + 1, int(np.searchsorted(stop, start[at] + chunk, "right")))
@@ -106,74 +111,83 @@ def shingle_sets(texts: list[str | None], n: int = 5) -> tuple[np.ndarray, np.nd
 
 
 def _pack(h: np.ndarray) -> bytes:
-    return h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()  # 48 bits; the bucket has further ones
+    return h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7].tobytes()  # 56 bits; the bucket has the ones above
 
 
 def _unpack(b: bytes) -> np.ndarray:
-    out = np.zeros((len(b) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(b, np.uint8).reshape(-1, 6)
+    out = np.zeros((len(b) // 7, 8), np.uint8)
+    out[:, :7] = np.frombuffer(b, np.uint8).reshape(-1, 7)
     return out.view("<u8").ravel()
 
 
-_SENT = "bucket int, batch string, head boolean, docs binary, sizes binary, sums binary, hashes binary"
+def _slices(texts: list[str | None], most: int):
+    """Stretches of ``texts`` of about ``most`` characters; at least one text each."""
+    at, held = 0, 0
+    for i, t in enumerate(texts):
+        held += len(t or "") + 1
+        if held >= most:
+            yield at, i + 1
+            at, held = i + 1, 0
+    if at < len(texts):
+        yield at, len(texts)
 
 
-def _send(docs: DataFrame, n: int, buckets: int) -> DataFrame:
-    """Batches of sets, cut by bucket. A head row has the batch's ids, sizes and set digests."""
+_SENT = "bucket int, batch long, docs array<long>, keys array<long>, sizes binary, sums binary, hashes binary"
+_BINARY = [pa.binary()] * 3
 
-    def flush(ids, sizes, hashes, name):
+
+def _send(docs: DataFrame, n: int, bits: int) -> DataFrame:
+    """Batches of sets, cut by bucket. A head row (with ``docs``) has the batch's ids, keys, sizes and set digests."""
+    names, types = [f.split()[0] for f in _SENT.split(", ")], [pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), *_BINARY]
+
+    def flush(ids, keys, sizes, hashes):
         with np.errstate(over="ignore"):
             edges = np.concatenate([[0], np.cumsum(sizes)]).astype("i8")
             sums = []
             for salt in (1, 2):  # sums of mixed elements: equal for equal sets
                 run = np.concatenate([np.zeros(1, _U), np.cumsum(_mix(hashes ^ _U(salt * 0x5851F42D4C957F2D)), dtype=_U)])
                 sums.append(run[edges[1:]] - run[edges[:-1]])
-        bucket = (hashes >> _U(48)).astype("i8") % buckets
+        bucket = (hashes >> _U(64 - bits)).astype("i8")
         doc = np.repeat(np.arange(len(ids)), sizes)
         order = np.argsort(bucket, kind="stable")
-        cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        rows = [(int(bucket[0]) if len(bucket) else 0, name, True, np.asarray(ids, "<i8").tobytes(), np.asarray(sizes, "<i4").tobytes(), np.concatenate(sums).astype("<u8").tobytes(), None)]
-        for b in range(buckets):
+        cut = np.searchsorted(bucket[order], np.arange((1 << bits) + 1))
+        rows = [(int(bucket[0]) if len(bucket) else 0, ids[0], ids, keys, np.asarray(sizes, "<i4").tobytes(), np.concatenate(sums).astype("<u8").tobytes(), None)]
+        for b in np.flatnonzero(np.diff(cut)).tolist():
             part = order[cut[b] : cut[b + 1]]
-            if len(part):
-                per = np.bincount(doc[part], minlength=len(ids))
-                rows.append((b, name, False, None, per.astype("<i4").tobytes(), None, _pack(hashes[part])))
-        columns = list(zip(*rows, strict=True))
-        types = [pa.int32(), pa.string(), pa.bool_(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], _SENT.replace(" int", "").replace(" string", "").replace(" boolean", "").replace(" binary", "").split(", "))
-
-    def name(ids, parts):
-        return hashlib.md5(b"".join([np.asarray(ids, "<i8").tobytes(), *(p.tobytes() for p in parts)])).hexdigest()
+            per = np.bincount(doc[part], minlength=len(ids))
+            rows.append((b, ids[0], None, None, per.astype("<i4").tobytes(), None, _pack(hashes[part])))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
     def send(batches):
-        ids, sizes, parts, held = [], [], [], 0
+        ids, keys, sizes, parts, held = [], [], [], [], 0
         for b in batches:
-            doc, text = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for i in range(0, len(doc), 1000):
-                s, h = shingle_sets(text[i : i + 1000], n)
-                ids, sizes, held = ids + doc[i : i + 1000], sizes + s.tolist(), held + len(h)
+            row, key, text = (b.column(i).to_pylist() for i in range(3))
+            for i, j in _slices(text, SLICE):
+                s, h = shingle_sets(text[i:j], n)
+                ids, keys, sizes, held = ids + row[i:j], keys + key[i:j], sizes + s.tolist(), held + len(h)
                 parts.append(h)
                 if held >= BATCH:
-                    yield flush(ids, sizes, np.concatenate(parts), name(ids, parts))
-                    ids, sizes, parts, held = [], [], [], 0
+                    yield flush(ids, keys, sizes, np.concatenate(parts))
+                    ids, keys, sizes, parts, held = [], [], [], [], 0
         if ids:
-            yield flush(ids, sizes, np.concatenate(parts), name(ids, parts))
+            yield flush(ids, keys, sizes, np.concatenate(parts))
+        trim()
 
     return docs.mapInArrow(send, _SENT)
 
 
-_ANSWER = "batch string, head boolean, bucket int, docs binary, sizes binary, sums binary, hashes binary, levels binary"
+_ANSWER = "batch long, bucket int, docs array<long>, keys array<long>, sizes binary, sums binary, hashes binary, levels binary"
 
 
 def _answer(sent: DataFrame) -> DataFrame:
     """Of each batch's shingles in a bucket, those that several documents have, with log2 of how many."""
-    names = [f.split()[0] for f in _ANSWER.split(", ")]
+    names, types = [f.split()[0] for f in _ANSWER.split(", ")], [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), *_BINARY, pa.binary()]
 
     def answer(key, table):
-        heads = table.filter(table["head"])
-        rest = table.filter(pa.compute.invert(table["head"]))
+        is_head = table["docs"].is_valid()
+        heads, rest = table.filter(is_head), table.filter(pa.compute.invert(is_head))
         bucket = key[0].as_py()
-        out = [(b, True, bucket, d, s, m, None, None) for b, d, s, m in zip(*(heads[c].to_pylist() for c in ("batch", "docs", "sizes", "sums")), strict=True)]
+        out = [(b, bucket, d, k, s, m, None, None) for b, d, k, s, m in zip(*(heads[c].to_pylist() for c in ("batch", "docs", "keys", "sizes", "sums")), strict=True)]
         packed = rest["hashes"].to_pylist()
         if packed:
             parts = [_unpack(p) for p in packed]
@@ -188,53 +202,41 @@ def _answer(sent: DataFrame) -> DataFrame:
                 if hit.any():
                     per = np.frombuffer(per, "<i4")
                     doc = np.repeat(np.arange(len(per)), per)[hit]
-                    out.append((b, False, bucket, None, np.bincount(doc, minlength=len(per)).astype("<i4").tobytes(), None, _pack(p[hit]), level[at[hit]].tobytes()))
-        types = [pa.string(), pa.bool_(), pa.int32(), *[pa.binary()] * 5]
+                    out.append((b, bucket, None, None, np.bincount(doc, minlength=len(per)).astype("<i4").tobytes(), None, _pack(p[hit]), level[at[hit]].tobytes()))
         return pa.table([pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [[]] * 8, types, strict=True)], names)
 
     return sent.groupBy("bucket").applyInArrow(answer, _ANSWER)
 
 
-_SETS = "doc_id long, n int, a long, b long, tokens array<long>, prefix int"
+_SETS = "id long, key long, n int, a long, b long, tokens array<long>, prefix int"
 
 
-def _gather(answers: DataFrame, percent: int) -> DataFrame:
+def _gather(answers: DataFrame, percent: int, bits: int) -> DataFrame:
     """Per document: size, digest, shared shingles rarest first, and how many of them are in its prefix."""
 
     def gather(_, table):
-        import pyarrow.compute as pc
-
-        head = table.filter(table["head"])
-        rest = table.filter(pc.invert(table["head"]))
-        ids = np.concatenate([np.frombuffer(x, "<i8") for x in head["docs"].to_pylist()])
-        valid = np.concatenate([np.frombuffer(x, "<i4") for x in head["sizes"].to_pylist()]).astype("i8")
-        sums = [np.frombuffer(x, "<i8") for x in head["sums"].to_pylist()]
-        a, b = (np.concatenate([s[: len(s) // 2] for s in sums]), np.concatenate([s[len(s) // 2 :] for s in sums]))
-        copies = len(sums)  # a batch of repeated rows may come more than once
-        m = len(ids) // copies
+        is_head = table["docs"].is_valid()
+        head, rest = table.filter(is_head), table.filter(pa.compute.invert(is_head))
+        ids, keys = (pa.array(head[c][0].as_py(), pa.int64()) for c in ("docs", "keys"))
+        n = np.frombuffer(head["sizes"][0].as_py(), "<i4").astype("i8")
+        m, sums = len(ids), np.frombuffer(head["sums"][0].as_py(), "<i8")
         doc, tok, lev = [np.zeros(0, "i8")], [np.zeros(0, "i8")], [np.zeros(0, "u1")]
         for bucket, per, h, level in zip(*(rest[c].to_pylist() for c in ("bucket", "sizes", "hashes", "levels")), strict=True):
-            per = np.frombuffer(per, "<i4")
-            doc.append(np.repeat(np.arange(m), per))
-            tok.append((_unpack(h) | (_U(bucket & 0x7FFF) << _U(48))).astype("i8"))
+            doc.append(np.repeat(np.arange(m), np.frombuffer(per, "<i4")))
+            tok.append((_unpack(h) | (_U(bucket >> (bits - 8)) << _U(56))).astype("i8"))
             lev.append(np.frombuffer(level, "u1"))
         doc, tok, lev = np.concatenate(doc), np.concatenate(tok), np.concatenate(lev)
         order = np.lexsort((tok, lev, doc))
         doc, tok = doc[order], tok[order]
-        if copies > 1 and len(doc):
-            keep = np.concatenate([[True], (doc[1:] != doc[:-1]) | (tok[1:] != tok[:-1])])
-            doc, tok = doc[keep], tok[keep]
         shared = np.bincount(doc, minlength=m)
-        n = valid[:m]
         need = -(-percent * n // 100)
         prefix = np.maximum(0, n - need + 1 - (n - shared)) * (n > 0)
         prefix = np.minimum(prefix, shared)
-        edges = np.concatenate([[0], np.cumsum(shared)])
         wanted = prefix > 0
         keep = np.repeat(wanted, shared)
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(wanted, shared, 0))]).astype("i4")), pa.array(tok[keep]))
-        out = pa.table([pa.array(ids[:m]), pa.array(n.astype("i4")), pa.array(a[:m]), pa.array(b[:m]), lists, pa.array(prefix.astype("i4"))], ["doc_id", "n", "a", "b", "tokens", "prefix"])
-        return pa.concat_tables([out] * copies) if copies > 1 else out
+        columns = [ids, keys, pa.array(n.astype("i4")), pa.array(sums[:m]), pa.array(sums[m:]), lists, pa.array(prefix.astype("i4"))]
+        return pa.table(columns, [f.split()[0] for f in _SETS.split(", ")])
 
     return answers.groupBy("batch").applyInArrow(gather, _SETS)
 
@@ -249,6 +251,7 @@ def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             xv, yv, xo, yo = x.values.to_numpy(), y.values.to_numpy(), x.offsets.to_numpy(), y.offsets.to_numpy()
             common = [len(np.intersect1d(xv[p:q], yv[r:s], assume_unique=True)) for p, q, r, s in zip(xo[:-1], xo[1:], yo[:-1], yo[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(4), b.column(5), pa.array(common, pa.int64())], ["x", "y", "n_x", "n_y", "common"])
+        trim()
 
     both = pairs.join(left, "x").join(right, "y").select("x", "y", "t_x", "t_y", "n_x", "n_y")
     return both.mapInArrow(overlap, "x long, y long, n_x int, n_y int, common long").withColumn("either", F.col("n_x") + F.col("n_y") - F.col("common"))
@@ -279,16 +282,14 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
 def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 75) -> DataFrame:
     """``key, n_shingles, component_id`` of each row. Only connectivity is derived: links within a family are neither counted nor given."""
     spark = df.sparkSession
-    docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    nulls = docs.where("doc_id IS NULL").limit(1).count() > 0
-    if nulls:
-        docs = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(1 << 62))))
-    buckets = max(8, min(4 * parallelism(spark), 1 << 15))
-    sets = materialise(_gather(_answer(_send(docs, n, buckets)), percent), "sets")
+    # Rows are known by a number of their own, so that null or repeated keys are rows like others.
+    docs = df.select(F.monotonically_increasing_id().alias("id"), F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    bits = min(16, max(8, math.ceil(math.log2(4 * parallelism(spark)))))
+    sets = materialise(_gather(_answer(_send(docs, n, bits)), percent, bits), "sets")
 
     # Equal sets: one representative.
-    by_set = sets.where("n > 0").groupBy("n", "a", "b").agg(F.min("doc_id").alias("rep"))
-    tokens = sets.where("prefix > 0").groupBy("n", "a", "b").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("tokens", "prefix"), "doc_id").alias("s"))
+    by_set = materialise(sets.where("n > 0").groupBy("n", "a", "b").agg(F.min("id").alias("rep"), F.min("key").alias("least"), F.count("*").alias("copies")), "by_set")
+    tokens = sets.where("prefix > 0").groupBy("n", "a", "b").agg(F.min("id").alias("rep"), F.min_by(F.struct("tokens", "prefix"), "id").alias("s"))
     reps = materialise(tokens.select("rep", "n", "s.tokens", "s.prefix"), "reps")
 
     # Lists, split by size class: within a class, sizes allow a link.
@@ -309,11 +310,23 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", n
     spans = stood.groupBy("token", "p", "class").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("rest").alias("rest"))
     lists_of = spans.groupBy("token").agg(F.countDistinct("p").alias("k")).where("k > 1")
     spans = materialise(spans.join(lists_of.select("token"), "token", "left_semi"), "spans")
-    left = spans.select("token", F.col("p").alias("x"), F.col("lo").alias("lo_x"), F.col("hi").alias("hi_x"), F.col("rest").alias("rest_x"), F.explode(F.array(F.col("class"), F.col("class") + 1)).alias("class"))
-    right = spans.select("token", F.col("p").alias("y"), F.col("lo").alias("lo_y"), F.col("hi").alias("hi_y"), F.col("rest").alias("rest_y"), "class")
+    # The blocks of a list meet by a pair of classes, the lesser first. A block goes to those pairs only whose smallest
+    # sets its positions can still reach the overlap with, so blocks to be skipped never meet.
+    floor_of = lambda c: F.floor(F.pow(F.lit(ratio), c.cast("double")) - 1e-6)
+    reaches = lambda least: F.col("rest") * (100 + percent) >= (F.col("lo") + least) * percent
+    own, step = F.col("class"), lambda d: F.col("class") + d
+
+    def sent(side: str, pairs: Column) -> DataFrame:
+        cols = [F.col(c).alias(f"{c}_{side}") for c in ("lo", "hi", "rest")]
+        return spans.select("token", F.col("p").alias(side), *cols, F.explode(pairs).alias("pair"))
+
+    either_class = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+    up = F.when(reaches(floor_of(step(1))), F.array(either_class(own, own), either_class(own, step(1)))).otherwise(F.array(either_class(own, own)))
+    down = F.when(reaches(floor_of(step(-1))), F.array(either_class(own, own), either_class(step(-1), own))).otherwise(F.array(either_class(own, own)))
+    left, right = (sent(side, F.when(reaches(floor_of(own)), pairs).otherwise(F.filter(pairs, lambda q: q.a != q.b))) for side, pairs in (("x", up), ("y", down)))
     fits = (F.col("hi_x") * 100 >= F.col("lo_y") * percent) & (F.col("hi_y") * 100 >= F.col("lo_x") * percent) & (F.col("x") != F.col("y"))
     fits = fits & (F.least("rest_x", "rest_y") * (100 + percent) >= (F.col("lo_x") + F.col("lo_y")) * percent)
-    across = left.join(right, ["token", "class"]).where(fits).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    across = left.join(right, ["token", "pair"]).where(fits).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     across = across.join(near.where(linked).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")), ["x", "y"], "left_anti")
     between = materialise(_compare(across, reps), "between")
     # Families whose pivots are too far apart to link, but whose members may.
@@ -333,10 +346,12 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", n
     links = near.where(linked).select("x", "y").union(between.where(linked).select("x", "y")).union(found.where(linked).select("x", "y"))
     roots = components(links)
 
-    # Representatives are the least ids of their sets, so the least of a component is the least id in it.
-    rows = sets.join(by_set, ["n", "a", "b"], "left").join(roots, F.col("rep") == F.col("node"), "left")
-    component = F.coalesce("root", "rep", "doc_id")
-    null_id = -(1 << 62)
-    unmask = lambda c: F.when(c == null_id, F.lit(None)).otherwise(c) if nulls else c
-    out = rows.select(unmask(F.col("doc_id")).alias(key), F.col("n").cast("long").alias("n_shingles"), unmask(component).alias("component_id"))
-    return out
+    # Each set's component, and the least key in it.
+    rooted = by_set.join(roots, F.col("rep") == F.col("node"), "left").select("n", "a", "b", "least", F.coalesce("root", "rep").alias("root"))
+    rooted = materialise(rooted, "rooted")
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("_n"))
+    named = spread_join(rooted.select("n", "a", "b", "root"), least.drop("_n"), least.drop("component_id"), ["root"], F.col("a")).drop("root")
+    copies = by_set.select("n", "a", "b", F.col("copies").alias("_n"))
+    rows = spread_join(sets.select("id", "key", "n", "a", "b"), named, copies, ["n", "a", "b"], F.col("id"))
+    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("key"))
+    return rows.select(F.col("key").alias(key), F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"))
