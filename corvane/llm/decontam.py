@@ -27,7 +27,9 @@ neighbours for anchor, whatever they are, or its only word, at no distance.
 
 Nulls: null or empty texts have no windows. Items shorter than a window are one
 window of their own width, so an item of one word is found wherever the word is.
-Repeated items and documents are found alike. Empty tables give no rows.
+Repeated items and documents are found alike. A very long text is one array of
+words in its task. Columns other than those named are ignored. Empty tables give
+no rows.
 """
 
 from __future__ import annotations
@@ -46,8 +48,8 @@ NUMBERS = "zero one two three four five six seven eight nine ten eleven twelve t
 WIDTH, MIN_WORDS = 8, 4
 #: Up to so many anchors are sets in the filter; more are joined.
 MAX_SET = 20_000
-#: Up to so many benchmark windows are broadcast; more are shuffled.
-MAX_BROADCAST = 2_000_000
+#: Benchmark windows of up to so many bytes are broadcast; more are shuffled.
+MAX_BROADCAST = 64 << 20
 
 
 def words_of(text: str) -> Column:
@@ -204,7 +206,9 @@ def find_items(
     rows = materialise(rows, "anchored")  # few documents, read once a width
     totals = plates.select("item", "at", "exact").distinct().groupBy("item").agg(F.count("*").alias("windows"), F.count_if(~F.col("exact")).alias("templates"))
     plates = plates.select("item", F.col("at").alias("item_at"), "hash", F.col("slots").alias("item_slots")).distinct()
-    if plates.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
+    plates = materialise(plates, "plates")
+    held = plates.agg(F.sum(F.octet_length(F.array_join("item_slots", " ")) + 32 * F.size("item_slots") + 128).alias("n")).first().n
+    if (held or 0) <= MAX_BROADCAST:
         plates = F.broadcast(plates)
     found = None
     for w in sized:
