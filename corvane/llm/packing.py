@@ -7,13 +7,16 @@ first, each item goes to the open bin that still fits it under every capacity
 and leaves the least weighted norm of residuals (or has the largest weighted dot
 product with it). Bins in the same state are placed in bulk, which gives the
 same bins as one item at a time. The plan, runs of ranks within a length to
-runs of bins, is broadcast: its size depends on the capacity, and is checked.
+runs of bins, is broadcast while it is small; beyond that it is written as a table
+and joined by stretches of ranks.
 
 Only texts longer than the capacity are cut, in pieces of the capacity; the
 first piece takes what is left over, and whole pieces fill bins of their own.
 
-Nulls: a null text is empty and has the end id alone. Repeated rows are packed
-as they come. An empty table gives no pieces.
+Nulls: a null text is empty and has the end id alone; a null key is one like
+others. Repeated rows are packed each. A very long text is cut in its task. Other
+columns of ``pieces``, whatever their names, are kept, but for ``sequence_id`` and
+``offset``, which are replaced. An empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -28,30 +31,37 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .scratch import materialise, parallelism
+from .scratch import free_name, materialise, parallelism, trim
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: A plan of more runs than this is refused, rather than broadcast.
-MAX_RUNS = 2_000_000
+#: Up to so many runs, of 48 bytes each, are broadcast; more are joined, by stretches of so many ranks.
+MAX_RUNS, STRETCH = 200_000, 1 << 16
 
 
 def cut_pieces(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", capacity: int = 1024, end_id: int = 2) -> DataFrame:
     """The pieces of each text: place, length and checksum of their ids."""
-    end = np.asarray([end_id], "<u4").tobytes()
+    end = np.asarray([end_id], "<u4")
 
     def cut(batches):
-        encode_one = encoder(tokenizer).encode
+        encode_batch = encoder(tokenizer).encode_batch
         for batch in batches:
-            out: list[list[int]] = [[], [], [], [], []]
-            for doc, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = memoryview(encode_one(t) + end)
-                n = len(ids) // 4
-                edges = [0, *range((n - 1) % capacity + 1, n + 1, capacity)]
-                for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
-                    for column, v in zip(out, (doc, i, a, b - a, zlib.crc32(ids[4 * a : 4 * b])), strict=True):
-                        column.append(v)
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            at = 0
+            for sizes, ids in encode_batch(batch.column(1)):
+                view = memoryview(np.insert(ids, np.cumsum(sizes), end[0])).cast("B")
+                sizes = sizes + 1
+                begin = np.cumsum(sizes) - sizes
+                n = -(-sizes // capacity)
+                row = np.repeat(np.arange(len(sizes)), n)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                first = ((sizes - 1) % capacity + 1)[row]
+                start = np.where(piece > 0, first + (piece - 1) * capacity, 0)
+                length = np.where(piece > 0, capacity, first)
+                place = (begin[row] + start).tolist()
+                sums = [zlib.crc32(view[4 * p : 4 * (p + k)]) for p, k in zip(place, length.tolist(), strict=True)]
+                keys = batch.column(0).slice(at, len(sizes)).take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([keys, pa.array(piece.astype("i4")), pa.array(start), pa.array(length), pa.array(sums, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
+                at += len(sizes)
+        trim()
 
     return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(cut, PIECES)
 
@@ -121,31 +131,52 @@ def pack_best_fit(pieces: DataFrame, capacity: int = 1024, max_docs: int = 1024,
     """
     spark = pieces.sparkSession
     blocks = 16 * parallelism(spark)
-    pieces = pieces.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(blocks)))
-    sizes = materialise(pieces.groupBy("length", "block").agg(F.count("*").alias("n")), "lengths")
-    counts = {r.length: r.n for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``capacity`` rows
-    runs = plan_best_fit(counts, capacity, max_docs, max_cost, rule=rule)
-    if len(runs) > MAX_RUNS:
-        raise ValueError(f"a plan of {len(runs)} runs is too large to broadcast")
-    table = np.asarray(sorted(runs), "i8").reshape(-1, 6)
-    plan = spark.sparkContext.broadcast(table)
-    before = Window.partitionBy("length").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.drop("sequence_id", "offset")
+    kept = pieces.columns
+    block, base, at, rank = (free_name(pieces, c) for c in ("block", "base", "at", "rank"))
+    pieces = pieces.withColumn(block, F.pmod(F.xxhash64("doc_id", "piece"), F.lit(blocks)))
+    sizes = materialise(pieces.groupBy("length", block).agg(F.count("*").alias("_n")), "lengths")
+    counts = {r.length: r.n for r in sizes.groupBy("length").agg(F.sum("_n").alias("n")).collect()}  # at most ``capacity`` rows
+    runs = np.asarray(sorted(plan_best_fit(counts, capacity, max_docs, max_cost, rule=rule)), "i8").reshape(-1, 6)
+    before = Window.partitionBy("length").orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
     # Written, so that the join keeps both keys: dealt by length alone, as this window is, one length's pieces would meet in one task.
-    bases = materialise(sizes.select("length", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "bases")
-    order = Window.partitionBy("length", "block").orderBy("doc_id", "piece", "start")
-    ranked = pieces.withColumn("at", F.row_number().over(order) - 1).join(bases, ["length", "block"])
-    ranked = ranked.withColumn("rank", F.col("base") + F.col("at")).drop("base", "at", "block")
+    bases = materialise(sizes.select("length", block, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias(base)), "bases")
+    order = Window.partitionBy("length", block).orderBy("doc_id", "piece", "start")
+    ranked = pieces.withColumn(at, F.row_number().over(order) - 1).join(bases, ["length", block])
+    ranked = ranked.select(*kept, (F.col(base) + F.col(at)).alias(rank))
+    return _placed(ranked, runs, rank) if len(runs) <= MAX_RUNS else _joined(ranked, runs, rank)
+
+
+def _placed(ranked: DataFrame, runs: np.ndarray, rank: str) -> DataFrame:
+    """Sequences and offsets from a broadcast plan."""
+    plan = ranked.sparkSession.sparkContext.broadcast(runs)
 
     def place(batches):
         runs = plan.value
         key = runs[:, 0] * (1 << 44) + runs[:, 1]  # ranks stay below 2 ** 44
         for b in batches:
-            length, rank = (b.column(b.schema.get_field_index(c)).to_numpy() for c in ("length", "rank"))
-            run = runs[np.searchsorted(key, length * (1 << 44) + rank, "right") - 1] if len(runs) else runs
-            inside = rank - run[:, 1]
+            length, ranks = (b.column(b.schema.get_field_index(c)).to_numpy() for c in ("length", rank))
+            run = runs[np.searchsorted(key, length * (1 << 44) + ranks, "right") - 1] if len(runs) else runs
+            inside = ranks - run[:, 1]
             seq = run[:, 3] + inside // run[:, 4]
             offset = run[:, 5] + inside % run[:, 4] * length
             yield b.append_column("sequence_id", pa.array(seq)).append_column("offset", pa.array(offset))
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema)
-    return ranked.mapInArrow(place, f"{fields}, sequence_id long, offset long").drop("rank")
+    return ranked.mapInArrow(place, f"{fields}, sequence_id long, offset long").drop(rank)
+
+
+def _joined(ranked: DataFrame, runs: np.ndarray, rank: str) -> DataFrame:
+    """Sequences and offsets from a plan of any size: each run goes to the stretches of ranks that it touches."""
+    spark = ranked.sparkSession
+    names = ["_length", "_rank", "_n", "_bin", "_per", "_offset"]
+    rows = None
+    for i in range(0, len(runs), 1_000_000):
+        part = spark.createDataFrame(pa.table([pa.array(c) for c in runs[i : i + 1_000_000].T], names))
+        rows = part if rows is None else rows.union(part)
+    first, last = F.floor(F.col("_rank") / STRETCH), F.floor((F.col("_rank") + F.col("_n") - 1) / STRETCH)
+    rows = materialise(rows.withColumn("_stretch", F.explode(F.sequence(first, last))), "plan")
+    inside = F.col(rank) - F.col("_rank")
+    held = (F.col("length") == F.col("_length")) & (F.floor(F.col(rank) / STRETCH) == F.col("_stretch")) & (inside >= 0) & (inside < F.col("_n"))
+    seq, offset = F.col("_bin") + F.floor(inside / F.col("_per")), F.col("_offset") + inside % F.col("_per") * F.col("length")
+    return ranked.join(rows, held).select(*(c for c in ranked.columns if c != rank), seq.cast("long").alias("sequence_id"), offset.cast("long").alias("offset"))
