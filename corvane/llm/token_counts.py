@@ -6,19 +6,23 @@ version digest (of its file) are looked up in a stored table. Distinct misses
 are found from digests alone; one text of each is encoded, and its count is
 appended to the store. A rerun encodes only what is new.
 
-Repeated rows keep their rows. An empty table gives no rows and appends none.
+Repeated rows keep their rows and are encoded once (twice at the most, where a
+frequent digest is split over tasks; the lookup takes one). Null keys are keys
+like others. A very long text is counted by itself. Columns other than those
+named are ignored. An empty table gives no rows and appends none.
 """
 
 from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import encoder
+from .scratch import materialise, spread_join, trim
 
 CACHE = "digest binary, version string, n_tokens long"
 
@@ -30,43 +34,60 @@ def tokenizer_version(path: str) -> str:
 
 
 def _counts(df: DataFrame, tokenizer: str, kind: str) -> DataFrame:
-    """``digest, version, n_tokens`` for ``digest, version, text``."""
+    """``digest, version, n_tokens`` for ``digest, version, text``, each digest once a task."""
 
     def count(batches):
         if kind == "model":
             import sentencepiece
 
             model = sentencepiece.SentencePieceProcessor(model_file=tokenizer)
-            size = lambda t: len(model.encode(t, num_threads=1))
+            sizes = lambda texts: np.asarray([len(model.encode(t, num_threads=1)) for t in texts.to_pylist()], "i8")
         else:
-            encode = encoder(tokenizer).encode
-            size = lambda t: len(encode(t)) // 4
+            sizes = encoder(tokenizer).count_batch
+        seen: set[bytes] = set()
         for b in batches:
-            n = pa.array([size(t) for t in b.column(2).to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), n], ["digest", "version", "n_tokens"])
+            fresh = [d not in seen and not seen.add(d) for d in b.column(0).to_pylist()]
+            b = b if all(fresh) else b.filter(pa.array(fresh, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes(b.column(2)), pa.int64())], ["digest", "version", "n_tokens"])
+        trim()
 
     return df.mapInArrow(count, CACHE)
 
 
-def read_cache(spark, path: str) -> DataFrame:
-    try:
-        return spark.read.schema(CACHE).parquet(path)
-    except AnalysisException:  # no such table yet
-        return spark.createDataFrame([], CACHE)
+def read_cache(spark, path: str, version: str) -> DataFrame:
+    """``digest, n_tokens`` as stored; no rows where there is no store yet."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], CACHE).select("digest", "n_tokens")
+    stored = spark.read.schema(CACHE).parquet(path).where(F.col("version") == version)
+    return stored.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
 
 
-def count_tokens(df: DataFrame, tokenizer: str, cache: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, n_bytes, n_tokens`` of each row; the cache at ``cache`` gains what it lacked."""
-    spark, version = df.sparkSession, tokenizer_version(tokenizer)
+def _digests(df: DataFrame, key: str, text: str) -> DataFrame:
     content = F.coalesce(F.col(text), F.lit(""))
-    digest = F.unhex(F.sha2(content, 256))
-    rows = df.select(F.col(key).alias(key), F.octet_length(content).cast("long").alias("n_bytes"), digest.alias("digest"))
-    known = read_cache(spark, cache).where(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    return df.select(F.col(key).alias("key"), F.octet_length(content).cast("long").alias("n_bytes"), F.unhex(F.sha2(content, 256)).alias("digest"))
+
+
+def _add_missing(rows: DataFrame, df: DataFrame, tokenizer: str, cache: str, key: str, text: str) -> int:
+    """Encode one text of each digest of ``rows`` that the store lacks, and append the counts; how many there were."""
+    version = tokenizer_version(tokenizer)
+    stored = read_cache(df.sparkSession, cache, version)
     # One row stands for each digest: found without its text, which only then is fetched.
-    miss = rows.groupBy("digest").agg(F.min(key).alias(key)).join(known, "digest", "left_anti")
-    texts = df.select(F.col(key).alias(key), content.alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256)))
-    picked = texts.join(miss.hint("shuffle_hash"), (texts[key].eqNullSafe(miss[key])) & (texts.digest == miss.digest), "left_semi")
-    kind = "model" if tokenizer.endswith(".model") else "json"
-    _counts(picked.select("digest", F.lit(version).alias("version"), "text"), tokenizer, kind).write.mode("append").parquet(cache)
-    counts = read_cache(spark, cache).where(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    return rows.join(counts, "digest").select(key, "n_bytes", "n_tokens")
+    miss = materialise(rows.groupBy("digest").agg(F.min("key").alias("key")).join(stored, "digest", "left_anti"), "misses")
+    n = miss.count()
+    if n:
+        texts = df.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256)))
+        same = texts["key"].eqNullSafe(miss["key"]) & (texts["digest"] == miss["digest"])
+        picked = texts.join(miss, same, "left_semi").select("digest", F.lit(version).alias("version"), "text")
+        _counts(picked, tokenizer, "model" if tokenizer.endswith(".model") else "json").write.mode("append").parquet(cache)
+    return n
+
+
+def count_tokens(df: DataFrame, tokenizer: str, cache: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key, n_bytes, n_tokens`` of each row; the cache at ``cache`` gains what it lacked."""
+    rows = materialise(_digests(df, key, text), "digests")
+    _add_missing(rows, df, tokenizer, cache, key, text)
+    counts = read_cache(df.sparkSession, cache, tokenizer_version(tokenizer))
+    copies = rows.groupBy("digest").agg(F.count("*").alias("_n"))
+    found = spread_join(rows, counts, copies, ["digest"], F.struct("key", "n_bytes"))
+    return found.select(F.col("key").alias(key), "n_bytes", "n_tokens")
