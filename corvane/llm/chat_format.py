@@ -15,9 +15,10 @@ not; joined, they are the formatted text.
 A conversation's events meet in runs of turns first and as rendered runs then,
 so a very long one is not sorted and rendered row by row in one task.
 
-Nulls: a null text or role is empty; a null sequence number comes first, and a
-null conversation is one of its own. Ties in order go by turn, role and text;
-repeated rows are kept. An empty table gives no rows.
+Nulls: a null text or role is empty; a null sequence number or turn comes first,
+and a null conversation is one of its own. Ties in order go by turn, role and text;
+repeated turns of a table are kept (``log_of``), repeated events of a log are events
+each. Other columns, whatever their names, are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -43,19 +44,38 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\\(.)", "$1")
 
 
-def fold_events(events: DataFrame, conv: str = "conv_id", seq: str = "seq", turn: str = "turn", role: str = "role", text: str = "text", op: str = "op") -> DataFrame:
-    """The final messages: ``conv, turn, role, text``, one row a turn.
+def log_of(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """The event log of a table with one row a turn: ``conv, turn, message, copy, seq, role, text, op``.
 
-    A regeneration or an edit starts a turn's text anew; its role is the last one given.
+    A message is streamed in two deltas; those of the assistant begin with a draft that is regenerated. Repeated
+    turns are messages of their own, told apart by ``message`` (a hash of role and text) and ``copy``.
     """
-    order = Window.partitionBy(conv, turn).orderBy(F.asc_nulls_first(seq), F.asc_nulls_first(role), F.asc_nulls_first(text))
+    rows = turns.groupBy(F.col(conv).alias(conv), F.col(turn).alias(turn), F.col(role).alias(role), F.col(text).alias(text)).agg(F.count("*").cast("int").alias("copy"))
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copy")))).withColumn("message", F.xxhash64(role, text))
+    half = F.floor(F.length(text) / 2).cast("int")
+    event = lambda seq, text, op: F.struct(F.lit(seq).cast("long").alias("seq"), text.alias("text"), F.lit(op).alias("op"))
+    deltas = F.array(event(3, F.left(text, half), "append"), event(4, F.substring(text, half + 1, F.length(text)), "append"))
+    events = F.when(F.col(role) == "assistant", F.concat(F.array(event(1, F.left(text, half), "append"), event(2, F.lit(""), "regenerate")), deltas)).otherwise(deltas)
+    return rows.withColumn("_e", F.explode(events)).select(conv, turn, "message", "copy", role, "_e.seq", F.col("_e.text").alias(text), "_e.op")
+
+
+def fold_events(
+    events: DataFrame, conv: str = "conv_id", seq: str = "seq", turn: str = "turn", role: str = "role", text: str = "text", op: str = "op", parts: tuple[str, ...] = (),
+) -> DataFrame:
+    """The final messages: ``conv, turn, role, text``, one row a message.
+
+    A message is a turn, or what ``parts`` tell apart in one. A regeneration or an edit starts its text anew; its role is the last one given.
+    """
+    message = [conv, turn, *parts]
+    order = Window.partitionBy(*message).orderBy(F.asc_nulls_first(seq), F.asc_nulls_first(role), F.asc_nulls_first(text))
     starts = F.sum(F.col(op).isin("replace", "regenerate").cast("int"))
-    marked = events.withColumn("_at", F.row_number().over(order)).withColumn("_life", F.coalesce(starts.over(order.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
-    lives = marked.groupBy(conv, turn, "_life").agg(
-        F.sort_array(F.collect_list(F.struct("_at", F.coalesce(text, F.lit("")).alias("t")))).alias("parts"), F.max_by(role, F.when(F.col(role).isNotNull(), F.col("_at"))).alias(role), F.max(F.col("_at")).alias("_last")
-    )
-    final = lives.groupBy(conv, turn).agg(F.max_by("parts", "_life").alias("parts"), F.max_by(role, F.when(F.col(role).isNotNull(), F.col("_life"))).alias(role))
-    return final.select(conv, turn, role, F.array_join(F.transform("parts", lambda p: p.t), "").alias(text))
+    names = dict.fromkeys([*message, seq, role, text, op])
+    marked = events.select(*names).withColumn("_at", F.row_number().over(order)).withColumn("_life", F.coalesce(starts.over(order.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
+    lives = marked.groupBy(*message, "_life").agg(
+        F.sort_array(F.collect_list(F.struct("_at", F.coalesce(text, F.lit("")).alias("t")))).alias("parts"), F.max_by(role, F.when(F.col(role).isNotNull(), F.col("_at"))).alias("_role"),
+    )
+    final = lives.groupBy(*message).agg(F.max_by("parts", "_life").alias("parts"), F.max_by("_role", F.when(F.col("_role").isNotNull(), F.col("_life"))).alias("_role"))
+    return final.select(conv, turn, F.col("_role").alias(role), F.array_join(F.transform("parts", lambda p: p.t), "").alias(text))
 
 
 def render(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", loss_role: str = "assistant") -> DataFrame:
@@ -63,7 +83,7 @@ def render(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     safe_role, safe = escape(F.coalesce(F.col(role), F.lit(""))), escape(F.coalesce(F.col(text), F.lit("")))
     head, loss = F.concat(F.lit(TURN), safe_role, F.lit(TEXT)), F.coalesce(F.col(role) == loss_role, F.lit(False))
     row = F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), safe.alias("text"), head.alias("head"), loss.alias("loss"))
-    runs = messages.groupBy(F.col(conv).alias(conv), F.floor(F.coalesce(F.col(turn).cast("double"), F.lit(-1.0)) / RUN).alias("_run")).agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    runs = messages.groupBy(F.col(conv).alias(conv), F.floor(F.col(turn).cast("double") / RUN).alias("_run")).agg(F.sort_array(F.collect_list(row)).alias("rows"))
     segments = lambda r: F.when(
         r.loss, F.array(F.struct(r["head"].alias("text"), F.lit(False).alias("loss")), F.struct(r["text"].alias("text"), F.lit(True).alias("loss")), F.struct(F.lit(END + "\n").alias("text"), F.lit(False).alias("loss")))
     ).otherwise(F.array(F.struct(F.concat(r["head"], r["text"], F.lit(END + "\n")).alias("text"), F.lit(False).alias("loss"))))
@@ -72,10 +92,10 @@ def render(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     return whole.select(conv, F.flatten(F.transform("runs", lambda r: r.segments)).alias("segments"))
 
 
-def format_chats(events: DataFrame, **names: str) -> DataFrame:
+def format_chats(events: DataFrame, parts: tuple[str, ...] = (), **names: str) -> DataFrame:
     """Fold a log and render it."""
     conv, turn, role, text = (names.get(k, d) for k, d in (("conv", "conv_id"), ("turn", "turn"), ("role", "role"), ("text", "text")))
-    return render(fold_events(events, **names), conv, turn, role, text)
+    return render(fold_events(events, parts=parts, **names), conv, turn, role, text)
 
 
 def read_back(rendered: DataFrame, conv: str = "conv_id") -> DataFrame:
