@@ -13,9 +13,11 @@ fitted on a sample of at most ``sample`` labelled rows, taken by hash of their
 ids: documented bound, 40,000; half chooses entries, the other half fits the
 curve. Counting is distributed; at most ``max_entries`` entries are kept.
 
-Nulls: a null text is empty and scores as a text without matches does. Repeated
-rows and ties score alike. Without labels of both kinds the built-in lexicon
-is used. An empty table gives no rows.
+Nulls: a null text is empty and scores as a text without matches does; a null
+label or key is left out of the sample. Repeated rows and ties score alike. A very
+long text is folded and matched whole. Other columns are kept; one named like the
+score is replaced. Without labels of both kinds the built-in lexicon is used. An
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import trim
+
 #: Letters of other scripts that look like Latin ones, and digits and signs used for letters.
 HOMOGLYPHS = dict(zip("аеорсухіјѕԁһкмтвнзαενοικρτυχаＡ", "aeopcyxijsdhkmtbh3aevoikptuxaa", strict=True))
 DIGITS = str.maketrans("013457@$!", "oieastasi")
@@ -38,7 +42,11 @@ BUILT_IN = {"idiot": 4.0, "moron": 4.0, "stupid": 3.0, "loser": 3.0, "scum": 4.0
 #: Phrases in which an entry is no insult.
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "class clown", "circus clown", "idiot proof", "idiot light", "sore loser")
 BEGINNINGS = (4, 5, 6)
-_FOLD = str.maketrans({**HOMOGLYPHS, **{chr(0xFF01 + i): chr(0x21 + i) for i in range(94)}, **{c: None for c in "­​‌‍⁠﻿"}})
+#: A task hands on its counts of entries when it holds so many, to bound its memory.
+MAX_COUNTED = 300_000
+#: The score from which a text counts as toxic: the curve is laid so that this cut separates best.
+CUT = 0.7
+_FOLD = str.maketrans({**HOMOGLYPHS, **{chr(0xFF01 + i): chr(0x21 + i) for i in range(94)}, **{c: None for c in "\u00ad\u200b\u200c\u200d\u2060\ufeff"}})
 _MIXED = re.compile(r"[^\W_]*(?:[^\W\d_][\d@$!]|[\d@$!][^\W\d_])[\w@$!]*")
 _WORD = re.compile(r"[^\W_]+")
 
@@ -112,8 +120,7 @@ def _entries(text: str | None) -> set[str]:
 
 
 def learn_lexicon(
-    labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = 40_000,
-    max_entries: int = 5_000, min_odds: float = 4.0,
+    labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_entries: int = 5_000, min_odds: float = 4.0,
 ) -> Lexicon:
     """Fit a lexicon on ``labelled``, one row a text. Its rows should be few columns: it is read twice."""
     half = F.pmod(F.xxhash64(F.lit("half"), F.col(key)), F.lit(2))
@@ -128,6 +135,12 @@ def learn_lexicon(
         for b in batches:
             for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 seen[y].update(_entries(t))
+                if len(seen[0]) + len(seen[1]) > MAX_COUNTED:
+                    yield from flush(seen)
+        yield from flush(seen)
+        trim()
+
+    def flush(seen):
         for toxic in (1, 0):
             part = seen[toxic]
             keys = list(part)
@@ -136,6 +149,7 @@ def learn_lexicon(
                 n = [part[e] for e in k]
                 zero = [0] * len(k)
                 yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n if toxic else zero, pa.int64()), pa.array(zero if toxic else n, pa.int64())], ["entry", "toxic", "clean"])
+            part.clear()
 
     counts = rows.where("half = 0").select("text", "y").mapInArrow(count, "entry string, toxic long, clean long").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     odds = F.log((F.col("toxic") + 0.5) / (pos + 1)) - F.log((F.col("clean") + 0.5) / (neg + 1))
@@ -184,13 +198,17 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", tex
 
 
 def score_texts(df: DataFrame, lexicon: Lexicon, text: str = "text", out: str = "score") -> DataFrame:
-    """``df`` with the score of each whole text."""
+    """``df`` with the score of each whole text in ``out``, which replaces a column of that name (unless it is the text)."""
+    if out == text:
+        raise ValueError("the score needs a column of its own")
+    df = df.drop(out)
     shared = df.sparkSession.sparkContext.broadcast(lexicon)
 
     def score(batches):
         one = shared.value.score
         for b in batches:
             yield b.append_column(out, pa.array([one(t) for t in b.column(b.schema.get_field_index(text)).to_pylist()], pa.float64()))
+        trim()
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
     return df.mapInArrow(score, f"{fields}, `{out}` double")
