@@ -18,6 +18,7 @@ kept. An empty table gives no rows.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -25,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import free_name, trim
+
 #: HTML's element names by their part in a page.
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -49,6 +52,7 @@ class _Lines(HTMLParser):
         self.lines: list[list] = []  # text parts, tags, link characters, article, heading
         self.articles = 0
         self.line: list | None = None
+        self.open: Counter[str] = Counter()  # elements on the stack, by name
 
     def _open(self) -> tuple[bool, int]:
         return self.stack[-1][1:] if self.stack else (False, 0)
@@ -59,8 +63,7 @@ class _Lines(HTMLParser):
     def handle_starttag(self, tag, attrs):
         beside, article = self._open()
         if tag in BLOCK:
-            if any(t == "p" for t, *_ in self.stack[-8:]):
-                self._close("p")
+            self._close("p")
             for t in _CLOSES.get(tag, ()):
                 if self.stack and self.stack[-1][0] == t:
                     self._close(t)
@@ -80,6 +83,7 @@ class _Lines(HTMLParser):
             beside = tag in NEVER or tag == "header" and not article or named.get("role", "").lower() in ROLES or "hidden" in named or named.get("aria-hidden") == "true"
             beside = beside or tag not in ("html", "body", "article", "main") and bool(BESIDE.search(marks))
         self.stack.append((tag, beside, article))
+        self.open[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -87,9 +91,11 @@ class _Lines(HTMLParser):
             self.handle_endtag(tag)
 
     def _close(self, tag: str) -> None:
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                del self.stack[i:]
+        """Close the innermost open ``tag`` and all in it; nothing, where none is open."""
+        while self.open[tag]:
+            last = self.stack.pop()[0]
+            self.open[last] -= 1
+            if last == tag:
                 break
 
     def handle_endtag(self, tag):
@@ -107,10 +113,10 @@ class _Lines(HTMLParser):
         if self.line is None:
             if not data.strip():
                 return
-            self.line = [[], 1, 0, article, any(t in HEADINGS for t, *_ in self.stack[-3:])]
+            self.line = [[], 1, 0, article, any(self.open[h] for h in HEADINGS)]
             self.lines.append(self.line)
         self.line[0].append(data)
-        if any(t == "a" for t, *_ in self.stack[-4:]):
+        if self.open["a"]:
             self.line[2] += len(data)
 
 
@@ -153,13 +159,15 @@ def extract_text(html: str | None, sigma: float = 1.0) -> str:
 
 
 def extract_pages(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
-    """``keep``'s columns, the ``text`` and ``n_chars`` of each page."""
-    columns = pages.select(*keep, F.col(html).alias("html"))
+    """``keep``'s columns (those named ``text`` or ``n_chars`` are replaced), the ``text`` and ``n_chars`` of each page."""
+    keep = tuple(c for c in keep if c not in ("text", "n_chars"))
+    columns = pages.select(*keep, F.col(html).alias(free_name(pages, "source")))
 
     def extract(batches):
         for b in batches:
             texts = [extract_text(h) for h in b.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*keep, "text", "n_chars"])
+        trim()
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in columns.schema[:-1])
-    return columns.mapInArrow(extract, f"{fields}, text string, n_chars long")
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in columns.schema[:-1])
+    return columns.mapInArrow(extract, f"{fields}text string, n_chars long")
