@@ -9,12 +9,17 @@ with replaced ones, and so follows edit distance more closely than plain
 MinHash, which ignores order.
 
 Elements are 64-bit integers (hash bits above, place below), sorted as such.
-Occurrences are numbered in the sorted array by doubling steps, taken only by
-texts whose repeats need them.
+Occurrences are numbered in the sorted array by doubling steps, as many as a
+text's repeats need.
 
 Nulls: a null text is empty; a text without words has no bins, and the
 fingerprint "". Two empty signatures are alike (1), one empty one is unlike (0).
-Fewer than ``k`` words are one k-mer. Equal texts have equal fingerprints.
+Fewer than ``k`` words are one k-mer. Equal texts have equal fingerprints. A text
+is one array in its task; places are kept modulo 2**24, so of texts beyond 16.7
+million words order is told within such stretches. Keys are integers, of any span;
+null keys come last in descending order, and equal keys are ordered by a hash of
+their texts, then by the texts. Columns other than those named are ignored or
+kept as they are. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,6 +33,13 @@ BINS = 1 << _BIN
 _TUPLE = 32  # bits of a tuple's hash in a signature
 #: Heads of up to so many blocks, 40 bytes each, are broadcast; more are shuffled.
 MAX_BROADCAST = 200_000
+#: Rows are dealt to blocks between so many quantiles of their keys, at most.
+MAX_QUANTILES = 1024
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``, computed once."""
+    return F.get(F.transform(F.array(value), body), 0)
 
 
 def _and(c: Column, mask: int) -> Column:
@@ -53,9 +65,14 @@ def with_signature(df: DataFrame, text: str, out: str, k: int = 3) -> DataFrame:
 
     def spread(f: Column, step: Column) -> Column:
         filled = F.transform(f, lambda x, i: F.when((x >= 0) | (i < step), x).otherwise(F.get(f, i - step)))
-        return F.when(F.exists(f, lambda x: x < 0), filled).otherwise(f)
+        return filled
 
-    df = df.withColumn("_f", F.aggregate(F.array(*(F.lit(1 << i) for i in range(_PLACE))), first, spread))
+    def steps(f: Column) -> Column:
+        """1, 2, 4 and so on, while below the number of repeats: no run is longer."""
+        n = F.size(F.filter(f, lambda x: x < 0))
+        return F.filter(F.array(*(F.lit(1 << i) for i in range(_PLACE))), lambda p: p <= n)
+
+    df = df.withColumn("_f", _let(first, lambda f: F.aggregate(steps(f), f, spread)))
     mixed = F.transform(F.arrays_zip(F.col("_e").alias("x"), F.col("_f").alias("f")), lambda p, i: packed(F.xxhash64(hash_of(p.x), i - p.f), p.x))
     df = df.withColumn("_m", F.sort_array(mixed)).drop("_e", "_f")
     # _s: the two smallest of each bin.
@@ -86,33 +103,63 @@ def likeness(a: str, b: str) -> Column:
     return F.when(either == 0, F.lit(1.0)).otherwise(F.sqrt(common / either)).cast("double")
 
 
+def _blocks(df: DataFrame, key: str, block_rows: int) -> tuple[Column, int]:
+    """A row's block ``(i, p, s)``, ordered as keys are, and about how many there are. Needs ``_h``, a hash of the text.
+
+    ``i`` is the stretch of keys between quantiles, so outlying keys make no block large; within one, ``s`` cuts by the key's place.
+    A key that fills several quantiles has blocks of its own (``p`` 0), cut by ``_h``; so have null keys (``i`` -1).
+    """
+    stats = df.agg(F.count("*").alias("n"), F.count(key).alias("known"), F.min(key).alias("lo"), F.max(key).alias("hi")).first()
+    parts = max(1, min(MAX_QUANTILES, stats.known // block_rows))
+    cuts = df.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)], 50 * MAX_QUANTILES).alias("q")).first().q if parts > 1 else []
+    bounds = sorted({stats.lo or 0, *cuts})
+    times = [(cuts or []).count(b) for b in bounds]
+    subs = -(-stats.known // (parts * block_rows)) or 1
+    longs = lambda xs: F.array(*(F.lit(x).cast("long") for x in xs))
+    after = [*bounds[1:], (stats.hi or 0) + 1]
+    part_of = lambda x, k: F.least(F.floor(x * k), k - 1).cast("long")
+    shuffled = F.col("_h").cast("double") / F.lit(2.0**64) + 0.5
+    k = F.col(key).cast("long")
+
+    def block(i: Column) -> Column:
+        lo, hi, n = F.get(longs(bounds), i).cast("double"), F.get(F.array(*(F.lit(float(a)) for a in after)), i), F.get(longs(times), i)
+        own = (n > 1) & (k == F.get(longs(bounds), i))
+        s = F.when(own, part_of(shuffled, subs * n)).otherwise(part_of((k.cast("double") - lo) / F.greatest(hi - lo, F.lit(1.0)), F.lit(subs).cast("long")))
+        return F.struct(i.alias("i"), F.when(own, 0).otherwise(1).alias("p"), s.alias("s"))
+
+    found = _let(F.size(F.filter(longs(bounds), lambda b: b <= k)) - 1, block)
+    nulls = -(-(stats.n - stats.known) // block_rows) or 1
+    none = F.struct(F.lit(-1).alias("i"), F.lit(0).alias("p"), part_of(shuffled, F.lit(nulls).cast("long")).alias("s"))
+    return F.when(F.col(key).isNull(), none).otherwise(found), parts * subs + sum(times) * subs + nulls
+
+
 def with_next(df: DataFrame, key: str, text: str, carry: dict[str, str], block_rows: int = 2048) -> DataFrame:
     """Adds the columns named by ``carry``'s values: those of its keys in the row with the next lower ``key``; the first row's, for the last.
 
     Rows are dealt to blocks of neighbouring keys; each block also gets the first row of the one after, so texts are
-    shuffled once and no task holds the whole order. Ties go by text; null keys come last.
+    shuffled once and no task holds the whole order.
     """
-    ids = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.count("*").alias("n")).first()
-    span = 0 if ids.lo is None else ids.hi - ids.lo + 1
-    width = max(1, -(-span * block_rows // max(1, ids.n)))
-    low = 0 if ids.lo is None else ids.lo
-    block = F.coalesce(F.floor((F.col(key) - F.lit(low)) / F.lit(width)), F.lit(-1)).cast("long")
-    rows = df.withColumn("_block", block)
+    hashed = df.withColumn("_h", F.xxhash64(text))
+    block, n_blocks = _blocks(df, key, block_rows)
+    rows = hashed.withColumn("_block", block)
     # Where the first row of each block goes besides: the block above, or for the topmost block, behind the lowest.
-    heads = rows.groupBy("_block").agg(F.max(F.struct(F.col(key).alias("k"), F.col("_block").alias("b"))).alias("top")).select("_block", F.col("top.k").alias("k"))
-    order = Window.orderBy("_block")  # one row a block
-    heads = heads.withColumn("up", F.lead("_block").over(order)).withColumn("bottom", F.min("_block").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    heads = heads.select(F.col("_block").alias("hb"), F.col("k").alias("hk"), F.coalesce("up", "bottom").alias("to"), F.col("up").isNull().alias("wrap"))
-    # One row a block: about ``span / width`` rows, so texts are not shuffled for this join unless that is large.
-    heads = F.broadcast(heads) if span // width < MAX_BROADCAST else heads
-    ghost = rows.join(heads, (F.col(key).eqNullSafe(F.col("hk"))) & (F.col("_block") == F.col("hb")), "left")
+    heads = rows.groupBy("_block").agg(F.max(F.struct(F.col(key).alias("k"), F.col("_h").alias("h"))).alias("top"))
+    firsts = heads.groupBy(F.col("_block.i").alias("i")).agg(F.min("_block").alias("first"))
+    all_of = Window.orderBy("i")  # at most one row a quantile
+    firsts = firsts.select("i", F.lead("first").over(all_of).alias("after"), F.min("first").over(all_of.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("bottom"))
+    up = F.lead("_block").over(Window.partitionBy("_block.i").orderBy("_block"))
+    heads = heads.withColumn("up", up).withColumn("i", F.col("_block.i")).join(F.broadcast(firsts), "i")
+    up = F.coalesce("up", "after")
+    heads = heads.select(F.col("_block").alias("hb"), F.col("top.k").alias("hk"), F.col("top.h").alias("hh"), F.coalesce(up, "bottom").alias("to"), up.isNull().alias("wrap"))
+    heads = F.broadcast(heads) if n_blocks < MAX_BROADCAST else heads
+    ghost = rows.join(heads, F.col(key).eqNullSafe(F.col("hk")) & (F.col("_h") == F.col("hh")) & (F.col("_block") == F.col("hb")), "left")
     plain = F.struct(F.col("_block").alias("block"), F.lit(0).alias("ghost"))
     extra = F.struct(F.col("to").alias("block"), F.when(F.col("wrap"), 2).otherwise(1).alias("ghost"))
-    both = ghost.withColumn("_to", F.explode(F.when(F.col("to").isNull(), F.array(plain)).otherwise(F.array(plain, extra)))).drop("hb", "hk", "to", "wrap")
-    # Ghosts are lower than all of a block's rows; repeated keys make several, of which the first counts.
-    w = Window.partitionBy("_to.block").orderBy("_to.ghost", F.desc_nulls_last(key), text)
+    both = ghost.withColumn("_to", F.explode(F.when(F.col("to").isNull(), F.array(plain)).otherwise(F.array(plain, extra)))).drop("hb", "hk", "hh", "to", "wrap")
+    # Ghosts are lower than all of a block's rows; equal rows make several, of which the first counts.
+    w = Window.partitionBy("_to.block").orderBy("_to.ghost", F.desc_nulls_last(key), F.desc("_h"), F.desc(text))
     led = both.withColumns({new: F.lead(old).over(w) for old, new in carry.items()})
-    return led.where("_to.ghost = 0").drop("_to", "_block")
+    return led.where("_to.ghost = 0").drop("_to", "_block", "_h")
 
 
 def fingerprint_edits(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
