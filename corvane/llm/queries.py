@@ -22,10 +22,9 @@ def _table(spark, sf_dir, name):
 
 def op1_chat_formatting(spark, sf_dir):
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    said = "</s>[INST] ok [/INST]"
-    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema)
-    # A table by turn is a log of one event a turn, except that repeated turns are turns of their own: rendered as they are.
-    return chat_format.read_back(chat_format.render(turns.unionByName(extra)))
+    extra = spark.sql("SELECT * FROM VALUES (-7L, 0L, 'user', '</s>[INST] ok [/INST]'), (-7L, 1L, 'assistant', '</s>[INST] ok [/INST]') AS t(conv_id, turn, role, text)")
+    log = chat_format.log_of(turns.unionByName(extra))
+    return chat_format.read_back(chat_format.format_chats(log, parts=("message", "copy")))
 
 
 def op2_token_store(spark, sf_dir):
@@ -72,7 +71,9 @@ def op8_html_extraction(spark, sf_dir):
 
 def op9_token_counts(spark, sf_dir):
     cache = scratch.new_path(spark, "counts")
-    counts = token_counts.count_tokens(_table(spark, sf_dir, "documents"), tokenizer_path(), cache)
+    docs = _table(spark, sf_dir, "documents")
+    token_counts.count_tokens(docs, tokenizer_path(), cache)  # encodes what the cache lacks: at first, everything
+    counts = token_counts.count_tokens(docs, tokenizer_path(), cache)  # looks all of it up
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > LENGTH).alias("over_limit"))
 
 
