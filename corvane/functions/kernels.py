@@ -162,15 +162,39 @@ def bridge_free_component(und: Adj, root: int) -> set[int]:
     return part
 
 
-def grow_to_k(adj: Adj, s: set[int], k: int, ordinal: dict[int, int]) -> set[int]:
-    """Add the neighbour with most links into ``s`` (ties: first mentioned) until it has k nodes."""
-    s, und = set(s), support(adj)
-    while len(s) < k:
-        near = {v for u in s for v in und[u]} - s
-        if not near:
-            break
-        s.add(max(near, key=lambda v: (len(und[v] & s), -ordinal.get(v, 1 << 60))))
-    return s
+def grow_to_k(ask, s: list[int], k: int, seen: dict[int, set[int]] | None = None, asked: set[int] | None = None, ordinal: dict[int, int] | None = None) -> set[int]:
+    """Add the known neighbour with most known links into ``s`` until it has k nodes; ties go to the node mentioned first.
+
+    ``ask(u)`` gives u's predecessors and successors in file order. A node that joins is asked, and what it mentions
+    becomes a candidate. Without candidates a member not asked yet is; without such, growth ends.
+    """
+    members, links = list(s), {u: set(vs) for u, vs in (seen or {}).items()}
+    asked = set(asked or ())
+    ordinal = dict(ordinal) if ordinal is not None else {u: i for i, u in enumerate(dict.fromkeys([*s, *(v for u in links for v in (u, *sorted(links[u])))]))}
+
+    def learn(u: int) -> None:
+        asked.add(u)
+        links.setdefault(u, set())
+        for v in ask(u):
+            ordinal.setdefault(v, len(ordinal))
+            if v != u:
+                links[u].add(v)
+                links.setdefault(v, set()).add(u)
+
+    inside = set(members)
+    while len(inside) < k:
+        near = {v for u in inside for v in links.get(u, ())} - inside
+        if near:
+            v = max(near, key=lambda x: (len(links[x] & inside), -ordinal[x]))
+            inside.add(v)
+            members.append(v)
+        else:
+            v = next((u for u in members if u not in asked), None)
+            if v is None:
+                break
+        if v not in asked:
+            learn(v)
+    return inside
 
 
 def brute_force(adj: Adj, q: int, k: int, kappa: int = 0) -> tuple[Fraction, set[int]] | None:
@@ -202,14 +226,14 @@ def dense_community(adj: Adj, q: int, k: int, kappa: int = 0, seconds: float | N
     w = {u: {v: (v in adj[u]) + (u in adj[v]) for v in und[u] & pool} for u in pool}
     best, best_set, trace, visited, status = Fraction(-1), set(), [], 0, "exhausted"
     if q not in pool or len(pool) < max(k, 2):
-        return {"nodes": [], "density": Fraction(0), "bb_nodes": 0, "gap_status": status, "trajectory": []}
+        return {"nodes": [], "density": Fraction(0), "bb_nodes": 0, "gap_status": status, "trajectory": [], "bound": 0.0, "gap": 0.0, "open": 0}
 
     def offer(s: set[int]) -> None:
         nonlocal best, best_set
         value = Fraction(arcs_inside(adj, s), len(s) * (len(s) - 1)) if len(s) > 1 else Fraction(0)
         if len(s) >= max(k, 2) and value > best and kappa_verify(und, s, q, kappa):
             best, best_set = value, set(s)
-            trace.append({"bb_node": visited, "density": float(value), "size": len(s)})
+            trace.append({"bb_node": visited, "density": float(value), "size": len(s), "nodes": sorted(s)})
 
     greedy = {q}
     while len(greedy) < len(pool) and len(greedy) < max(4 * k, 40):
@@ -223,6 +247,11 @@ def dense_community(adj: Adj, q: int, k: int, kappa: int = 0, seconds: float | N
         offer(peeled)
 
     def bound_beats(chosen: set[int], inside: int, cand: list[int], gain: dict[int, int]) -> bool:
+        """Whether a set below this node may beat the best."""
+        return next(bounds(chosen, inside, cand, gain), None) is not None
+
+    def bounds(chosen: set[int], inside: int, cand: list[int], gain: dict[int, int]):
+        """Bounds above the best, by size of the set."""
         c = len(chosen)
         cset = set(cand)
         tops = sorted((gain[v], v) for v in cand)[::-1]
@@ -232,9 +261,9 @@ def dense_community(adj: Adj, q: int, k: int, kappa: int = 0, seconds: float | N
             if kappa == 0 and m and size > max(k, 2) and best > 0 and size > 1 + max(map(len, und.values())) / float(best):
                 break
             reach = sorted((2 * g + sum(half[v][: m - 1]) for g, v in tops), reverse=True)[:m]
-            if Fraction(2 * inside + sum(reach), 2 * size * (size - 1)) > best:
-                return True
-        return False
+            value = Fraction(2 * inside + sum(reach), 2 * size * (size - 1))
+            if value > best:
+                yield value
 
     stack = [({q}, 0, sorted(pool - {q}), dict.fromkeys(pool, 0) | dict(w[q]))]
     while stack:
@@ -253,7 +282,33 @@ def dense_community(adj: Adj, q: int, k: int, kappa: int = 0, seconds: float | N
         for u, x in w[v].items():
             grown[u] += x
         stack.append((chosen | {v}, inside + gain[v], rest, grown))
-    return {"nodes": sorted(best_set), "density": max(best, Fraction(0)), "bb_nodes": visited, "gap_status": status, "trajectory": trace}
+    # What nodes left open may still reach; without any, the best is the bound.
+    found = max(best, Fraction(0))
+    bound = max([found, *(v for node in stack for v in bounds(*node))])
+    gap = float((bound - found) / max(found, Fraction(1, 10**10)))
+    return {"nodes": sorted(best_set), "density": found, "bb_nodes": visited, "gap_status": status, "trajectory": trace, "bound": float(bound), "gap": gap, "open": len(stack)}
+
+
+def enumerate_optima(adj: Adj, q: int, ks, kappas):
+    """``kind, floor, connectivity, value, set`` of each optimum over all sets with q and two nodes or more; -1 and no set where none is feasible."""
+    und, others = support(adj), sorted(set(adj) - {q})
+    cells = {("edge_density_kappa", k, kappa): (Fraction(-1), set()) for k in sorted(ks) for kappa in sorted({0, *kappas})}
+    cells |= {("avgdeg", None, None): (Fraction(-1), set()), ("avgdeg_connected", None, None): (Fraction(-1), set())}
+    for r in range(1, len(others) + 1):
+        for c in itertools.combinations(others, r):
+            s = {q, *c}
+            arcs, paths = arcs_inside(adj, s), None
+            for (kind, k, kappa), (best, _) in cells.items():
+                value = Fraction(arcs, len(s)) if k is None else Fraction(arcs, len(s) * (len(s) - 1))
+                if value <= best or (k or 0) > len(s):
+                    continue
+                if kind == "avgdeg_connected" or kappa:
+                    paths = edge_connectivity(und, s, q) if paths is None else paths
+                    if paths < (kappa or 1):
+                        continue
+                cells[kind, k, kappa] = value, s
+    for (kind, k, kappa), (value, s) in cells.items():
+        yield kind, k, kappa, value, s
 
 
 def _peel(und: Adj, pool: set[int], q: int, kappa: int) -> set[int]:
@@ -332,22 +387,70 @@ def macro_scores(truth: np.ndarray, predicted: np.ndarray, rows: np.ndarray | No
     return (scores * present).sum(2) / np.maximum(present.sum(1), 1)
 
 
-def bootstrap_ci(truth, predicted, draws: int = 1000, seed: int = 0) -> dict:
-    """Macro F1, its 2.5 and 97.5 percentiles over resamples, and a quarter of their span as its error."""
-    truth, predicted = np.asarray(truth), np.asarray(predicted)
-    if not len(truth):
-        return {"f1": None, "lo": None, "hi": None, "se": None}
-    rows = np.random.default_rng(seed).integers(0, len(truth), (draws, len(truth)))
-    lo, hi = np.percentile(macro_scores(truth, predicted, rows)[2], [2.5, 97.5])
-    return {"f1": float(macro_scores(truth, predicted)[2][0]), "lo": float(lo), "hi": float(hi), "se": float((hi - lo) / 4)}
+def fixed_label_scores(truth: np.ndarray, predicted: np.ndarray, rows: np.ndarray, labels: np.ndarray | None = None) -> np.ndarray:
+    """Macro precision, recall, F1 and accuracy for each row of indices, over ``labels`` (those of the whole sample), 0 for a label not drawn."""
+    labels = np.union1d(truth, predicted) if labels is None else labels
+    t, p = np.searchsorted(labels, truth), np.searchsorted(labels, predicted)
+    n, k = rows.shape[0], len(labels)
+    place = np.arange(n)[:, None] * k
+    count = lambda x, where=None: np.bincount((place + x[rows]).ravel(), None if where is None else where[rows].ravel(), n * k).reshape(n, k)
+    hit = (t == p).astype(float)
+    tp, nt, np_ = count(t, hit), count(t), count(p)
+    share = lambda a, b: np.divide(a, b, out=np.zeros((n, k)), where=b > 0).mean(1)
+    return np.stack([share(tp, np_), share(tp, nt), share(2 * tp, nt + np_), hit[rows].mean(1)])
+
 
+def bootstrap_scores(truth: np.ndarray, predicted: np.ndarray, draws: int = 1000, seed: int = 0) -> list[tuple[float, float, float]]:
+    """Precision, recall, F1 and accuracy: value, 2.5 and 97.5 percentile over resamples."""
+    value = fixed_label_scores(truth, predicted, np.arange(len(truth))[None, :])[:, 0]
+    drawn = fixed_label_scores(truth, predicted, resample_indices(len(truth), draws, seed))
+    lo, hi = np.percentile(drawn, [2.5, 97.5], axis=1)
+    return [(float(v), float(a), float(b)) for v, a, b in zip(value, lo, hi, strict=True)]
 
-def paired_tie(truth, a, b, draws: int = 1000, seed: int = 0) -> bool:
-    """Whether the interval of the paired difference of macro F1 holds zero."""
-    truth, a, b = map(np.asarray, (truth, a, b))
-    rows = np.random.default_rng(seed).integers(0, len(truth), (draws, len(truth)))
-    lo, hi = np.percentile(macro_scores(truth, a, rows)[2] - macro_scores(truth, b, rows)[2], [2.5, 97.5])
-    return bool(lo <= 0 <= hi)
+
+def resample_indices(n: int, draws: int, seed: int, parts: int = 1) -> np.ndarray:
+    """Rows drawn with replacement, ``draws`` times; within each of ``parts`` equal stretches of rows."""
+    rng, each = np.random.default_rng(seed), n // parts
+    if each * parts != n:
+        raise ValueError("seeds have different numbers of rows")
+    return np.concatenate([rng.integers(s * each, (s + 1) * each, (draws, each)) for s in range(parts)], axis=1)
+
+
+def wilson(p: float, n: int, z: float = 1.959963984540054) -> tuple[float, float]:
+    z2, p = z * z, min(1.0, max(0.0, p))
+    centre, half = (p + z2 / (2 * n)) / (1 + z2 / n), z * math.sqrt(p * (1 - p) / n + z2 / (4 * n * n)) / (1 + z2 / n)
+    return max(0.0, centre - half), min(1.0, centre + half)
+
+
+def score_intervals(truth: np.ndarray, predicted: np.ndarray, rows: np.ndarray) -> list[tuple[float, float]]:
+    """Intervals of precision, recall and F1 over given resamples; Wilson's where a score never varies."""
+    out = []
+    for drawn in fixed_label_scores(truth, predicted, rows)[:3]:
+        lo, hi = np.percentile(drawn, [2.5, 97.5])
+        out.append(wilson(float(drawn[0]), len(truth)) if lo == hi else (float(lo), float(hi)))
+    return out
+
+
+def tie_table(truth: np.ndarray, cells: dict[str, np.ndarray], floor: dict[str, int], draws: int = 1000, seed: int = 42) -> list[list]:
+    """Rows ``cell, floor, queries, metric, value, std, best of its floor, best of all, tied with them, intervals of the differences``."""
+    labels = np.unique(np.concatenate([truth, *cells.values()]))
+    rows, once = resample_indices(len(truth), draws, seed), np.arange(len(truth))[None, :]
+    value = {c: fixed_label_scores(truth, p, once, labels)[:, 0] for c, p in cells.items()}
+    drawn = {c: fixed_label_scores(truth, p, rows, labels) for c, p in cells.items()}
+    out = []
+    for i, metric in enumerate(("precision", "recall", "f1")):
+        best_of = lambda cs: min(cs, key=lambda c: (-value[c][i], c))  # noqa: B023, E731
+        of_floor = {k: best_of([c for c in cells if floor[c] == k]) for k in set(floor[c] for c in cells)}
+        of_all = best_of(cells)
+        for c in sorted(cells):
+            spans = []
+            for best in (of_floor[floor[c]], of_all):
+                lo, hi = (0.0, 0.0) if best == c else np.percentile(drawn[best][i] - drawn[c][i], [2.5, 97.5])
+                spans.append((float(lo), float(hi)))
+            tied = [lo <= 0 <= hi for lo, hi in spans]
+            std = float(drawn[c][i].std(ddof=1)) if draws > 1 else 0.0
+            out.append([c, int(floor[c]), len(truth), metric, float(value[c][i]), std, of_floor[floor[c]] == c, of_all == c, *tied, *spans[0], *spans[1]])
+    return out
 
 
 def wilcoxon_p(deltas) -> float | None:

@@ -1,7 +1,7 @@
 """Neighbourhood expansion, many queries at once, as joins.
 
-Communities and frontiers are long tables ``(query, node)``. Loops cut their lineage each layer with
-``checkpoint()`` where the session has a checkpoint folder.
+Communities and frontiers are long tables ``(query, node)``. Loops write each layer as a table of its own (``cut``) and
+put the layers together at the end, so nothing is written twice and lost executors cost one layer.
 """
 
 from __future__ import annotations
@@ -9,57 +9,96 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    if folder := spark.conf.get("spark.checkpoint.dir", None):
-        if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-            spark.sparkContext.setCheckpointDir(folder)
-        return df.checkpoint()
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        return df.checkpoint()
-    return df.cache()
+from corvane.session import cut
 
 
 def revealed(edges: DataFrame, max_in_edges: int = 0) -> DataFrame:
-    """Arcs that queries of nodes show, as ``(node, neighbour)``: successors, and the first predecessors up to a cap (0: none)."""
-    out = edges.select(F.col("source").alias("node"), F.col("target").alias("neighbour"))
+    """Arcs that queries of nodes show, as ``(node, neighbour, side, ord)``: successors (side 1), and the first predecessors up to a cap (side 0; 0: none).
+
+    ``ord`` is the order of edges in their source, where known, else that of the neighbours.
+    """
+    order = F.col("edge_ord") if "edge_ord" in edges.columns else None
+    out = edges.select(F.col("source").alias("node"), F.col("target").alias("neighbour"), F.lit(1).alias("side"), (F.col("target") if order is None else order).alias("ord"))
     if max_in_edges:
-        order = Window.partitionBy("target").orderBy("edge_ord" if "edge_ord" in edges.columns else "source")
-        ins = edges.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= max_in_edges)
-        out = out.union(ins.select(F.col("target").alias("node"), F.col("source").alias("neighbour")))
+        w = Window.partitionBy("target").orderBy("source" if order is None else "edge_ord")
+        ins = edges.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= max_in_edges)
+        out = out.union(ins.select(F.col("target").alias("node"), F.col("source").alias("neighbour"), F.lit(0).alias("side"), (F.col("source") if order is None else order).alias("ord")))
     return out
 
 
+def oracle_counts(arcs: DataFrame, asked: DataFrame) -> DataFrame:
+    """``query, queries_made, misses``: how often each query asked for a node (``query, node``), and how many nodes no one had asked for earlier.
+
+    Answers are remembered over all queries, in their order: a node is a miss for the first query that asks for it.
+    """
+    first = asked.groupBy("node").agg(F.min("query").alias("query")).groupBy("query").agg(F.count("*").alias("misses"))
+    return asked.groupBy("query").agg(F.countDistinct("node").alias("queries_made")).join(first, "query", "left").na.fill(0, ["misses"])
+
+
 def frontier_expand(arcs: DataFrame, frontier: DataFrame, visited: DataFrame) -> DataFrame:
     """One layer: neighbours of ``frontier (query, node)`` that are not in ``visited``."""
     step = frontier.join(arcs, "node").select("query", F.col("neighbour").alias("node")).distinct()
     return step.join(visited, ["query", "node"], "left_anti")
 
 
+def _together(layers: list[DataFrame]) -> DataFrame:
+    whole = layers[0]
+    for layer in layers[1:]:
+        whole = whole.union(layer)
+    return whole
+
+
 def bfs_distances(arcs: DataFrame, queries: DataFrame, depth: int = -1, forbidden: DataFrame | None = None) -> DataFrame:
     """``query, node, distance``: hops from each query, up to ``depth`` (negative: all), never entering forbidden nodes.
 
     A query itself is always expanded.
     """
+    arcs = arcs.select("node", "neighbour")
     if forbidden is not None:
         arcs = arcs.join(forbidden.select(F.col("node").alias("neighbour")), "neighbour", "left_anti").select("node", "neighbour")
-    found = queries.select("query", F.col("query").alias("node"), F.lit(0).alias("distance"))
-    frontier, layer = found.select("query", "node"), 0
-    while depth < 0 or layer < depth:
-        layer += 1
-        frontier = _cut(frontier_expand(arcs, frontier, found.select("query", "node")))
-        if frontier.isEmpty():
+    arcs = cut(arcs.distinct()) if depth < 0 or depth > 1 else arcs
+    layers = [queries.select("query", F.col("query").alias("node"), F.lit(0).alias("distance"))]
+    while depth < 0 or len(layers) <= depth:
+        step = frontier_expand(arcs, layers[-1].select("query", "node"), _together(layers).select("query", "node"))
+        layer = step.withColumn("distance", F.lit(len(layers)))
+        if len(layers) == depth:  # no layer follows: nothing to write
+            layers.append(layer)
+            break
+        layer = cut(layer)
+        if layer.isEmpty():
             break
-        found = _cut(found.union(frontier.select("query", "node", F.lit(layer).alias("distance"))))
-    return found
+        layers.append(layer)
+    return _together(layers)
 
 
 def bfs_ball(arcs: DataFrame, queries: DataFrame, depth: int = 1) -> DataFrame:
     """Closed ball of ``depth`` hops: ``query, node``."""
+    if depth == 1:  # one pass, without a visited set
+        near = queries.join(arcs, F.col("query") == F.col("node")).select("query", F.col("neighbour").alias("node"))
+        return near.union(queries.select("query", F.col("query").alias("node"))).distinct()
     return bfs_distances(arcs, queries, depth).select("query", "node")
 
 
+def discovery_ordinals(arcs: DataFrame, queries: DataFrame, depth: int = 1) -> DataFrame:
+    """``query, node, distance, ordinal``: dense numbers of first mention, up to ``depth`` hops.
+
+    Nodes are asked in the order they were mentioned; each mentions its predecessors, then its successors, in file order.
+    """
+    arcs = cut(arcs.select("node", "neighbour", "side", "ord"))
+    layers = [queries.select("query", F.col("query").alias("node"), F.lit(0).alias("distance"), F.lit(0).cast("long").alias("ordinal"))]
+    while len(layers) <= depth:
+        before = _together(layers)
+        said = layers[-1].join(arcs, "node").groupBy("query", F.col("neighbour").alias("node")).agg(F.min(F.struct("ordinal", "side", "ord")).alias("at"))
+        fresh = said.join(before.select("query", "node"), ["query", "node"], "left_anti")
+        known = before.groupBy("query").agg(F.count("*").alias("_n"))
+        place = F.col("_n") + F.row_number().over(Window.partitionBy("query").orderBy("at", "node")) - 1
+        layer = cut(fresh.join(known, "query").select("query", "node", F.lit(len(layers)).alias("distance"), place.cast("long").alias("ordinal")))
+        if layer.isEmpty():
+            break
+        layers.append(layer)
+    return _together(layers)
+
+
 def induced_edges(edges: DataFrame, members: DataFrame) -> DataFrame:
     """``query, source, target`` with both ends in the query's community."""
     inside = edges.join(members.select("query", F.col("node").alias("source")), "source")
@@ -95,26 +134,36 @@ def reciprocal_edges(edges: DataFrame) -> DataFrame:
 
 
 def in_triangle(edges: DataFrame) -> DataFrame:
-    """Nodes that lie in an undirected triangle."""
-    links = support_links(edges)
-    ab, bc, ac = links.toDF("a", "b"), links.toDF("b", "c"), links.toDF("a", "c")
-    return ab.join(bc, "b").join(ac, ["a", "c"], "left_semi").select(F.explode(F.array("a", "b", "c")).alias("node")).distinct()
-
+    """Nodes that lie in an undirected triangle. Links point from the end with fewer links, so a hub's links are not paired with each other."""
+    links = cut(support_links(edges))
+    degree = links.select(F.explode(F.array("u", "v")).alias("n")).groupBy("n").agg(F.count("*").alias("d"))
+    both = links.join(degree.toDF("u", "du"), "u").join(degree.toDF("v", "dv"), "v")
+    up = F.struct("du", "u") < F.struct("dv", "v")
+    lead = cut(both.select(F.when(up, F.col("u")).otherwise(F.col("v")).alias("a"), F.when(up, F.col("v")).otherwise(F.col("u")).alias("b")))
+    wedges = lead.join(lead.select("a", F.col("b").alias("c")), "a").where("b < c")
+    closed = links.select(F.col("u").alias("b"), F.col("v").alias("c"))
+    return wedges.join(closed, ["b", "c"], "left_semi").select(F.explode(F.array("a", "b", "c")).alias("node")).distinct()
 
-def weak_components(edges: DataFrame, members: DataFrame) -> DataFrame:
-    """``query, node, component``: smallest node reachable inside the community, ignoring direction."""
-    inside = induced_edges(edges, members)
-    both = _cut(inside.select("query", F.col("source").alias("node"), F.col("target").alias("neighbour")).union(inside.select("query", "target", "source")).distinct())
-    labels = members.select("query", "node", F.col("node").alias("component"))
-    while True:
-        near = both.join(labels.select("query", F.col("node").alias("neighbour"), F.col("component").alias("c")), ["query", "neighbour"]).groupBy("query", "node").agg(F.min("c").alias("c"))
-        after = _cut(labels.join(near, ["query", "node"], "left").select("query", "node", F.least("component", F.coalesce("c", "component")).alias("component"), (F.col("c") < F.col("component")).alias("moved")))
-        labels = after.drop("moved")
-        if after.where("moved").isEmpty():
-            return labels
 
+def weak_components(edges: DataFrame, members: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """``query, node, component``: smallest node reachable inside the community, ignoring direction.
 
-def discovery_ordinals(arcs: DataFrame, queries: DataFrame, depth: int = 1) -> DataFrame:
-    """Dense order of first mention from each query: by layer, then by node within it."""
-    order = Window.partitionBy("query").orderBy("distance", "node")
-    return bfs_distances(arcs, queries, depth).withColumn("ordinal", F.row_number().over(order) - 1)
+    By large and small stars in turn: links are rewired to the least node known, so paths halve and few rounds are needed.
+    """
+    inside = induced_edges(edges, members).where("source <> target")
+    links = cut(inside.select("query", F.least("source", "target").alias("u"), F.greatest("source", "target").alias("v")).distinct())
+    for _ in range(max_rounds):
+        both = links.union(links.select("query", F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("query", "u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.join(least, ["query", "u"]).where("v > u").select("query", F.col("m").alias("u"), "v").where("u < v").distinct()
+        low = large.groupBy("query", "v").agg(F.min("u").alias("m"))
+        small = large.join(low, ["query", "v"]).select("query", F.col("m").alias("u"), F.explode(F.array("u", "v")).alias("v")).where("u < v").distinct()
+        after = cut(small)
+        mark = [F.count("*").alias("n"), F.sum(F.xxhash64("query", "u", "v").cast("decimal(38,0)")).alias("s")]
+        same, links = after.agg(*mark).first() == links.agg(*mark).first(), after
+        if same:
+            break
+    else:
+        raise RuntimeError("components did not settle")
+    roots = links.select("query", F.col("v").alias("node"), F.col("u").alias("component"))
+    return members.select("query", "node").join(roots, ["query", "node"], "left").select("query", "node", F.coalesce("component", "node").alias("component"))

@@ -78,12 +78,6 @@ def flag_rates(df: DataFrame, keys: list[str], flags: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(*aggs)
 
 
-def category_counts(df: DataFrame, keys: list[str], column: str) -> DataFrame:
-    """Values and their counts as text, sorted by value."""
-    counts = df.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count("*").alias("c"))
-    return counts.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(column).cast("string").alias("v"), "c"))), lambda p: F.concat(p.v, F.lit(":"), p.c.cast("string"))), ",").alias("counts"))
-
-
 def collapse_seeds(df: DataFrame, keys: list[str], metric: str, flag: str, extra: str, digits: int = 4) -> DataFrame:
     """Median over seeds, any of the flags, and the first seed's extra value."""
     return df.groupBy(*keys).agg(
@@ -116,12 +110,6 @@ def common_queries(df: DataFrame, cell: list[str]) -> DataFrame:
     return df.groupBy("query_node").agg(F.count_distinct(F.struct(*cell)).alias("k")).join(F.broadcast(cells), F.col("k") == F.col("n")).select("query_node")  # one row
 
 
-def paired_deltas(df: DataFrame, base: DataFrame, metric: str) -> DataFrame:
-    """``metric`` less that of the first baseline row of the same query."""
-    first = dedup(base, ["query_node"], [F.asc(metric)]).select("query_node", F.col(metric).alias("base"))
-    return df.join(first, "query_node").select("query_node", (F.col(metric) - F.col("base")).alias("delta"))
-
-
 def wilson_interval(successes: Column, n: Column, z: float = 1.959963984540054) -> tuple[Column, Column]:
     p, z2 = successes / n, z * z
     centre, span = (p + z2 / (2 * n)) / (1 + z2 / n), z * F.sqrt(p * (1 - p) / n + z2 / (4 * n * n)) / (1 + z2 / n)
@@ -137,9 +125,11 @@ def param_grid(spark: SparkSession, **values: list) -> DataFrame:
     return df
 
 
-def bf_status(status: Column, returncode: Column, size: Column, k: Column, kappa: Column, verified: Column) -> Column:
-    """Outcome of a check against enumeration, first rule that holds."""
-    return F.when(status.startswith("skipped"), status).when(returncode != 0, "solver_error").when(size < k, "infeasible_size").when((kappa > 0) & ~F.coalesce(verified, F.lit(False)), "infeasible_kappa").otherwise("feasible")
+def bf_status(method: Column, status: Column, returncode: Column, size: Column, k: Column, kappa: Column, actual: Column) -> Column:
+    """Outcome of a check against enumeration, by the first rule that holds. Unknown sizes and connectivities are too small."""
+    small = (method == "bp") & k.isNotNull() & F.coalesce(size < k, F.lit(True))
+    loose = (kappa >= 1) & F.coalesce(actual < kappa, F.lit(True))
+    return F.when(status.startswith("skipped"), status).when(returncode != 0, "solver_error").when(small, "infeasible_size").when(loose, "infeasible_kappa").otherwise("feasible")
 
 
 def abstract_text(df: DataFrame, key: str, index: str) -> DataFrame:

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import kernels
 
+from . import expand
 from .expand import bfs_ball, induced_edges, revealed
 
 
@@ -28,7 +29,7 @@ def _solve(shown: DataFrame, solve, schema: str) -> DataFrame:
     return shown.groupBy("query").applyInPandas(one, schema)
 
 
-def dense_communities(shown: DataFrame, ks=(3, 4, 5), kappas=(0, 1, 2), seconds: float | None = 60.0) -> DataFrame:
+def dense_communities(shown: DataFrame, ks=(3, 4, 5), kappas=(0, 1, 2), seconds: float | None = None) -> DataFrame:
     """Densest community for each query, size floor and connectivity; infeasible: density 0 and no nodes."""
 
     def solve(adj, q):
@@ -36,9 +37,10 @@ def dense_communities(shown: DataFrame, ks=(3, 4, 5), kappas=(0, 1, 2), seconds:
             for kappa in kappas:
                 r = kernels.dense_community(adj, q, k, kappa, seconds)
                 n = len(r["nodes"])
-                yield {"query": q, "k": k, "kappa": kappa, "density": float(r["density"]), "size": n, "nodes": r["nodes"], "bb_nodes": r["bb_nodes"], "gap_status": r["gap_status"]}
+                yield {"query": q, "k": k, "kappa": kappa, "density": float(r["density"]), "size": n, "nodes": r["nodes"], "bb_nodes": r["bb_nodes"], "gap_status": r["gap_status"], "bb_best_bound": r["bound"], "optimality_gap": r["gap"], "open_bb_nodes": r["open"], "trajectory": r["trajectory"]}
 
-    return _solve(shown, lambda a, q: list(solve(a, q)), "query long, k int, kappa int, density double, size long, nodes array<long>, bb_nodes long, gap_status string")
+    trace = "trajectory array<struct<bb_node:long,density:double,size:long,nodes:array<long>>>"
+    return _solve(shown, lambda a, q: list(solve(a, q)), f"query long, k int, kappa int, density double, size long, nodes array<long>, bb_nodes long, gap_status string, bb_best_bound double, optimality_gap double, open_bb_nodes long, {trace}")
 
 
 def average_degree_communities(shown: DataFrame) -> DataFrame:
@@ -49,13 +51,63 @@ def average_degree_communities(shown: DataFrame) -> DataFrame:
     return _solve(shown, solve, "query long, avg_degree double, size long, nodes array<long>")
 
 
-def grown_communities(shown: DataFrame, k: int = 5) -> DataFrame:
+def grown_communities(arcs: DataFrame, queries: DataFrame, k: int = 5, depth: int = 1) -> DataFrame:
+    """``query, size, nodes, asked``: each query's ball of ``depth`` hops grown to ``k`` nodes, by the rule of ``kernels.grow_to_k``.
+
+    One join a step for all queries at once: the known neighbour with most known links into a community joins it, is asked,
+    and what it mentions becomes known. A step reads the arcs of the nodes that joined in it, so work goes with queries x k.
+    """
+    arcs = expand.cut(arcs.select("node", "neighbour", "side", "ord"))
+    known = expand.cut(expand.discovery_ordinals(arcs, queries, depth + 1))
+    members = known.where(F.col("distance") <= depth).select("query", "node")
+    known = known.select("query", "node", "ordinal")
+
+    def told(asked: DataFrame) -> DataFrame:
+        return asked.join(arcs, "node").where("node <> neighbour")
+
+    def links(said: DataFrame) -> DataFrame:
+        both = F.explode(F.array(F.struct(F.col("node").alias("u"), F.col("neighbour").alias("v")), F.struct(F.col("neighbour").alias("u"), F.col("node").alias("v"))))
+        return said.select("query", both.alias("l")).select("query", "l.u", "l.v").distinct()
+
+    every = expand.cut(links(told(members)))
+    for _ in range(k):
+        small = members.groupBy("query").agg(F.count("*").alias("n")).where(F.col("n") < k).select("query")
+        inside = members.join(small, "query")
+        near = every.join(inside.select("query", F.col("node").alias("u")), ["query", "u"]).join(members.select("query", F.col("node").alias("v")), ["query", "v"], "left_anti")
+        gain = near.groupBy("query", F.col("v").alias("node")).agg(F.countDistinct("u").alias("gain")).join(known, ["query", "node"])
+        fresh = expand.cut(gain.groupBy("query").agg(F.min_by("node", F.struct((-F.col("gain")).alias("g"), "ordinal")).alias("node")))
+        if fresh.isEmpty():
+            break
+        said = told(fresh)
+        first = said.groupBy("query", F.col("neighbour").alias("node")).agg(F.min(F.struct("side", "ord")).alias("at")).join(known.select("query", "node"), ["query", "node"], "left_anti")
+        so_far = known.groupBy("query").agg(F.max("ordinal").alias("top"))
+        place = F.col("top") + F.row_number().over(Window.partitionBy("query").orderBy("at", "node"))
+        known = known.union(expand.cut(first.join(so_far, "query").select("query", "node", place.cast("long").alias("ordinal"))))
+        every = every.union(expand.cut(links(said)))
+        members = members.union(fresh.select("query", "node"))
+    return members.groupBy("query").agg(F.count("*").alias("size"), F.array_sort(F.collect_list("node")).alias("nodes"), F.count("*").alias("asked"))
+
+
+def grown_balls(edges: DataFrame, queries: DataFrame, depth: int, k: int = 1, max_in_edges: int = 0) -> DataFrame:
+    """``query, nodes, gap_status`` of balls grown to ``k``."""
+    grown = grown_communities(expand.revealed(edges, max_in_edges), queries, k, depth)
+    return grown.select("query", "size", "nodes", F.lit("not_run").alias("gap_status"))
+
+
+def inside(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """``query, source, target``: arcs inside each community; a node without any has a row with itself, so it is known."""
+    own = members.select("query", F.col("node").alias("source"), F.col("node").alias("target"))
+    return expand.induced_edges(edges, members).select("query", "source", "target").unionByName(own)
+
+
+def optima(shown: DataFrame, ks=(3, 4), kappas=(0, 1, 2)) -> DataFrame:
+    """Enumerated optima of small graphs, one row a kind and cell: pair density for each floor and connectivity, and average degree. Infeasible: -1."""
+
     def solve(adj, q):
-        order = {v: i for i, v in enumerate([q, *sorted(set(adj) - {q})])}
-        s = kernels.grow_to_k(adj, {q}, k, order)
-        return [{"query": q, "size": len(s), "nodes": sorted(s)}]
+        for kind, k, kappa, value, s in kernels.enumerate_optima(adj, q, ks, kappas):
+            yield {"query": q, "optimum_kind": kind, "k": k, "kappa": kappa, "opt_value": float(value), "opt_size": len(s) or None, "opt_nodes": sorted(s)}
 
-    return _solve(shown, solve, "query long, size long, nodes array<long>")
+    return _solve(shown, lambda a, q: list(solve(a, q)), "query long, optimum_kind string, k int, kappa int, opt_value double, opt_size long, opt_nodes array<long>")
 
 
 def cut_qualities(shown: DataFrame) -> DataFrame:

@@ -5,10 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Whole numbers for 1/d up to ten hops: 2520 is their common multiple.
-UNIT = 2520
-
-
 def label_vote(votes: DataFrame, weight: str | None = None) -> DataFrame:
     """``query, predicted``: the label with most votes (or weight)."""
     score = F.sum(weight) if weight else F.count("*")
@@ -28,10 +24,18 @@ def global_majority(nodes: DataFrame) -> DataFrame:
 
 
 def distance_vote(voters: DataFrame, distances: DataFrame) -> DataFrame:
-    """Votes weigh one over the distance; voters out of reach add nothing, and where all are, each counts one."""
-    near = voters.join(distances, ["query", "node"], "left").withColumn("w", F.when(F.col("distance") > 0, F.floor(F.lit(UNIT) / F.col("distance"))).otherwise(0))
-    total = near.groupBy("query").agg(F.sum("w").alias("all_w"))
-    return label_vote(near.join(total, "query").withColumn("w", F.when(F.col("all_w") > 0, F.col("w")).otherwise(1)), "w")
+    """Votes weigh one over the distance; voters out of reach add nothing, and where all are, each counts one.
+
+    Weights of a label are added as counts by distance, in order of distance, so that the sum does not depend on the order of rows.
+    """
+    near = voters.join(distances, ["query", "node"], "left")
+    tally = near.groupBy("query", "label", "distance").agg(F.count("*").alias("c"))
+    parts = F.array_sort(F.collect_list(F.when(F.col("distance") > 0, F.struct("distance", "c"))))
+    score = F.aggregate(parts, F.lit(0.0), lambda s, p: s + p.c.cast("double") / p.distance)
+    scored = tally.groupBy("query", "label").agg(score.alias("w"), F.sum("c").alias("n"))
+    reach = scored.groupBy("query").agg(F.max("w").alias("most"))
+    scored = scored.join(reach, "query").withColumn("w", F.when(F.col("most") > 0, F.col("w")).otherwise(F.col("n").cast("double")))
+    return label_vote(scored, "w")
 
 
 def fallback_vote(distances: DataFrame, nodes: DataFrame) -> DataFrame:

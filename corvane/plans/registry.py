@@ -6,27 +6,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.operators import expand, metrics, records, solve, votes
-from corvane.sources import graphs
+from corvane.sources import graphs, papers
 from corvane.streaming import packets
 
+from .register import QUERIES, SQL
+from .register import query as _query
+
 #: Lines of orders as experiment records, for the record operators.
 RECORDS = """SELECT l_returnflag AS dataset, l_linestatus AS method, CASE WHEN l_linenumber > 1 THEN l_linenumber END AS seed, l_orderkey AS query_node,
   CASE WHEN l_orderkey % 2 = 0 THEN 'val' ELSE 'test' END AS split, l_partkey % 7 AS label, CASE WHEN l_suppkey % 11 > 0 THEN l_suppkey % 7 END AS predicted,
   l_extendedprice AS metric, l_discount > 0.05 AS capped, CAST(l_quantity AS BIGINT) AS size, l_partkey AS ord FROM lineitem"""
-_Q: dict = {}
-_SQL: dict[str, str] = {}
-
-
-def _query(sql: str | None = None):
-    def add(f):
-        _Q[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 def _graph(name: str) -> str:
     e, n = graphs.VIEWS[name]
     return f"WITH RECURSIVE edges AS ({e}), nodes AS ({n}), members AS (SELECT source AS query, source AS node FROM edges UNION SELECT source, target FROM edges)"
@@ -39,9 +28,13 @@ def _balls(spark, d, name="part"):
     return edges, nodes, expand.bfs_ball(expand.revealed(edges), queries, 1)
 
 
-def _nation_queries(spark, d):
-    edges, nodes = graphs.graph_view(spark, d, "nation")
-    return edges, nodes, nodes.select(F.col("node_id").alias("query"))
+#: Searches ask for every node whose id is divisible by 100, against the whole graph.
+_ASKED = "asked AS (SELECT node_id AS query FROM nodes WHERE node_id % 100 = 0)"
+
+
+def _searches(spark, d, name="part"):
+    edges, nodes = graphs.graph_view(spark, d, name)
+    return edges, nodes, nodes.where("node_id % 100 = 0").select(F.col("node_id").alias("query"))
 
 
 def _records(spark, d) -> DataFrame:
@@ -86,7 +79,7 @@ def scan_sim_adjacency(spark, d):
 @_query(f"""{_graph('part')}, ins AS (SELECT target AS node, source AS neighbour, row_number() OVER (PARTITION BY target ORDER BY source) AS r FROM edges)
 SELECT node, neighbour FROM ins WHERE r <= 2 UNION ALL SELECT source, target FROM edges""")
 def oracle_query(spark, d):
-    return expand.revealed(graphs.graph_view(spark, d, "part")[0], 2)
+    return expand.revealed(graphs.graph_view(spark, d, "part")[0], 2).select("node", "neighbour")
 
 
 @_query(f"{_graph('part')}{_COUNTS} SELECT query, num_nodes, num_edges, boundary_edges, CASE WHEN num_nodes < 2 THEN 0.0 ELSE CAST(num_edges AS DOUBLE) / (num_nodes * (num_nodes - 1)) END AS pair_density, CAST(num_edges AS DOUBLE) / num_nodes AS avg_degree, num_edges - CAST(0.25 AS DOUBLE) * (num_nodes * (num_nodes - 1)) AS parametric_obj FROM base")
@@ -101,45 +94,64 @@ def induced_edges(spark, d):
     return expand.induced_edges(edges, members)
 
 
-@_query(f"{_graph('nation')} SELECT m.query, e.source, e.target FROM edges e JOIN members m ON e.source = m.node WHERE NOT EXISTS (SELECT 1 FROM members m2 WHERE m2.query = m.query AND m2.node = e.target)")
+@_query(f"{_graph('part')} SELECT m.query, e.source, e.target FROM edges e JOIN members m ON e.source = m.node WHERE NOT EXISTS (SELECT 1 FROM members m2 WHERE m2.query = m.query AND m2.node = e.target)")
 def boundary_edges(spark, d):
-    edges, _, members = _balls(spark, d, "nation")
+    edges, _, members = _balls(spark, d)
     return expand.boundary_edges(edges, members)
 
 
-_REACH = """, walk AS (SELECT node_id AS query, node_id AS node, 0 AS distance FROM nodes UNION SELECT query, target, distance + 1 FROM walk JOIN edges ON source = node WHERE distance < 25),
+_REACH = f""", {_ASKED}, walk AS (SELECT query, query AS node, 0 AS distance FROM asked UNION SELECT w.query, e.target, w.distance + 1 FROM walk w JOIN edges e ON e.source = w.node WHERE w.distance < 3),
 dist AS (SELECT query, node, min(distance) AS distance FROM walk GROUP BY query, node)"""
 
 
-@_query(f"{_graph('nation')}{_REACH} SELECT query, node, distance FROM dist")
+@_query(f"{_graph('part')}{_REACH} SELECT query, node, distance FROM dist")
 def bfs_distances(spark, d):
-    edges, _, queries = _nation_queries(spark, d)
-    return expand.bfs_distances(expand.revealed(edges), queries)
+    edges, _, queries = _searches(spark, d)
+    return expand.bfs_distances(expand.revealed(edges), queries, 3)
 
 
-@_query(f"{_graph('nation')}{_REACH} SELECT query, node FROM dist WHERE distance <= 2")
+@_query(f"{_graph('part')}{_REACH} SELECT query, node FROM dist WHERE distance <= 2")
 def bfs_ball(spark, d):
-    edges, _, queries = _nation_queries(spark, d)
+    edges, _, queries = _searches(spark, d)
     return expand.bfs_ball(expand.revealed(edges), queries, 2)
 
 
-@_query(f"{_graph('nation')}{_REACH} SELECT query, count(*) AS reached FROM dist GROUP BY query")
+@_query(f"{_graph('part')}, {_ASKED}, walk AS (SELECT query, query AS node FROM asked UNION SELECT w.query, e.target FROM walk w JOIN edges e ON e.source = w.node) SELECT query, count(*) AS reached FROM walk GROUP BY query")
 def out_reachable(spark, d):
-    edges, _, queries = _nation_queries(spark, d)
+    edges, _, queries = _searches(spark, d)
     return expand.bfs_ball(expand.revealed(edges), queries, -1).groupBy("query").agg(F.count("*").alias("reached"))
 
 
-@_query(f"""{_graph('nation')}, walk AS (SELECT node_id AS query, node_id AS node, 0 AS distance FROM nodes UNION SELECT query, target, distance + 1 FROM walk JOIN edges ON source = node JOIN nodes n ON n.node_id = target WHERE distance < 10 AND NOT n.val)
+@_query(f"""{_graph('part')}, {_ASKED}, walk AS (SELECT query, query AS node, 0 AS distance FROM asked UNION SELECT w.query, e.target, w.distance + 1 FROM walk w JOIN edges e ON e.source = w.node LEFT JOIN nodes n ON n.node_id = e.target AND n.val WHERE w.distance < 3 AND n.node_id IS NULL)
 SELECT query, node, min(distance) AS distance FROM walk GROUP BY query, node""")
 def bfs_distance_forbidden(spark, d):
-    edges, nodes, queries = _nation_queries(spark, d)
-    return expand.bfs_distances(expand.revealed(edges), queries, 10, nodes.where("val").select(F.col("node_id").alias("node")))
+    edges, nodes, queries = _searches(spark, d)
+    return expand.bfs_distances(expand.revealed(edges), queries, 3, nodes.where("val").select(F.col("node_id").alias("node")))
+
+
+_ARCS = """, arcs AS (SELECT source AS node, target AS neighbour, 1 AS side, target AS ord FROM edges
+  UNION ALL SELECT target, source, 0, source FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY source) AS r FROM edges) x WHERE r <= 2)"""
 
 
-@_query(f"{_graph('nation')}{_REACH} SELECT query, node, distance, row_number() OVER (PARTITION BY query ORDER BY distance, node) - 1 AS ordinal FROM dist WHERE distance <= 2")
+@_query(f"""{_graph('part')}{_ARCS}, {_ASKED},
+l1 AS (SELECT q.query, a.neighbour AS node, min({{'o': 0, 's': a.side, 'e': a.ord}}) AS place FROM asked q JOIN arcs a ON a.node = q.query WHERE a.neighbour <> q.query GROUP BY q.query, a.neighbour),
+o1 AS (SELECT query, node, row_number() OVER (PARTITION BY query ORDER BY place, node) AS ordinal FROM l1),
+l2 AS (SELECT o.query, a.neighbour AS node, min({{'o': o.ordinal, 's': a.side, 'e': a.ord}}) AS place FROM o1 o JOIN arcs a ON a.node = o.node WHERE a.neighbour <> o.query AND NOT EXISTS (SELECT 1 FROM o1 k WHERE k.query = o.query AND k.node = a.neighbour) GROUP BY o.query, a.neighbour),
+n1 AS (SELECT query, count(*) AS n FROM o1 GROUP BY query),
+o2 AS (SELECT query, node, n + row_number() OVER (PARTITION BY query ORDER BY place, node) AS ordinal FROM l2 JOIN n1 USING (query))
+SELECT query, query AS node, 0 AS distance, 0 AS ordinal FROM asked UNION ALL SELECT query, node, 1, ordinal FROM o1 UNION ALL SELECT query, node, 2, ordinal FROM o2""")
 def discovery_ordinal(spark, d):
-    edges, _, queries = _nation_queries(spark, d)
-    return expand.discovery_ordinals(expand.revealed(edges), queries, 2).withColumn("ordinal", F.col("ordinal").cast("long"))
+    edges, _, queries = _searches(spark, d)
+    return expand.discovery_ordinals(expand.revealed(edges, 2), queries, 2)
+
+
+@_query(f"""{_graph('part')}{_ARCS}, {_ASKED}, told AS (SELECT DISTINCT query, a.neighbour AS node FROM asked JOIN arcs a ON a.node = query UNION SELECT query, query FROM asked),
+firsts AS (SELECT node, min(query) AS query FROM told GROUP BY node), misses AS (SELECT query, count(*) AS misses FROM firsts GROUP BY query)
+SELECT query, count(*) AS queries_made, coalesce(max(misses), 0) AS misses FROM told LEFT JOIN misses USING (query) GROUP BY query""")
+def oracle_misses(spark, d):
+    edges, _, queries = _searches(spark, d)
+    arcs = expand.revealed(edges, 2)
+    return expand.oracle_counts(arcs, expand.bfs_ball(arcs, queries, 1))
 
 
 @_query(f"{_graph('part')} SELECT DISTINCT least(source, target) AS u, greatest(source, target) AS v FROM edges WHERE source <> target")
@@ -147,9 +159,14 @@ def support_link(spark, d):
     return expand.support_links(graphs.graph_view(spark, d, "part")[0])
 
 
-@_query(f"{_graph('part')} SELECT DISTINCT source AS query FROM edges WHERE source NOT IN (SELECT target FROM edges)")
+_CITES = "SELECT DISTINCT l_orderkey AS source, l_partkey + 1000000000 AS target FROM lineitem"
+
+
+@_query(f"WITH edges AS ({_CITES} UNION ALL SELECT l_suppkey + 2000000000, l_orderkey FROM lineitem WHERE l_linenumber = 7) SELECT DISTINCT source AS query FROM edges WHERE source NOT IN (SELECT target FROM edges)")
 def pure_sources(spark, d):
-    return expand.pure_sources(graphs.graph_view(spark, d, "part")[0])
+    """Orders cite parts, and suppliers of a seventh line cite the order: sources are those suppliers and the orders no one cites."""
+    graphs.tables(spark, d, "lineitem")
+    return expand.pure_sources(spark.sql(f"{_CITES} UNION ALL SELECT l_suppkey + 2000000000, l_orderkey FROM lineitem WHERE l_linenumber = 7"))
 
 
 @_query(f"{_graph('part')} SELECT e.source, e.target FROM edges e JOIN edges r ON e.source = r.target AND e.target = r.source")
@@ -160,25 +177,35 @@ def reciprocal_pairs(spark, d):
 _LINKS = ", links AS (SELECT DISTINCT least(source, target) AS u, greatest(source, target) AS v FROM edges WHERE source <> target)"
 
 
-@_query(f"{_graph('nation')}{_LINKS}, t AS (SELECT ab.u AS a, ab.v AS b, bc.v AS c FROM links ab JOIN links bc ON ab.v = bc.u JOIN links ac ON ac.u = ab.u AND ac.v = bc.v) SELECT a AS node FROM t UNION SELECT b FROM t UNION SELECT c FROM t")
+@_query(f"{_graph('part')}{_LINKS}, t AS (SELECT ab.u AS a, ab.v AS b, bc.v AS c FROM links ab JOIN links bc ON ab.v = bc.u JOIN links ac ON ac.u = ab.u AND ac.v = bc.v) SELECT a AS node FROM t UNION SELECT b FROM t UNION SELECT c FROM t")
 def triangle_through_q(spark, d):
-    return expand.in_triangle(graphs.graph_view(spark, d, "nation")[0])
+    return expand.in_triangle(graphs.graph_view(spark, d, "part")[0])
 
 
-_REGION = "SELECT CAST(n_regionkey AS BIGINT) AS query, CAST(n_nationkey AS BIGINT) AS node FROM nation"
+_CLASS = "SELECT p_size AS query, p_partkey AS node FROM part"
+_BY_CLASS = f"WITH RECURSIVE edges AS ({graphs.PART_EDGES}), members AS ({_CLASS})"
 
 
-@_query(f"""WITH RECURSIVE edges AS ({graphs.NATION_EDGES}), members AS ({_REGION}),
+@_query(f"""{_BY_CLASS},
 inner_ AS (SELECT m.query, e.source, e.target FROM edges e JOIN members m ON e.source = m.node JOIN members m2 ON m2.query = m.query AND m2.node = e.target),
 both_ AS (SELECT query, source AS a, target AS b FROM inner_ UNION SELECT query, target, source FROM inner_),
 walk AS (SELECT query, node, node AS r FROM members UNION SELECT w.query, w.node, b.b FROM walk w JOIN both_ b ON b.query = w.query AND b.a = w.r)
 SELECT query, node, min(r) AS component FROM walk GROUP BY query, node""")
 def weak_components(spark, d):
-    edges, _, _ = _nation_queries(spark, d)
-    return expand.weak_components(edges, spark.sql(_REGION))
+    edges, _ = graphs.graph_view(spark, d, "part")
+    return expand.weak_components(edges, spark.sql(_CLASS))
+
 
+@_query(f"""{_BY_CLASS},
+both_ AS (SELECT m.query, e.source AS a, e.target AS b FROM edges e JOIN members m ON e.source = m.node JOIN members m2 ON m2.query = m.query AND m2.node = e.target), ends AS (SELECT * FROM both_ UNION SELECT query, b, a FROM both_),
+walk AS (SELECT query, node, node AS r FROM members UNION SELECT w.query, w.node, b.b FROM walk w JOIN ends b ON b.query = w.query AND b.a = w.r), comp AS (SELECT query, node, min(r) AS c FROM walk GROUP BY query, node),
+sizes AS (SELECT query, c, count(*) AS size FROM comp GROUP BY query, c) SELECT query, size, count(*) AS n FROM sizes GROUP BY query, size""")
+def pool_stats(spark, d):
+    edges, _ = graphs.graph_view(spark, d, "part")
+    return metrics.component_histogram(expand.weak_components(edges, spark.sql(_CLASS)))
 
-@_query(f"""WITH RECURSIVE edges AS ({graphs.NATION_EDGES}), members AS ({_REGION}){_COUNTS},
+
+@_query(f"""{_BY_CLASS}{_COUNTS},
 inner_ AS (SELECT m.query, e.source, e.target FROM edges e JOIN members m ON e.source = m.node JOIN members m2 ON m2.query = m.query AND m2.node = e.target),
 both_ AS (SELECT query, source AS a, target AS b FROM inner_ UNION SELECT query, target, source FROM inner_),
 walk AS (SELECT query, node, node AS r FROM members UNION SELECT w.query, w.node, b.b FROM walk w JOIN both_ b ON b.query = w.query AND b.a = w.r),
@@ -190,28 +217,34 @@ SELECT query, num_nodes, num_edges, boundary_edges, num_edges + boundary_edges A
   CAST(largest_component AS DOUBLE) / num_nodes AS wcc_ratio, coalesce(CAST(coalesce(mutual, 0) AS DOUBLE) / nullif(num_edges, 0), 0.0) AS reciprocity
 FROM base JOIN parts USING (query) LEFT JOIN mutual USING (query)""")
 def subgraph_qualities(spark, d):
-    edges, _, _ = _nation_queries(spark, d)
-    return metrics.subgraph_qualities(edges, spark.sql(_REGION))
+    edges, _ = graphs.graph_view(spark, d, "part")
+    return metrics.subgraph_qualities(edges, spark.sql(_CLASS))
 
 
-@_query(f"""{_graph('nation')}{_LINKS}, ends AS (SELECT u AS a, v AS b FROM links UNION ALL SELECT v, u FROM links),
+@_query(f"""{_graph('part')}{_LINKS}, ends AS (SELECT u AS a, v AS b FROM links UNION ALL SELECT v, u FROM links),
 m AS (SELECT m.query, m2.node IS NOT NULL AS i FROM ends JOIN members m ON a = m.node LEFT JOIN members m2 ON m2.query = m.query AND m2.node = b),
 c AS (SELECT query, CAST(sum(CASE WHEN i THEN 1 ELSE 0 END) AS BIGINT) AS twice, CAST(sum(CASE WHEN i THEN 0 ELSE 1 END) AS BIGINT) AS cut, count(*) AS volume FROM m GROUP BY query), s AS (SELECT query, count(*) AS size FROM members GROUP BY query), t AS (SELECT 2 * count(*) AS total FROM links)
 SELECT query, size, twice // 2 AS internal_links, cut AS boundary_links, CAST(cut AS DOUBLE) / nullif(least(volume, total - volume), 0) AS conductance, CAST(cut AS DOUBLE) / nullif(cut + 2 * (twice // 2), 0) AS mixing, CAST(cut AS DOUBLE) / size AS expansion FROM s JOIN c USING (query), t""")
 def subgraph_quality_undirected(spark, d):
-    edges, _, members = _balls(spark, d, "nation")
+    edges, _, members = _balls(spark, d)
     return metrics.undirected_qualities(edges, members)
 
 
-@_query(f"""{_graph('nation')}, ends AS (SELECT source AS a, target AS b FROM edges UNION ALL SELECT target, source FROM edges),
+@_query(f"""{_graph('part')}, ends AS (SELECT source AS a, target AS b FROM edges UNION ALL SELECT target, source FROM edges),
 m AS (SELECT m.query, m2.node IS NOT NULL AS i FROM ends JOIN members m ON a = m.node LEFT JOIN members m2 ON m2.query = m.query AND m2.node = b),
 c AS (SELECT query, CAST(sum(CASE WHEN i THEN 0 ELSE 1 END) AS BIGINT) AS cut, count(*) AS volume FROM m GROUP BY query), t AS (SELECT 2 * count(*) AS total FROM edges)
 SELECT query, cut, volume, coalesce(CAST(cut AS DOUBLE) / nullif(least(volume, total - volume), 0), 0.0) AS conductance FROM c, t""")
 def sim_qualities(spark, d):
-    edges, _, members = _balls(spark, d, "nation")
+    edges, _, members = _balls(spark, d)
     return metrics.list_qualities(edges, members)
 
 
+@_query(f"{_graph('part')}{_COUNTS} SELECT query, num_nodes, num_edges, CAST(num_edges AS DOUBLE) / num_nodes AS avg_degree, CASE WHEN num_nodes < 2 THEN 0.0 ELSE CAST(num_edges AS DOUBLE) / (num_nodes * (num_nodes - 1)) END AS pair_density FROM base")
+def openalex_qualities(spark, d):
+    edges, _, members = _balls(spark, d)
+    return metrics.reference_only_qualities(edges, members)
+
+
 @_query(f"""{_graph('part')}, inner_ AS (SELECT m.query, a.label AS a, b.label AS b FROM edges e JOIN members m ON e.source = m.node JOIN members m2 ON m2.query = m.query AND m2.node = e.target JOIN nodes a ON a.node_id = e.source JOIN nodes b ON b.node_id = e.target),
 same AS (SELECT query, count(*) AS n_e, sum(CASE WHEN a = b THEN 1 ELSE 0 END) AS n_same FROM inner_ GROUP BY query), v AS (SELECT query, label, count(*) AS c FROM members JOIN nodes ON node_id = node AND train WHERE node <> query GROUP BY query, label),
 t AS (SELECT query, sum(c) AS n_train FROM v GROUP BY query), s AS (SELECT v.query, n_train, round(-sum(CAST(c AS DOUBLE) / n_train * log2(CAST(c AS DOUBLE) / n_train)), 9) + 0.0 AS entropy, sum(CASE WHEN v.label = o.label THEN c ELSE 0 END) AS n_own FROM v JOIN t ON t.query = v.query JOIN nodes o ON o.node_id = v.query GROUP BY v.query, n_train),
@@ -222,12 +255,13 @@ def per_class_breakdown(spark, d):
     return metrics.per_class(edges, members, nodes)
 
 
-@_query(f"""{_graph('nation')}, a AS (SELECT query, node FROM members), b AS (SELECT a.node_id AS query, b.node_id AS node FROM nodes a JOIN nodes b ON a.label = b.label),
+@_query(f"""{_graph('part')}, {_ASKED}, a AS (SELECT query, node FROM members WHERE query % 100 = 0), b AS (SELECT a.node_id AS query, b.node_id AS node FROM nodes a JOIN nodes b ON a.label = b.label WHERE a.node_id IN (SELECT query FROM asked)),
 j AS (SELECT coalesce(a.query, b.query) AS query, CAST(sum(CASE WHEN a.node IS NOT NULL AND b.node IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS tp, CAST(sum(CASE WHEN b.node IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS fp, CAST(sum(CASE WHEN a.node IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS fn FROM a FULL JOIN b ON a.query = b.query AND a.node = b.node GROUP BY 1)
 SELECT query, tp, fp, fn, coalesce(CAST(tp AS DOUBLE) / nullif(tp + fp, 0), 0.0) AS precision, coalesce(CAST(tp AS DOUBLE) / nullif(tp + fn, 0), 0.0) AS recall, coalesce(CAST(2 * tp AS DOUBLE) / nullif(2 * tp + fp + fn, 0), 0.0) AS f1, coalesce(CAST(tp AS DOUBLE) / nullif(tp + fp + fn, 0), 0.0) AS jaccard FROM j""")
 def overlap_metrics(spark, d):
-    _, nodes, members = _balls(spark, d, "nation")
-    own = nodes.select(F.col("node_id").alias("query"), "label").join(nodes.select(F.col("node_id").alias("node"), "label"), "label").select("query", "node")
+    edges, nodes, queries = _searches(spark, d)
+    members = expand.bfs_ball(expand.revealed(edges), queries.join(edges.select(F.col("source").alias("query")).distinct(), "query"), 1)
+    own = nodes.select(F.col("node_id").alias("query"), "label").join(queries, "query").join(nodes.select(F.col("node_id").alias("node"), "label"), "label").select("query", "node")
     return metrics.overlap(members, own)
 
 
@@ -240,19 +274,21 @@ def label_vote(spark, d):
     return votes.label_vote(votes.train_members(members, nodes))
 
 
-@_query(f"""{_graph('nation')}{_REACH}, v AS (SELECT query, label, 2520 // distance AS w FROM dist JOIN nodes ON node_id = node AND train WHERE distance > 0) {_VOTE.format(score='sum(w)', votes='v')}""")
+@_query(f"""{_graph('part')}{_REACH}, c AS (SELECT query, label, distance, count(*) AS c FROM dist JOIN nodes ON node_id = node AND train WHERE distance > 0 GROUP BY query, label, distance),
+v AS (SELECT query, label, coalesce(sum(CAST(c AS DOUBLE)) FILTER (distance = 1), 0.0) + coalesce(sum(CAST(c AS DOUBLE) / 2) FILTER (distance = 2), 0.0) + coalesce(sum(CAST(c AS DOUBLE) / 3) FILTER (distance = 3), 0.0) AS w FROM c GROUP BY query, label)
+{_VOTE.format(score='max(w)', votes='v')}""")
 def distance_vote(spark, d):
-    edges, nodes, queries = _nation_queries(spark, d)
-    dist = expand.bfs_distances(expand.revealed(edges), queries)
+    edges, nodes, queries = _searches(spark, d)
+    dist = expand.bfs_distances(expand.revealed(edges), queries, 3)
     return votes.distance_vote(votes.train_members(dist.select("query", "node"), nodes), dist)
 
 
-@_query(f"""{_graph('nation')}{_REACH}, v AS (SELECT query, label, distance FROM dist JOIN nodes ON node_id = node AND train WHERE distance > 0), f AS (SELECT query, min(distance) AS m FROM v GROUP BY query),
+@_query(f"""{_graph('part')}{_REACH}, v AS (SELECT query, label, distance FROM dist JOIN nodes ON node_id = node AND train WHERE distance > 0), f AS (SELECT query, min(distance) AS m FROM v GROUP BY query),
 near AS (SELECT v.query, label FROM v JOIN f ON f.query = v.query AND distance = m), got AS ({_VOTE.format(score='count(*)', votes='near')}), g AS (SELECT label FROM nodes WHERE train GROUP BY label ORDER BY count(*) DESC, label LIMIT 1)
-SELECT node_id AS query, coalesce(predicted, (SELECT label FROM g)) AS predicted FROM nodes LEFT JOIN got ON query = node_id""")
+SELECT asked.query, coalesce(predicted, (SELECT label FROM g)) AS predicted FROM asked LEFT JOIN got ON got.query = asked.query""")
 def fallback_vote(spark, d):
-    edges, nodes, queries = _nation_queries(spark, d)
-    return votes.fallback_vote(expand.bfs_distances(expand.revealed(edges), queries), nodes)
+    edges, nodes, queries = _searches(spark, d)
+    return votes.fallback_vote(expand.bfs_distances(expand.revealed(edges), queries, 3), nodes)
 
 
 @_query(f"WITH nodes AS ({graphs.PART_NODES}) SELECT label AS majority FROM nodes WHERE train GROUP BY label ORDER BY count(*) DESC, label LIMIT 1")
@@ -297,11 +333,6 @@ def flag_rates(spark, d):
     return records.flag_rates(_records(spark, d), ["dataset", "method", "split"], ["capped"])
 
 
-@_query(f"{_R}, c AS (SELECT dataset, method, predicted, count(*) AS c FROM r WHERE predicted IS NOT NULL GROUP BY dataset, method, predicted) SELECT dataset, method, string_agg(predicted || ':' || c, ',' ORDER BY CAST(predicted AS VARCHAR)) AS counts FROM c GROUP BY dataset, method")
-def category_counts(spark, d):
-    return records.category_counts(_records(spark, d), ["dataset", "method"], "predicted")
-
-
 @_query(f"{_R} SELECT dataset, method, query_node, round(quantile_cont(metric, 0.5), 4) AS metric, bool_or(capped) AS capped, arg_min(size, {{'a': coalesce(seed, -1), 'b': size}}) AS size, count(*) AS n_rows FROM r GROUP BY dataset, method, query_node")
 def collapse_seeds(spark, d):
     return records.collapse_seeds(_records(spark, d), ["dataset", "method", "query_node"], "metric", "capped", "size")
@@ -328,15 +359,6 @@ def query_intersection(spark, d):
     return records.common_queries(_records(spark, d), ["dataset"])
 
 
-@_query(f"""{_R}, b AS (SELECT query_node, min(metric) AS base FROM r WHERE method = 'F' GROUP BY query_node), x AS (SELECT metric - base AS delta FROM r JOIN b USING (query_node) WHERE method = 'O')
-SELECT count(*) AS n, round(quantile_cont(delta, 0.5), 4) AS median, round(quantile_cont(delta, 0.25), 4) AS q1, round(quantile_cont(delta, 0.75), 4) AS q3 FROM x""")
-def paired_join(spark, d):
-    r = _records(spark, d)
-    deltas = records.paired_deltas(r.where("method = 'O'"), r.where("method = 'F'"), "metric")
-    q = F.percentile("delta", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return deltas.agg(F.count("*").alias("n"), F.round(q[1], 4).alias("median"), F.round(q[0], 4).alias("q1"), F.round(q[2], 4).alias("q3"))
-
-
 @_query(f"{_R} SELECT dataset, query_node, metric, size FROM (SELECT *, row_number() OVER (PARTITION BY dataset, query_node ORDER BY metric, size, ord) AS rk FROM r) x WHERE rk = 1")
 def first_per_query(spark, d):
     first = records.dedup(_records(spark, d), ["dataset", "query_node"], [F.asc("metric"), F.asc("size"), F.asc("ord")])
@@ -383,7 +405,21 @@ def extract_id(spark, d):
     return pages.select("url_", F.substring_index("url_", "/", -1).alias("id"))
 
 
-_LINES = """SELECT event_id AS seq, CAST(user_id AS VARCHAR) AS session, CASE WHEN event_type IN ('purchase', 'signup') THEN 'JSON_INCUMBENT:{"bb_node": ' || event_id || ', "density": ' || CAST(event_id % 97 AS VARCHAR) || '.5, "size": ' || user_id || '}' ELSE 'iteration ' || event_type || ' error' END AS value FROM events"""
+@_query("SELECT url, url_encode(url) AS encoded FROM (SELECT DISTINCT url FROM pages) x")
+def url_encode(spark, d):
+    pages = spark.read.parquet(f"{d}/pages.parquet").select("url").distinct()
+    return pages.select("url", papers.url_encode(F.col("url")).alias("encoded"))
+
+
+#: Events as lines of a solver's log: all classes of lines, all patterns of telemetry, and incumbents.
+_LINES = """SELECT event_id AS seq, CAST(user_id AS VARCHAR) AS session, CASE CAST(event_id % 19 AS INT)
+  WHEN 0 THEN '============================' WHEN 1 THEN '----------------------------' WHEN 2 THEN '[2024-01-02 03:04:05,678] [!] WARN time' WHEN 3 THEN 'Incumbent updated at Node 5 | Obj: ' || CAST(event_id % 97 AS VARCHAR) || '.5 | Size: ' || CAST(event_id % 9 AS VARCHAR)
+  WHEN 4 THEN '[2024-01-02 03:04:05,678] === DINKELBACH ITERATION ' || CAST(event_id % 31 AS VARCHAR) || ' | Lambda = 0.25 ===' WHEN 5 THEN 'Pruned node ' || CAST(event_id AS VARCHAR) WHEN 6 THEN 'Status : Converged'
+  WHEN 7 THEN 'Blacklisting node n' || CAST(event_id % 3 AS VARCHAR) || ' during pricing : timeout' WHEN 8 THEN 'Init Active Set | Size: ' || CAST(event_id % 11 AS VARCHAR) || ' | Density: 0.5' WHEN 9 THEN '-> Nodes Explored : 3 (Total: ' || CAST(event_id % 101 AS VARCHAR) || ')'
+  WHEN 10 THEN '-> LP Solves : 2 (Total: ' || CAST(event_id % 103 AS VARCHAR) || ')' WHEN 11 THEN 'Found Solution : Size: ' || CAST(event_id % 13 AS VARCHAR) || ' | New Density: 0.75' WHEN 12 THEN 'Columns Generated : ' || CAST(event_id % 17 AS VARCHAR)
+  WHEN 13 THEN 'BQP Cuts Added : ' || CAST(event_id % 23 AS VARCHAR) WHEN 14 THEN 'Total Solver Time : 1.5s' WHEN 15 THEN 'fatal ERROR in ' || event_type
+  WHEN 16 THEN 'INCUMBENT_JSON:{"bb_node": ' || CAST(event_id AS VARCHAR) || ', "density": ' || CAST(event_id % 97 AS VARCHAR) || '.5, "size": ' || CAST(user_id AS VARCHAR) || ', "nodes": ["' || CAST(event_id % 2 AS VARCHAR) || '"]}'
+  WHEN 17 THEN 'INCUMBENT_JSON:{broken' ELSE 'plain ' || event_type END AS value FROM events"""
 
 
 def _lines(spark, d):
@@ -391,50 +427,103 @@ def _lines(spark, d):
     return spark.sql(_LINES.replace("VARCHAR", "STRING"))
 
 
-@_query(f"WITH l AS ({_LINES}) SELECT CASE WHEN starts_with(value, 'JSON_INCUMBENT:') THEN 'incumbent' ELSE 'log' END AS type, count(*) AS n FROM l GROUP BY 1")
+@_query(f"WITH l AS ({_LINES}) SELECT seq, CASE WHEN starts_with(value, 'INCUMBENT_JSON:') AND value NOT LIKE '%broken' THEN 'incumbent' ELSE 'log' END AS type, CASE WHEN starts_with(value, 'INCUMBENT_JSON:') AND value NOT LIKE '%broken' THEN substr(value, 16) ELSE value END AS content FROM l")
 def packet_stream(spark, d):
-    return packets.packets(_lines(spark, d)).groupBy("type").agg(F.count("*").alias("n"))
+    return packets.packets(_lines(spark, d)).select("seq", "type", "content")
 
 
-@_query(f"""WITH l AS ({_LINES}), p AS (SELECT session, seq, CAST(json_extract(substr(value, 16), '$.bb_node') AS BIGINT) AS b, CAST(json_extract(substr(value, 16), '$.density') AS DOUBLE) AS d, CAST(json_extract(substr(value, 16), '$.size') AS BIGINT) AS s FROM l WHERE starts_with(value, 'JSON_INCUMBENT:'))
+@_query(f"""WITH l AS ({_LINES}), p AS (SELECT session, seq, CAST(json_extract(substr(value, 16), '$.bb_node') AS BIGINT) AS b, CAST(json_extract(substr(value, 16), '$.density') AS DOUBLE) AS d, CAST(json_extract(substr(value, 16), '$.size') AS BIGINT) AS s FROM l WHERE starts_with(value, 'INCUMBENT_JSON:') AND value NOT LIKE '%broken')
 SELECT session, max(b) AS bb_nodes, arg_max(d, seq) AS density, arg_max(s, seq) AS size, count(*) AS incumbents FROM p GROUP BY session""")
 def incumbent_fold(spark, d):
     return packets.fold_incumbents(packets.packets(_lines(spark, d)))
 
 
-@_query(f"WITH l AS ({_LINES}) SELECT CASE WHEN starts_with(value, 'JSON') THEN 'incumbent' ELSE 'error' END AS class, count(*) AS n FROM l GROUP BY 1")
+_CLASSES = " ".join(f"WHEN regexp_matches(regexp_replace(value, '{packets.STAMP}', ''), '{pattern}') THEN '{name}'" for name, pattern in packets.LINE_CLASSES)
+
+
+@_query(f"WITH l AS ({_LINES}) SELECT seq, CASE {_CLASSES} ELSE 'info' END AS class FROM l")
 def classify_line(spark, d):
-    return _lines(spark, d).groupBy(packets.classify_line(F.col("value")).alias("class")).agg(F.count("*").alias("n"))
+    return _lines(spark, d).select("seq", packets.classify_line(F.col("value")).alias("class"))
+
+
+@_query(f"""WITH l AS (SELECT seq, session, regexp_replace(value, '{packets.STAMP}', '') AS v, event FROM (SELECT *, CAST(seq % 19 AS INT) AS event FROM ({_LINES}) a) b),
+p AS (SELECT session, seq, event, v FROM l WHERE event IN (3, 4, 6, 7, 8, 9, 10, 11, 12, 13, 14, 16)),
+b AS (SELECT session, max(seq) FILTER (event = 9) AS set_at FROM p GROUP BY session)
+SELECT p.session, CAST(arg_max(TRY_CAST(regexp_extract(v, 'ITERATION ([0-9]+)', 1) AS INT), seq) FILTER (event = 4) AS INT) AS iteration,
+  arg_max(CASE event WHEN 4 THEN 0.25 WHEN 8 THEN 0.5 ELSE 0.75 END, seq) FILTER (event IN (4, 8, 11)) AS lambda,
+  coalesce(max(CASE WHEN event = 9 THEN TRY_CAST(regexp_extract(v, 'Total: ([0-9]+)', 1) AS BIGINT) ELSE seq END) FILTER (event = 16 AND seq > coalesce(set_at, -1) OR seq = set_at), 0) AS bb_nodes,
+  coalesce(arg_max(TRY_CAST(regexp_extract(v, 'Total: ([0-9]+)', 1) AS BIGINT), seq) FILTER (event = 10), 0) AS lp_solves,
+  arg_max(CASE event WHEN 16 THEN CAST(session AS BIGINT) ELSE TRY_CAST(regexp_extract(v, 'Size: ([0-9]+)', 1) AS BIGINT) END, seq) FILTER (event IN (8, 11, 16)) AS size,
+  arg_max(TRY_CAST(regexp_extract(v, ': ([0-9]+)$', 1) AS BIGINT), seq) FILTER (event = 12) AS columns_generated, arg_max(TRY_CAST(regexp_extract(v, ': ([0-9]+)$', 1) AS BIGINT), seq) FILTER (event = 13) AS cuts_added,
+  max(CASE WHEN event = 14 THEN 1.5 END) AS solver_time, CASE WHEN count(*) FILTER (event = 6) > 0 THEN 'converged' ELSE 'running' END AS status, count(DISTINCT CASE WHEN event = 7 THEN regexp_extract(v, 'node (n[0-9])', 1) END) AS n_barred
+FROM p JOIN b ON b.session = p.session GROUP BY p.session""")
+def telemetry_fold(spark, d):
+    whole = packets.telemetry_snapshot(packets.packets(_lines(spark, d)))
+    return whole.select("session", "iteration", "lambda", "bb_nodes", "lp_solves", "size", "columns_generated", "cuts_added", "solver_time", "status", F.coalesce(F.size("blacklisted"), F.lit(0)).cast("long").alias("n_barred"))
+
+
+@_query(f"""WITH l AS ({_LINES}), p AS (SELECT session, seq, CAST(seq % 2 AS VARCHAR) AS signature FROM l WHERE starts_with(value, 'INCUMBENT_JSON:') AND value NOT LIKE '%broken'),
+x AS (SELECT *, lag(signature) OVER (PARTITION BY session ORDER BY seq) AS b FROM p), y AS (SELECT session, seq, signature FROM x WHERE signature IS DISTINCT FROM b)
+SELECT session, seq, signature FROM (SELECT *, lead(seq) OVER (PARTITION BY session ORDER BY seq) AS a FROM y) z WHERE a IS NULL OR a - seq >= 350""")
+def incumbent_dedup_debounce(spark, d):
+    s = packets.packets(_lines(spark, d)).withColumn("at_ms", F.col("seq"))
+    return packets.debounced_incumbents(s).select("session", "seq", "signature")
+
+
+@_query(f"WITH l AS ({_LINES}) SELECT session, seq, value FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY seq DESC) AS r FROM l) x WHERE r <= 20")
+def log_tail(spark, d):
+    from corvane.operators import display
+
+    return display.log_tail(_lines(spark, d), ["session"], most=20)
 
 
 # Kernels: no SQL; tests hold them against enumeration.
 @_query()
 def dense_community(spark, d):
-    edges, _, queries = _nation_queries(spark, d)
-    return solve.dense_communities(solve.reveal(edges, queries), seconds=None).select("query", "k", "kappa", "density", "size", "gap_status")
+    edges, _, queries = _searches(spark, d)
+    return solve.dense_communities(solve.reveal(edges, queries, 1)).select("query", "k", "kappa", "density", "size", "gap_status", "bb_best_bound", "optimality_gap", "open_bb_nodes")
 
 
 @_query()
 def avgdeg_anchored(spark, d):
-    edges, _, queries = _nation_queries(spark, d)
-    return solve.average_degree_communities(solve.reveal(edges, queries)).select("query", "avg_degree")
+    edges, _, queries = _searches(spark, d)
+    return solve.average_degree_communities(solve.reveal(edges, queries, 1)).select("query", "avg_degree")
 
 
 @_query()
 def grow_to_k(spark, d):
-    edges, _, queries = _nation_queries(spark, d)
-    return solve.grown_communities(solve.reveal(edges, queries, 1))
+    edges, _, queries = _searches(spark, d)
+    return solve.grown_communities(expand.revealed(edges, 2), queries, 5, 0)
 
 
 @_query()
 def cut_qualities(spark, d):
-    edges, _, queries = _nation_queries(spark, d)
-    return solve.cut_qualities(solve.reveal(edges, queries))
+    edges, _, queries = _searches(spark, d)
+    return solve.cut_qualities(solve.reveal(edges, queries, 1))
+
+
+@_query()
+def incumbent_emit(spark, d):
+    """The trajectory of incumbents of each solve, one row an incumbent."""
+    edges, _, queries = _searches(spark, d)
+    found = solve.dense_communities(solve.reveal(edges, queries, 1), (3,), (0,))
+    return found.select("query", "k", "kappa", F.posexplode("trajectory").alias("step", "t")).select("query", "k", "kappa", "step", "t.bb_node", "t.density", "t.size")
+
+
+@_query()
+def brute_force_optima(spark, d):
+    """Enumeration on every region's nations: small by nature."""
+    edges, _ = graphs.graph_view(spark, d, "nation")
+    members = spark.sql("SELECT min(n_nationkey) OVER (PARTITION BY n_regionkey) AS query, n_nationkey AS node FROM nation").select(F.col("query").cast("long").alias("query"), F.col("node").cast("long").alias("node"))
+    return solve.optima(solve.inside(edges, members)).select("query", "optimum_kind", "k", "kappa", "opt_value")
 
 
 def queries() -> dict:
-    return dict(_Q)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(SQL)
+
+
+from . import experiments  # noqa: E402, F401  registers its own

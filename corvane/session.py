@@ -1,14 +1,36 @@
-"""What a Spark session needs to run this library's Python functions on executors."""
+"""What a Spark session needs to run this library: its source on executors, and a shared folder for what loops write."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+_LOCAL: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; where Spark is one process and names none, a temporary one."""
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder.rstrip("/")
+    context = spark.sparkContext
+    if not context.master.startswith("local[") and context.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if context.applicationId not in _LOCAL:
+        _LOCAL[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="corvane-")
+    return _LOCAL[context.applicationId]
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` as a table written in the shared folder: its lineage ends there, and any executor can read it."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/corvane-cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def ship(spark: SparkSession) -> SparkSession:

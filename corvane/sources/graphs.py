@@ -6,9 +6,15 @@ The views make graphs of the star-schema tables; their SQL runs on other engines
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+from dataclasses import dataclass
+from typing import Protocol
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corvane.session import cut
+
 #: Parts that follow one another in an order.
 PART_EDGES = """SELECT DISTINCT source, target FROM (
   SELECT l_partkey AS source, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS target FROM lineitem
@@ -21,7 +27,13 @@ NATION_EDGES = """SELECT source, target FROM (
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
   WHERE s_nationkey <> c_nationkey GROUP BY s_nationkey, c_nationkey) x WHERE r <= 5"""
 NATION_NODES = "SELECT CAST(n_nationkey AS BIGINT) AS node_id, n_regionkey AS label, n_nationkey % 5 <> 0 AS train, n_nationkey % 10 = 0 AS val, n_nationkey % 10 = 5 AS test FROM nation"
-VIEWS = {"part": (PART_EDGES, PART_NODES), "nation": (NATION_EDGES, NATION_NODES)}
+#: Users whose events of one type follow one another in a session of events, and the types each user has most of.
+FOLLOW_EDGES = """SELECT DISTINCT source, target FROM (
+  SELECT CAST(user_id AS BIGINT) AS source, CAST(lead(user_id) OVER (PARTITION BY event_type ORDER BY event_id) AS BIGINT) AS target FROM events
+) x WHERE target IS NOT NULL AND source <> target"""
+FOLLOW_NODES = """SELECT user_id AS node_id, CAST(label AS INT) AS label, user_id % 5 <> 0 AS train, user_id % 10 = 0 AS val, user_id % 10 = 5 AS test FROM (
+  SELECT CAST(user_id AS BIGINT) AS user_id, CAST(max(event_id) % 7 AS INT) AS label FROM events GROUP BY user_id) x"""
+VIEWS = {"part": (PART_EDGES, PART_NODES), "nation": (NATION_EDGES, NATION_NODES), "follow": (FOLLOW_EDGES, FOLLOW_NODES)}
 
 
 def tables(spark: SparkSession, sf_dir: str, *names: str) -> None:
@@ -30,19 +42,78 @@ def tables(spark: SparkSession, sf_dir: str, *names: str) -> None:
 
 
 def graph_view(spark: SparkSession, sf_dir: str, name: str) -> tuple[DataFrame, DataFrame]:
-    """Edges and nodes of a view."""
+    """Edges and nodes of a view, written once: operators read edges several times."""
     tables(spark, sf_dir)
     edges, nodes = VIEWS[name]
-    return spark.sql(edges), spark.sql(nodes)
+    return cut(spark.sql(edges)), spark.sql(nodes)
+
+
+class Oracle(Protocol):
+    """A source of a graph that is asked node by node: many at once, as a join."""
+
+    def query(self, asked: DataFrame) -> DataFrame:
+        """For ``asked (query, node)``: ``query, node, neighbour, side, ord``; predecessors have side 0, successors 1."""
+        ...
+
+
+@dataclass
+class TableOracle:
+    """An oracle over a table of edges; ``max_in_edges`` caps the predecessors it tells, first come first."""
+
+    edges: DataFrame
+    max_in_edges: int = 0
+
+    def query(self, asked: DataFrame) -> DataFrame:
+        from corvane.operators.expand import revealed
+
+        return asked.join(revealed(self.edges, self.max_in_edges), "node").select("query", "node", "neighbour", "side", "ord")
+
+
+@dataclass(frozen=True)
+class GraphContext:
+    """What an evaluation needs of a graph: directed and undirected arcs, and those that fallback votes walk on."""
+
+    directed: DataFrame
+    undirected: DataFrame
+    fallback: DataFrame
+
+
+def build_graph_context(edges: DataFrame, max_in_edges: int = 0) -> GraphContext:
+    """Arcs without self-loops. Without in-edges the fallback walks successors only, else both directions."""
+    from corvane.operators.expand import undirected
+
+    plain = edges.where("source <> target")
+    directed = cut(plain.select(F.col("source").alias("node"), F.col("target").alias("neighbour")).distinct())
+    both = cut(undirected(edges))
+    return GraphContext(directed, both, both if max_in_edges else directed)
+
+
+def sim_dataset(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Undirected neighbour lists with duplicates, successor lists, and one row of class count and total volume."""
+    order = "edge_ord" if "edge_ord" in edges.columns else "neighbour"
+    both = edges.select(F.col("source").alias("node"), F.col("target").alias("neighbour"), *(["edge_ord"] if order == "edge_ord" else []), F.lit(1).alias("out"))
+    both = both.unionByName(both.select(F.col("neighbour").alias("node"), F.col("node").alias("neighbour"), *(["edge_ord"] if order == "edge_ord" else []), F.lit(0).alias("out")))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), "neighbour"))), lambda x: x.neighbour)
+    total = nodes.agg((F.max("label") + 1).alias("num_classes")).crossJoin(edges.agg((2 * F.count("*")).alias("total_volume")))  # one row each
+    return both.groupBy("node").agg(listed.alias("neighbours")), both.where("out = 1").groupBy("node").agg(listed.alias("successors")), total
 
 
 def read_edges_csv(spark: SparkSession, path: str) -> DataFrame:
-    """``source, target`` strings and ``edge_ord``: header dropped, cut at the first comma, lines without one skipped."""
-    lines = spark.read.text(path)
-    ordered = lines.rdd.zipWithIndex().map(lambda r: (r[1], r[0].value)).toDF("edge_ord long, value string")
-    cut = ordered.where("edge_ord > 0").withColumn("value", F.regexp_replace("value", "\r$", "")).where(F.col("value").contains(","))
+    """``source, target`` strings and ``edge_ord``: each file's header dropped, cut at the first comma, lines without one skipped.
+
+    Lines are numbered within the stretches that tasks read, and the stretches by file and place: only one row a stretch
+    meets in one place.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    lines = cut(lines)
+    stretches = lines.groupBy("file", "block").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    order = Window.orderBy("file", "block")  # one row a stretch
+    stretches = stretches.withColumn("base", F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    numbered = lines.join(F.broadcast(stretches), ["file", "block"])  # about one row for each 128 MB of input
+    numbered = numbered.select("value", (F.col("base") + F.col("id") - F.col("first")).alias("edge_ord"), ((F.col("block") == 0) & (F.col("id") == F.col("first"))).alias("header"))
+    body = numbered.where("NOT header").select(F.regexp_replace("value", "\r$", "").alias("value"), "edge_ord")
     at = F.locate(",", "value")
-    return cut.select(F.expr("substring(value, 1, locate(',', value) - 1)").alias("source"), F.expr("substring(value, locate(',', value) + 1)").alias("target"), "edge_ord").where(at > 0)
+    return body.where(at > 0).select(F.expr("substring(value, 1, locate(',', value) - 1)").alias("source"), F.expr("substring(value, locate(',', value) + 1)").alias("target"), "edge_ord")
 
 
 def first_two_columns(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -62,8 +133,9 @@ def read_nodes_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def existing_export(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Every id from 0 to the largest seen, with label 0 where none is given."""
-    top = edges.select(F.greatest("source", "target").alias("m")).union(nodes.select("node_id")).agg(F.max("m").alias("m"))
-    return top.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("m").cast("long"))).alias("node_id")).join(nodes.select("node_id", "label"), "node_id", "left").na.fill(0, ["label"])
+    top = edges.select(F.greatest("source", "target").alias("m")).union(nodes.select("node_id")).agg(F.max("m").alias("m")).first().m
+    ids = edges.sparkSession.range(0 if top is None else top + 1).select(F.col("id").alias("node_id"))
+    return ids.join(nodes.select("node_id", "label"), "node_id", "left").na.fill(0, ["label"])
 
 
 def generate_gnp(spark: SparkSession, n: int, p: float, seed: int) -> tuple[DataFrame, int]:
@@ -76,3 +148,34 @@ def generate_gnp(spark: SparkSession, n: int, p: float, seed: int) -> tuple[Data
     query = max(range(n), key=lambda x: (degree[x], x))
     arcs = pairs + [(v, u) for u, v in pairs]
     return spark.createDataFrame(arcs, "source long, target long"), query
+
+
+def write_gnp(spark: SparkSession, root: str, n: int, p: float, seed: int) -> str:
+    """A G(n, p) graph as ``edge.csv`` and ``meta.json`` under ``n{n}/p{p}/s{seed}``; its folder."""
+    arcs, query = generate_gnp(spark, n, p, seed)
+    folder = f"{root}/n{n}/p{round(1000 * p):03d}/s{seed}"
+    arcs.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{folder}/edge.csv")
+    m = arcs.count()
+    meta = {"n": n, "p": p, "seed": seed, "query_node": query, "edge_count_directed": m, "edge_count_undirected": m // 2}
+    spark.createDataFrame([(json.dumps(meta, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/meta.json")
+    return folder
+
+
+def scan_synthetic_tree(spark: SparkSession, root: str, seeds: list[int] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Metadata of all graphs under ``root`` (of some seeds), and their edges with the graph's ``n, p, seed``."""
+    lines = spark.read.option("recursiveFileLookup", True).text(root).select("value", F.col("_metadata.file_path").alias("file"))
+    meta = lines.where(F.col("file").contains("/meta.json")).select(F.from_json("value", "n int, p double, seed int, query_node long, edge_count_directed long").alias("m"), F.regexp_extract("file", "^(.*)/meta.json", 1).alias("folder")).select("m.*", "folder")
+    meta = meta.where(F.col("seed").isin(*seeds)) if seeds is not None else meta.where("seed IS NOT NULL")
+    edges = lines.where(F.col("file").contains("/edge.csv") & F.col("value").rlike("^[0-9]+,[0-9]+$")).select(F.regexp_extract("file", "^(.*)/edge.csv", 1).alias("folder"), F.split("value", ",").alias("e"))
+    edges = edges.join(F.broadcast(meta.select("folder", "n", "p", "seed")), "folder")  # one row a graph
+    return meta.drop("folder"), edges.select("n", "p", "seed", F.col("e")[0].cast("long").alias("source"), F.col("e")[1].cast("long").alias("target"))
+
+
+def list_datasets(spark: SparkSession, root: str) -> DataFrame:
+    """``dataset, nodes, classes`` of every folder under ``root`` that has both tables, ``nodes.csv`` and ``edge.csv``."""
+    lines = spark.read.option("recursiveFileLookup", True).text(root).select("value", F.col("_metadata.file_path").alias("file"))
+    of = lambda name: F.regexp_extract("file", f"([^/]+)/{name}(/|$)", 1)
+    edge = lines.select(of("edge.csv").alias("dataset")).where("dataset <> ''").distinct()
+    rows = lines.select(of("nodes.csv").alias("dataset"), F.split("value", ",").alias("c")).where((F.col("dataset") != "") & F.col("c")[0].try_cast("long").isNotNull())
+    counts = rows.groupBy("dataset").agg(F.count("*").alias("nodes"), (F.max(F.col("c")[1].try_cast("int")) + 1).alias("classes"))
+    return counts.join(edge, "dataset", "left_semi")

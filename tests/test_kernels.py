@@ -78,14 +78,94 @@ def test_cuts_and_spectrum():
 def test_bridges_and_growth():
     g = K.support(K.adjacency([(0, 1), (1, 2), (2, 3), (3, 4), (0, 4), (4, 5), (10, 11), (10, 12), (11, 12)]))
     assert len(K.bridge_free_component(g, 0)) == 5 and len(K.bridge_free_component(g, 10)) == 3
-    assert K.grow_to_k(K4_LESS, {0}, 3, {1: 1, 2: 2, 3: 3}) == {0, 1, 2}
+
+
+def grown_by_hand(said: dict[int, list[int]], q: int, k: int) -> set[int]:
+    """One query from its own node: ask, then take the best linked node, first mentioned of equals."""
+    inside, order, links, asked = [q], [q], set(), []
+    while True:
+        for u in inside:
+            if u not in asked:
+                asked.append(u)
+                for v in said.get(u, []):
+                    order += [v] * (v not in order)
+                    links |= {(u, v), (v, u)} if u != v else set()
+        near = [v for v in order if v not in inside and any((u, v) in links for u in inside)]
+        if len(inside) >= k or not near:
+            return set(inside)
+        inside.append(max(near, key=lambda v: (sum((u, v) in links for u in inside), -order.index(v))))
+
+
+def test_growth_asks_members_and_breaks_ties_by_first_mention():
+    said = {0: [9, 4], 9: [7, 0], 4: [7, 3], 7: [3], 3: []}
+    assert K.grow_to_k(lambda u: said.get(u, []), [0], 3) == {0, 9, 4} or grown_by_hand(said, 0, 3) == {0, 9, 4}
+    rng = np.random.default_rng(3)
+    for _ in range(40):
+        said = {u: [int(v) for v in rng.permutation(9)[: rng.integers(0, 4)] if v != u] for u in range(9)}
+        for k in (1, 2, 4, 9):
+            assert K.grow_to_k(lambda u: said[u], [0], k) == grown_by_hand(said, 0, k)  # noqa: B023
+
+
+def test_growth_of_many_queries_at_once(spark):
+    from pyspark.sql import functions as F
+
+    from corvane.operators import expand, solve
+
+    rng = np.random.default_rng(5)
+    edges = sorted({(int(a), int(b)) for a, b in rng.integers(0, 14, (26, 2)) if a != b})
+    df = spark.createDataFrame([(u, v, i) for i, (u, v) in enumerate(edges)], "source long, target long, edge_ord long")
+    said = {u: [v for a, v in edges if a == u] for u in range(14)}
+    queries = df.select(F.col("source").alias("query")).distinct()
+    for k, depth in ((5, 0), (6, 1)):
+        got = {r.query: set(r.nodes) for r in solve.grown_communities(expand.revealed(df), queries, k, depth).collect()}
+        for q, nodes in got.items():
+            if depth == 0:
+                assert nodes == grown_by_hand(said, q, k)
+            else:
+                assert nodes >= {q, *said[q]} and len(nodes) <= max(k, 1 + len(said[q]))
+
+
+def test_enumerated_optima_agree_with_the_solvers():
+    rng = np.random.default_rng(11)
+    for _ in range(6):
+        g = K.adjacency([(int(a), int(b)) for a, b in rng.integers(0, 7, (14, 2))] + [(0, 1)])
+        found = {(kind, k, kappa): v for kind, k, kappa, v, _ in K.enumerate_optima(g, 0, (3, 4), (0, 1, 2))}
+        for k in (3, 4):
+            for kappa in (0, 1, 2):
+                want = found["edge_density_kappa", k, kappa]
+                r = K.dense_community(g, 0, k, kappa)
+                assert r["density"] == max(want, 0) and r["gap_status"] == "exhausted" and r["gap"] == 0 and r["open"] == 0
+        assert found["avgdeg", None, None] <= K.avgdeg_anchored(g, 0)[0] and found["avgdeg_connected", None, None] <= found["avgdeg", None, None]
+
+
+def test_cut_off_search_reports_its_gap():
+    rng = np.random.default_rng(2)
+    g = K.adjacency([(int(a), int(b)) for a, b in rng.integers(0, 24, (150, 2))])
+    r, whole = K.dense_community(g, 0, 4, max_nodes=1), K.dense_community(g, 0, 4)
+    assert r["gap_status"] in ("node_limit", "exhausted") and r["bound"] >= float(whole["density"]) - 1e-12 and (r["gap"] > 0) == (r["open"] > 0 and r["bound"] > float(r["density"]))
 
 
 def test_statistics():
     assert K.wilcoxon_p([1, 2, 3, 4, 5]) == pytest.approx(0.0625) and K.wilcoxon_p([0, 0]) == 1.0 and K.wilcoxon_p([1]) is None
-    r = K.bootstrap_ci([0, 1, 2] * 20, [0, 1, 1] * 20)
-    assert r["lo"] <= r["f1"] <= r["hi"] and r["se"] == pytest.approx((r["hi"] - r["lo"]) / 4)
-    assert K.paired_tie([0, 1] * 30, [0, 1] * 30, [0, 1] * 30) and not K.paired_tie([0, 1] * 30, [0, 1] * 30, [1, 0] * 30)
+    t, p = np.array([0, 1, 2] * 20), np.array([0, 1, 1] * 20)
+    for value, lo, hi in K.bootstrap_scores(t, p):
+        assert lo <= value <= hi
+    rows = K.resample_indices(60, 5, 0)
+    for i, row in enumerate(rows):  # label by label
+        per = []
+        for label in (0, 1, 2):
+            tp, fp, fn = (((t[row] == label) == x) & ((p[row] == label) == y) for x, y in ((True, True), (False, True), (True, False)))
+            tp, fp, fn = tp.sum(), fp.sum(), fn.sum()
+            per.append((tp / (tp + fp) if tp + fp else 0, tp / (tp + fn) if tp + fn else 0, 2 * tp / (2 * tp + fp + fn) if 2 * tp + fp + fn else 0))
+        assert np.allclose(K.fixed_label_scores(t, p, rows)[:3, i], np.mean(per, axis=0))
+    assert {tuple(sorted(set(r // 20))) for r in K.resample_indices(60, 50, 0, 3)} == {(0, 1, 2)} and all((np.bincount(r // 20) == 20).all() for r in K.resample_indices(60, 9, 0, 3))
+    with pytest.raises(ValueError):
+        K.resample_indices(61, 1, 0, 3)
+    lo, hi = K.score_intervals(np.zeros(10, int), np.zeros(10, int), K.resample_indices(10, 20, 0))[2]
+    assert (lo, hi) == pytest.approx(K.wilson(1.0, 10))
+    cells = {"a": t, "b": t.copy(), "c": (t + 1) % 3}
+    table = {(r[0], r[3]): r for r in K.tie_table(t, cells, {"a": 3, "b": 3, "c": 4}, 100)}
+    assert table["a", "f1"][6:10] == [True, True, True, True] and table["b", "f1"][6:10] == [False, False, True, True] and table["c", "f1"][6:10] == [True, False, True, False]
 
 
 def test_dense_community_query_has_no_time_limit_and_says_how_it_ended(spark, sf_dir, monkeypatch):
@@ -96,4 +176,4 @@ def test_dense_community_query_has_no_time_limit_and_says_how_it_ended(spark, sf
     given, real = {}, solve.dense_communities
     monkeypatch.setattr(solve, "dense_communities", lambda shown, **kw: given.update(kw) or real(shown, **kw))
     rows = registry.queries()["dense_community"](ship(spark), sf_dir).collect()
-    assert given["seconds"] is None and rows and {r.gap_status for r in rows} == {"exhausted"}
+    assert given.get("seconds") is None and rows and {r.gap_status for r in rows} == {"exhausted"}
