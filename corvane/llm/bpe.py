@@ -36,7 +36,7 @@ _CUT = re.compile(r"(?<=\S) ")
 #: Spaces that start no pre-token, or lie at an end: texts with them are encoded one by one.
 _UNEVEN = "  |^ | $|[\n" + "".join(f"\\x{{{ord(c):x}}}" for c in _ODD_SPACES) + "] "
 #: Texts are encoded together up to so many bytes.
-SLICE = 4 << 20
+SLICE = 8 << 20
 #: Marks that often follow a word; each is a pre-token where nothing else follows it.
 _MARKS = frozenset(".,;:!?")
 #: The commonest chunks besides these and plain words: a word and marks, perhaps with the first word of the next line.
@@ -116,7 +116,6 @@ class TextEncoder:
     def _fresh(self) -> None:
         self.pieces = _Pieces(self.tokenizer)
         self.words = _Words(self.pieces, regex.compile(PRE_TOKEN))
-        self.seen: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -137,28 +136,21 @@ class TextEncoder:
         return ids
 
 
-    def chunk_ids(self, chunk: str) -> bytes:
-        """Ids of a chunk with the space before it, kept whatever the chunk is."""
-        ids = self.seen.get(chunk)
-        if ids is None:
-            ids = self.seen[chunk] = self.words[chunk]
-        return ids
-
-    def _together(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For texts of even spaces: table of ids, and by chunk the stretch of the table; see ``encode_batch``."""
+    def _together(self, texts: pa.Array) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+        """For texts of even spaces: the ids of their distinct chunks, how many each has, each chunk's number by place, and where texts end."""
         split = pc.split_pattern(texts, " ")
         values, ends = split.values, split.offsets.to_numpy()
         coded = values.slice(int(ends[0]), int(ends[-1] - ends[0])).dictionary_encode()
         ends = ends - ends[0]
-        place = coded.indices.to_numpy().astype("i8")
-        parts = [self.chunk_ids(c) for c in coded.dictionary.to_pylist()]
+        place = coded.indices.to_numpy().copy()
+        parts = list(map(self.words.__getitem__, coded.dictionary.to_pylist()))
         # The first chunk of a text has no space before it.
-        for i, head in enumerate(values.take(pa.array(split.offsets.to_numpy()[:-1])).to_pylist()):
-            place[ends[i]] = len(parts)
-            parts.append(b"".join([self.pieces[p] for p in self.words.pattern.findall(head)]))
-        if len(self.words) + len(self.pieces) + len(self.seen) > MAX_WORDS:
+        place[ends[:-1]] = np.arange(len(parts), len(parts) + len(texts))
+        pieces, find = self.pieces, self.words.pattern.findall
+        parts += [b"".join([pieces[p] for p in find(head)]) for head in values.take(pa.array(split.offsets.to_numpy()[:-1])).to_pylist()]
+        if len(self.words) + len(self.pieces) > MAX_WORDS:
             self._fresh()
-        sizes = np.fromiter((len(p) // 4 for p in parts), "i8", len(parts))
+        sizes = np.fromiter(map(len, parts), "i8", len(parts)) // 4
         return b"".join(parts), sizes, place, ends
 
     def _slices(self, texts: pa.Array):
@@ -179,11 +171,13 @@ class TextEncoder:
             sizes, runs = np.zeros(len(part), "i8"), []
             if even.any():
                 table, long, place, ends = self._together(part.filter(pa.array(even)))
-                table = np.frombuffer(table, "<u4")
-                n = long[place]
+                table, n = np.frombuffer(table, "<u4"), long[place]
                 upto = np.concatenate([[0], np.cumsum(n)])
-                start = np.concatenate([[0], np.cumsum(long)])[place]
-                ids = table[np.repeat(start - upto[:-1], n) + np.arange(upto[-1])]
+                kind = "i4" if upto[-1] < 1 << 31 else "i8"
+                shift = (np.concatenate([[0], np.cumsum(long)])[place] - upto[:-1]).astype(kind)
+                at = np.repeat(shift, n)
+                at += np.arange(upto[-1], dtype=kind)
+                ids = table[at]
                 sizes[even] = np.diff(upto[ends])
             else:
                 ids = np.zeros(0, "<u4")
