@@ -103,8 +103,10 @@ def plan_best_fit(
                 by_tokens[state[0]].discard(state)
             else:
                 state, source = (capacity, max_docs, cost), [(next_bin, left)]
-                fresh = True
             per = min(state[0] // length, state[1], state[2] // (length * length))
+            # By dot product an emptier bin comes first, so each open bin gets one item before any gets another.
+            again = rule == "dot" and state[1] < max_docs and per > 1
+            per = 1 if again else per
             while source and left:
                 first, n = source.pop()
                 used = min(n, -(-left // per))
@@ -118,6 +120,9 @@ def plan_best_fit(
                     next_bin += used
                 elif n > used:
                     source.append((first, n - used))
+            after = (state[0] - length, state[1] - 1, state[2] - length * length)
+            if again and after in open_bins:
+                heapq.heappush(fitting, (score(after, length), after))
             if source and state[0] < capacity:
                 for first, n in source:
                     put(state, first, n)
@@ -169,14 +174,15 @@ def _placed(ranked: DataFrame, runs: np.ndarray, rank: str) -> DataFrame:
 def _joined(ranked: DataFrame, runs: np.ndarray, rank: str) -> DataFrame:
     """Sequences and offsets from a plan of any size: each run goes to the stretches of ranks that it touches."""
     spark = ranked.sparkSession
-    names = ["_length", "_rank", "_n", "_bin", "_per", "_offset"]
+    names = [free_name(ranked, f"_plan_{c}") for c in ("length", "rank", "n", "bin", "per", "offset", "stretch")]
+    length, begin, n, bin_, per, offset, stretch = map(F.col, names)
     rows = None
     for i in range(0, len(runs), 1_000_000):
-        part = spark.createDataFrame(pa.table([pa.array(c) for c in runs[i : i + 1_000_000].T], names))
+        part = spark.createDataFrame(pa.table([pa.array(c) for c in runs[i : i + 1_000_000].T], names[:6]))
         rows = part if rows is None else rows.union(part)
-    first, last = F.floor(F.col("_rank") / STRETCH), F.floor((F.col("_rank") + F.col("_n") - 1) / STRETCH)
-    rows = materialise(rows.withColumn("_stretch", F.explode(F.sequence(first, last))), "plan")
-    inside = F.col(rank) - F.col("_rank")
-    held = (F.col("length") == F.col("_length")) & (F.floor(F.col(rank) / STRETCH) == F.col("_stretch")) & (inside >= 0) & (inside < F.col("_n"))
-    seq, offset = F.col("_bin") + F.floor(inside / F.col("_per")), F.col("_offset") + inside % F.col("_per") * F.col("length")
+    first, last = F.floor(begin / STRETCH), F.floor((begin + n - 1) / STRETCH)
+    rows = materialise(rows.withColumn(names[6], F.explode(F.sequence(first, last))), "plan")
+    inside = F.col(rank) - begin
+    held = (F.col("length") == length) & (F.floor(F.col(rank) / STRETCH) == stretch) & (inside >= 0) & (inside < n)
+    seq, offset = bin_ + F.floor(inside / per), offset + inside % per * F.col("length")
     return ranked.join(rows, held).select(*(c for c in ranked.columns if c != rank), seq.cast("long").alias("sequence_id"), offset.cast("long").alias("offset"))
