@@ -78,7 +78,8 @@ def _add_missing(rows: DataFrame, df: DataFrame, tokenizer: str, cache: str, key
     if n:
         texts = df.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256)))
         same = texts["key"].eqNullSafe(miss["key"]) & (texts["digest"] == miss["digest"])
-        picked = texts.join(miss, same, "left_semi").select("digest", F.lit(version).alias("version"), "text")
+        # By sorted merge, equal rows meet in one task, and rows that memory does not hold spill.
+        picked = texts.join(miss.hint("merge"), same, "left_semi").select("digest", F.lit(version).alias("version"), "text")
         _counts(picked, tokenizer, "model" if tokenizer.endswith(".model") else "json").write.mode("append").parquet(cache)
     return n
 
