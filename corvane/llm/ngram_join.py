@@ -279,6 +279,26 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     return edges.select(F.col("v").alias("node"), F.col("u").alias("root"))
 
 
+def _families(lists: DataFrame, reps: DataFrame, linked: Column, rounds: int = 3) -> tuple[DataFrame, DataFrame]:
+    """Links ``x, y`` of representatives with their pivots, and ``rep, pivot, r`` (their distance).
+
+    Of a list the set with fewest shingles of its own leads: near copies of a text have each some that no other text has,
+    the text itself has none, so the middle of a family comes before its edges. Sets that are too far from their pivot
+    look for one among themselves in the next round.
+    """
+    near = family = None
+    left = lists
+    for _ in range(rounds):
+        lead = F.struct("own", F.col("rep").alias("pivot"))
+        heads = left.groupBy("token", "class").agg(F.min(lead).alias("lead"), F.count("*").alias("size")).where("size > 1")
+        pivots = left.join(heads.select("token", "class", "lead"), ["token", "class"]).groupBy("rep").agg(F.min("lead").alias("lead")).where("lead.pivot <> rep")
+        found = materialise(_compare(pivots.select(F.col("rep").alias("x"), F.col("lead.pivot").alias("y")), reps).where(linked), "near")
+        own = found.select(F.col("x").alias("rep"), F.col("y").alias("pivot"), (1 - F.col("common") / F.col("either")).alias("r"))
+        near, family = (found, own) if near is None else (near.union(found), family.union(own))
+        left = left.join(family.select("rep").union(family.select("pivot")).distinct(), "rep", "left_anti")
+    return near, family
+
+
 def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 75) -> DataFrame:
     """``key, n_shingles, component_id`` of each row. Only connectivity is derived: links within a family are neither counted nor given."""
     spark = df.sparkSession
@@ -296,12 +316,9 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", n
     ratio = 100 / percent
     size_class = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(ratio))) + 1e-9).cast("int")
     lists = reps.select("rep", "n", F.size("tokens").alias("shared"), F.posexplode(F.slice("tokens", F.lit(1), F.col("prefix"))).alias("at", "token")).withColumn("class", size_class)
-    lists = materialise(lists.select("token", "class", "rep", "n", (F.col("shared") - F.col("at")).alias("rest")), "lists")
-    heads = lists.groupBy("token", "class").agg(F.min("rep").alias("pivot"), F.count("*").alias("size")).where("size > 1")
-    pivots = lists.join(heads, ["token", "class"]).groupBy("rep").agg(F.min("pivot").alias("pivot")).where("pivot <> rep")
-    near = materialise(_compare(pivots.select(F.col("rep").alias("x"), F.col("pivot").alias("y")), reps), "near")
+    lists = materialise(lists.select("token", "class", "rep", "n", (F.col("n") - F.col("shared")).alias("own"), (F.col("shared") - F.col("at")).alias("rest")), "lists")
     linked = F.expr(f"100 * common >= {percent} * either")
-    family = near.where(linked).select(F.col("x").alias("rep"), F.col("y").alias("pivot"), (1 - F.col("common") / F.col("either")).alias("r"))
+    near, family = _families(lists, reps, linked)
 
     # Pivots stand for their families in the lists; classes a step apart may link too.
     stood = lists.join(family.select("rep", "pivot"), "rep", "left")
@@ -327,7 +344,7 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", n
     fits = (F.col("hi_x") * 100 >= F.col("lo_y") * percent) & (F.col("hi_y") * 100 >= F.col("lo_x") * percent) & (F.col("x") != F.col("y"))
     fits = fits & (F.least("rest_x", "rest_y") * (100 + percent) >= (F.col("lo_x") + F.col("lo_y")) * percent)
     across = left.join(right, ["token", "pair"]).where(fits).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    across = across.join(near.where(linked).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")), ["x", "y"], "left_anti")
+    across = across.join(near.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")), ["x", "y"], "left_anti")
     between = materialise(_compare(across, reps), "between")
     # Families whose pivots are too far apart to link, but whose members may.
     radius = family.groupBy(F.col("pivot").alias("p")).agg(F.max("r").alias("r"))
@@ -343,7 +360,7 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", n
     inner = inner.where("a <> b").select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
     inner = inner.join(across, ["x", "y"], "left_anti")
     found = materialise(_compare(inner, reps), "found")
-    links = near.where(linked).select("x", "y").union(between.where(linked).select("x", "y")).union(found.where(linked).select("x", "y"))
+    links = near.select("x", "y").union(between.where(linked).select("x", "y")).union(found.where(linked).select("x", "y"))
     roots = components(links)
 
     # Each set's component, and the least key in it.
