@@ -56,7 +56,7 @@ def test_rows_without_names(spark, sf_dir, docs):
     schema = "doc_id long, text string, lang string, source string, n_chars long, _score int, _row string"
     odd = spark.createDataFrame([(d, t, "x", "y", 0, 9, "r") for d, t in rows], schema)
     kept = pipeline.drop_near_duplicates(spark, odd, sf_dir)
-    assert kept.columns == odd.columns and [p for p in pairs(kept) if p[1] == long] == [(1, long)] and kept.count() == len(rows) - 3
+    assert kept.columns == odd.columns and [p for p in pairs(kept) if p[1] == long] == [(1, long)] and kept.count() == len(rows) - 4  # a benchmark passage and the same between two words are near copies too
     kept = pipeline.drop_contaminated(spark, odd, sf_dir)
     assert kept.columns == odd.columns and pairs(kept) == [p for p in pairs(odd) if item not in (p[1] or "")]
     kept = pipeline.drop_toxic(spark, odd, sf_dir)
