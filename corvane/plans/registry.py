@@ -453,7 +453,7 @@ SELECT p.session, CAST(arg_max(TRY_CAST(regexp_extract(v, 'ITERATION ([0-9]+)',
   arg_max(CASE event WHEN 4 THEN 0.25 WHEN 8 THEN 0.5 ELSE 0.75 END, seq) FILTER (event IN (4, 8, 11)) AS lambda,
   coalesce(max(CASE WHEN event = 9 THEN TRY_CAST(regexp_extract(v, 'Total: ([0-9]+)', 1) AS BIGINT) ELSE seq END) FILTER (event = 16 AND seq > coalesce(set_at, -1) OR seq = set_at), 0) AS bb_nodes,
   coalesce(arg_max(TRY_CAST(regexp_extract(v, 'Total: ([0-9]+)', 1) AS BIGINT), seq) FILTER (event = 10), 0) AS lp_solves,
-  arg_max(CASE event WHEN 16 THEN CAST(session AS BIGINT) ELSE TRY_CAST(regexp_extract(v, 'Size: ([0-9]+)', 1) AS BIGINT) END, seq) FILTER (event IN (8, 11, 16)) AS size,
+  arg_max(CASE event WHEN 16 THEN CAST(p.session AS BIGINT) ELSE TRY_CAST(regexp_extract(v, 'Size: ([0-9]+)', 1) AS BIGINT) END, seq) FILTER (event IN (8, 11, 16)) AS size,
   arg_max(TRY_CAST(regexp_extract(v, ': ([0-9]+)$', 1) AS BIGINT), seq) FILTER (event = 12) AS columns_generated, arg_max(TRY_CAST(regexp_extract(v, ': ([0-9]+)$', 1) AS BIGINT), seq) FILTER (event = 13) AS cuts_added,
   max(CASE WHEN event = 14 THEN 1.5 END) AS solver_time, CASE WHEN count(*) FILTER (event = 6) > 0 THEN 'converged' ELSE 'running' END AS status, count(DISTINCT CASE WHEN event = 7 THEN regexp_extract(v, 'node (n[0-9])', 1) END) AS n_barred
 FROM p JOIN b ON b.session = p.session GROUP BY p.session""")
