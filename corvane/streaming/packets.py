@@ -75,7 +75,9 @@ def telemetry_updates(packet: DataFrame) -> DataFrame:
     hit = F.when(F.col("type") == "incumbent", F.lit(-1))
     for i, (pattern, _) in enumerate(TELEMETRY):
         hit = hit.when(clean.rlike(pattern), F.lit(i))
-    df = packet.withColumn("_line", clean).withColumn("pattern", hit).where("pattern IS NOT NULL").withColumn("_inc", F.when(F.col("type") == "incumbent", F.from_json("content", INCUMBENT)))
+    # Exploded, so that each line is matched once: a plain projection would be put into every field's expression.
+    matched = F.struct(clean.alias("_line"), hit.alias("pattern"), F.when(F.col("type") == "incumbent", F.from_json("content", INCUMBENT)).alias("_inc"))
+    df = packet.select("session", "seq", F.explode(F.array(matched)).alias("_m")).select("session", "seq", "_m.*").where("pattern IS NOT NULL")
     own = {"lambda": "_inc.lambda", "bb_nodes": "_inc.bb_node", "size": "_inc.size", "incumbent_obj": "_inc.param_obj", "incumbent_size": "_inc.size"}
     out = {}
     for name, kind in FIELDS.items():
