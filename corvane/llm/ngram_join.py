@@ -19,8 +19,9 @@
    pivots need comparing only if d(p, q) <= (1 - t) + r(x) + r(y).
 6. Links are joined to components by spreading the smallest id.
 
-Nothing is capped. Pairs within a group are not emitted: a family costs one
-comparison a member.
+Nothing is capped. Pairs within a family are not emitted: it costs one comparison
+a member. Two families whose pivots are apart, but whose members may link by the
+bound of step 5, are compared member by member: pairs grow with both their sizes.
 
 Texts are lower-cased for A-Z and cut at ASCII white space. A set has the
 distinct n-word shingles; with fewer words, the whole sequence as one; without
