@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat_format, decontam, html_extract, ngram_join, order_minhash, packing, scratch, sharding, token_counts, token_store, toxicity
+from . import backoff_lm, chat_format, decontam, filter_audit, html_extract, ngram_join, order_minhash, packing, scratch, sharding, token_counts, token_store, toxicity, whitening
 
 #: The end-of-document id of op2 and op7, the sequence length, and the limit of op9.
 END_ID, LENGTH = 2, 1024
@@ -81,11 +81,27 @@ def op10_order_minhash(spark, sf_dir):
     return order_minhash.fingerprint_edits(_table(spark, sf_dir, "documents"))
 
 
+def op11_embedding_whitening(spark, sf_dir):
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_filter_audit(spark, sf_dir):
+    return filter_audit.audit_filters(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_lm_scoring(spark, sf_dir):
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(10)) == 0
+    return backoff_lm.score_texts(_table(spark, sf_dir, "documents"), held_out)
+
+
 def queries() -> dict:
     return {
         f.__name__: f
-        for f in (op1_chat_formatting, op2_token_store, op3_toxicity, op4_jump_sharding, op5_ngram_jaccard, op6_decontamination, op7_best_fit_packing, op8_html_extraction, op9_token_counts, op10_order_minhash)
-    }
+        for f in (
+            op1_chat_formatting, op2_token_store, op3_toxicity, op4_jump_sharding, op5_ngram_jaccard, op6_decontamination, op7_best_fit_packing,
+            op8_html_extraction, op9_token_counts, op10_order_minhash, op11_embedding_whitening, op12_filter_audit, op13_lm_scoring,
+        )
+    }
 
 
 def oracle_sql() -> dict[str, str]:
@@ -105,4 +121,44 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
   CAST(sum(8 + length(role) + 8 + plain + marks + 8) AS BIGINT) AS formatted_chars
 FROM safe GROUP BY conv_id""",
+        "op12_filter_audit": r"""
+WITH texts AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), known AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id
+), rows AS (
+  SELECT t.part, coalesce(k.good, 0) AS good, coalesce(k.toxic, 0) AS toxic,
+    CASE WHEN len(words) < 200 THEN 1 ELSE 0 END AS a,
+    CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 1 ELSE 0 END AS b,
+    CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text) THEN 1 ELSE 0 END AS c,
+    CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 1 ELSE 0 END AS d,
+    CASE WHEN t.doc_id > min(t.doc_id) OVER (PARTITION BY text) THEN 1 ELSE 0 END AS e
+  FROM texts t LEFT JOIN known k ON t.doc_id = k.doc_id
+), cells AS (
+  SELECT part, good, toxic, a + 2 * b + 4 * c + 8 * d + 16 * e AS mask, count(*) AS n FROM rows GROUP BY ALL
+), letters AS (
+  SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) AS t(f, bit)
+), orders AS (
+  SELECT p.f || q.f || r.f || s.f || t.f AS filter_order, p.bit AS b1, q.bit AS b2, r.bit AS b3, s.bit AS b4, t.bit AS b5
+  FROM letters p, letters q, letters r, letters s, letters t WHERE p.bit | q.bit | r.bit | s.bit | t.bit = 31
+), steps AS (
+  SELECT filter_order, 1 AS step, 0 AS applied, b1 AS bit FROM orders
+  UNION ALL SELECT filter_order, 2, b1, b2 FROM orders
+  UNION ALL SELECT filter_order, 3, b1 + b2, b3 FROM orders
+  UNION ALL SELECT filter_order, 4, b1 + b2 + b3, b4 FROM orders
+  UNION ALL SELECT filter_order, 5, b1 + b2 + b3 + b4, b5 FROM orders
+), counted AS (
+  SELECT part, filter_order, step, bit,
+    sum(CASE WHEN mask & (applied | bit) = 0 THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN mask & applied = 0 AND mask & bit <> 0 THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN mask & applied <> 0 AND mask & bit <> 0 THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN mask & applied = 0 AND mask & bit <> 0 AND good = 1 THEN n ELSE 0 END) AS good_lost,
+    sum(CASE WHEN mask & applied = 0 AND mask & bit <> 0 AND toxic = 1 THEN n ELSE 0 END) AS toxic_lost
+  FROM cells, steps GROUP BY part, filter_order, step, bit
+)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
+FROM counted""",
     }
