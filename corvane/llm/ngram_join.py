@@ -20,8 +20,10 @@
 6. Links are joined to components by spreading the smallest id.
 
 Nothing is capped. Pairs within a family are not emitted: it costs one comparison
-a member. Two families whose pivots are apart, but whose members may link by the
-bound of step 5, are compared member by member: pairs grow with both their sizes.
+a member. Where two families of different components may hold members that link by
+the bound of step 5, the sets of the smaller are compared with the pivot of the larger,
+and which of its members they can link with is derived from both one's differences to
+that pivot, so only these pairs are compared.
 
 Texts are lower-cased for A-Z and cut at ASCII white space. A set has the
 distinct n-word shingles; with fewer words, the whole sequence as one; without
@@ -151,10 +153,9 @@ def _send(docs: DataFrame, n: int, bits: int) -> DataFrame:
         bucket = (hashes >> _U(64 - bits)).astype("i8")
         doc = np.repeat(np.arange(len(ids)), sizes)
         order = np.argsort(bucket, kind="stable")
-        cut = np.searchsorted(bucket[order], np.arange((1 << bits) + 1))
+        there, begin = np.unique(bucket[order], return_index=True)
         rows = [(int(bucket[0]) if len(bucket) else 0, ids[0], ids, keys, np.asarray(sizes, "<i4").tobytes(), np.concatenate(sums).astype("<u8").tobytes(), None)]
-        for b in np.flatnonzero(np.diff(cut)).tolist():
-            part = order[cut[b] : cut[b + 1]]
+        for b, part in zip(there.tolist(), np.split(order, begin[1:]) if len(there) else [], strict=True):
             per = np.bincount(doc[part], minlength=len(ids))
             rows.append((b, ids[0], None, None, per.astype("<i4").tobytes(), None, _pack(hashes[part])))
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
@@ -300,12 +301,86 @@ def _families(lists: DataFrame, reps: DataFrame, linked: Column, rounds: int = 3
     return near, family
 
 
+def _rooted(rows: DataFrame, roots: DataFrame, columns: list[str]) -> DataFrame:
+    """``rows`` without those whose two columns are of one component."""
+    for c in columns:
+        rows = rows.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"_of_{c}")), c, "left")
+    one, other = (F.coalesce(f"_of_{c}", c) for c in columns)
+    return rows.where(one != other).drop(*(f"_of_{c}" for c in columns))
+
+
+def _apart(unlinked: DataFrame, family: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """``x, y, d, rx, ry``: pivots that do not link, of different components, whose families' radii allow members to link."""
+    radius = family.groupBy(F.col("pivot").alias("p")).agg(F.max("r").alias("r"))
+    apart = unlinked.select("x", "y", (1 - F.col("common") / F.col("either")).alias("d"))
+    for c in "xy":
+        apart = apart.join(radius.select(F.col("p").alias(c), F.col("r").alias(f"r{c}")), c, "left")
+    apart = apart.na.fill(0.0, ["rx", "ry"])
+    apart = apart.where((F.col("rx") + F.col("ry") > 0) & (F.col("d") <= 1 - percent / 100 + 1e-9 + F.col("rx") + F.col("ry")))
+    return materialise(_rooted(apart, roots, ["x", "y"]), "apart")
+
+
+def _against(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Sets and a pivot, ``m, p``: sizes ``n, n_p``, how many shingles are ``common``, and those of m ``outside`` the pivot, rarest first."""
+    one, pivot = sets.select(F.col("rep").alias("m"), "n", F.col("tokens").alias("t")), sets.select(F.col("rep").alias("p"), F.col("n").alias("n_p"), F.col("tokens").alias("t_p"))
+
+    def differ(batches):
+        for b in batches:
+            own, of = b.column(4), b.column(5)
+            v, w, o, q = own.values.to_numpy(), of.values.to_numpy(), own.offsets.to_numpy(), of.offsets.to_numpy()
+            out = [v[i:j][~np.isin(v[i:j], w[k:n])] for i, j, k, n in zip(o[:-1], o[1:], q[:-1], q[1:], strict=True)]
+            ends = np.cumsum([0, *map(len, out)]).astype("i4")
+            outside = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, "i8"), *out])))
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), pa.array(np.diff(o).astype("i8") - np.diff(ends)), outside], ["m", "p", "n", "n_p", "common", "outside"])
+        trim()
+
+    both = pairs.join(one, "m").join(pivot, "p").select("m", "p", "n", "n_p", "t", "t_p")
+    return both.mapInArrow(differ, "m long, p long, n int, n_p int, common long, outside array<long>").withColumn("either", F.col("n") + F.col("n_p") - F.col("common"))
+
+
+def _outsiders(apart: DataFrame, family: DataFrame, reps: DataFrame) -> DataFrame:
+    """Of two families apart, each set of the smaller one against the pivot of the larger, ``p``: one comparison a set."""
+    sizes = family.groupBy(F.col("pivot").alias("p")).agg(F.count("*").alias("k"))
+    for c in "xy":
+        apart = apart.join(sizes.select(F.col("p").alias(c), F.col("k").alias(f"k{c}")), c, "left")
+    first = F.coalesce("kx", F.lit(0)) >= F.coalesce("ky", F.lit(0))
+    sides = apart.select(F.when(first, F.col("x")).otherwise(F.col("y")).alias("p"), F.when(first, F.col("y")).otherwise(F.col("x")).alias("q"))
+    members = sides.join(family.select(F.col("pivot").alias("q"), F.col("rep").alias("m")), "q").select("m", "p")
+    return materialise(_against(sides.select(F.col("q").alias("m"), "p").union(members).where("m <> p").distinct(), reps), "outsiders")
+
+
+def _derived(outside: DataFrame, family: DataFrame, reps: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``x, y`` of a set outside a family and a member of it that may link, derived from both one's answers with the pivot.
+
+    A set y has ``common`` shingles with the pivot. With a member x it has those, less what x lacks of the pivot, and
+    more by shingles that both have and the pivot has not. So x must share with y as many shingles outside the pivot as y's
+    overlap with the pivot falls short, of those that y has (all but so many of the rarest are enough to look at), or be so
+    small that nothing falls short.
+    """
+    left = _rooted(outside, roots, ["m", "p"])
+    inner = materialise(_against(family.join(left.select(F.col("p").alias("pivot")).distinct(), "pivot", "left_semi").select(F.col("rep").alias("m"), F.col("pivot").alias("p")), reps), "inner")
+    bounds = inner.groupBy("p").agg(F.min("n").alias("least"), F.max(1 - F.col("common") / F.col("either")).alias("radius"))
+    far = 1 - F.col("common") / F.col("either")
+    slack = 1 - percent / 100 + 1e-9
+    short = F.ceil(percent * (F.col("least") + F.col("n")) / (100 + percent) - 1e-9) - F.col("common")
+    left = left.join(bounds, "p").withColumn("far", far).withColumn("short", short).where(F.col("far") <= slack + F.col("radius"))
+    sets = left.where(F.size("outside") >= F.col("short"))
+    look = F.slice("outside", F.lit(1), F.greatest(F.size("outside") - F.greatest("short", F.lit(1)) + 1, F.lit(0)).cast("int"))
+    ys = sets.select("p", F.col("m").alias("y"), "far", F.explode(look).alias("token"))
+    xs = inner.select("p", F.col("m").alias("x"), far.alias("r"), F.explode("outside").alias("token"))
+    shared = ys.join(xs, ["p", "token"]).where(F.col("far") <= slack + F.col("r")).select("x", "y")
+    small = left.where("short <= 0").select("p", F.col("m").alias("y"), F.col("n").alias("n_y"), F.col("common").alias("has"), "far")
+    small = small.join(inner.select("p", F.col("m").alias("x"), F.col("n").alias("n_x"), far.alias("r")), "p")
+    small = small.where((percent * (F.col("n_x") + F.col("n_y")) <= (100 + percent) * F.col("has")) & (F.col("far") <= slack + F.col("r")))
+    return shared.union(small.select("x", "y")).where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+
+
 def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 75) -> DataFrame:
     """``key, n_shingles, component_id`` of each row. Only connectivity is derived: links within a family are neither counted nor given."""
     spark = df.sparkSession
     # Rows are known by a number of their own, so that null or repeated keys are rows like others.
     docs = df.select(F.monotonically_increasing_id().alias("id"), F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    bits = min(16, max(8, math.ceil(math.log2(4 * parallelism(spark)))))
+    bits = min(30, max(8, math.ceil(math.log2(4 * parallelism(spark)))))  # buckets follow the session's setting
     sets = materialise(_gather(_answer(_send(docs, n, bits)), percent, bits), "sets")
 
     # Equal sets: one representative.
@@ -347,22 +422,16 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", n
     across = left.join(right, ["token", "pair"]).where(fits).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     across = across.join(near.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")), ["x", "y"], "left_anti")
     between = materialise(_compare(across, reps), "between")
-    # Families whose pivots are too far apart to link, but whose members may.
-    radius = family.groupBy(F.col("pivot").alias("p")).agg(F.max("r").alias("r"))
-    distance = 1 - F.col("common") / F.col("either")
-    slack = 1 - percent / 100 + 1e-9
-    apart = between.where(~linked).select("x", "y", distance.alias("d"))
-    apart = apart.join(radius.select(F.col("p").alias("x"), F.col("r").alias("rx")), "x", "left").join(radius.select(F.col("p").alias("y"), F.col("r").alias("ry")), "y", "left").na.fill(0.0, ["rx", "ry"])
-    apart = apart.where((F.col("d") <= slack + F.col("rx") + F.col("ry")) & (F.col("rx") + F.col("ry") > 0))
-    members = family.select("pivot", F.col("rep").alias("m"), "r").union(family.select("pivot", F.col("pivot").alias("m"), F.lit(0.0).alias("r")).distinct())
-    of = lambda c: members.select(F.col("pivot").alias(c), F.col("m").alias(f"m{c}"), F.col("r").alias(f"r_{c}"))
-    inner = apart.join(of("x"), "x", "left").join(of("y"), "y", "left").na.fill(0.0, ["r_x", "r_y"])
-    inner = inner.where(F.col("d") <= slack + F.col("r_x") + F.col("r_y")).select(F.coalesce("mx", "x").alias("a"), F.coalesce("my", "y").alias("b"))
-    inner = inner.where("a <> b").select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
-    inner = inner.join(across, ["x", "y"], "left_anti")
-    found = materialise(_compare(inner, reps), "found")
-    links = near.select("x", "y").union(between.where(linked).select("x", "y")).union(found.where(linked).select("x", "y"))
+    links = near.select("x", "y").union(between.where(linked).select("x", "y"))
     roots = components(links)
+    apart = _apart(between.where(~linked), family, roots, percent)
+    if not apart.isEmpty():
+        outside = _outsiders(apart, family, reps)
+        links = links.union(outside.where(linked).select(F.col("m").alias("x"), F.col("p").alias("y")))
+        roots = components(links)
+        last = _derived(outside.where(~linked), family, reps, roots, percent)
+        links = links.union(materialise(_compare(last, reps), "found").where(linked).select("x", "y"))
+        roots = components(links)
 
     # Each set's component, and the least key in it.
     rooted = by_set.join(roots, F.col("rep") == F.col("node"), "left").select("n", "a", "b", "least", F.coalesce("root", "rep").alias("root"))
