@@ -48,10 +48,10 @@ def log_of(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: st
     """The event log of a table with one row a turn: ``conv, turn, message, copy, seq, role, text, op``.
 
     A message is streamed in two deltas; those of the assistant begin with a draft that is regenerated. Repeated
-    turns are messages of their own, told apart by ``message`` (a hash of role and text) and ``copy``.
+    turns are messages of their own, told apart by ``message`` (a hash of role and text, and of which is null) and ``copy``.
     """
     rows = turns.groupBy(F.col(conv).alias(conv), F.col(turn).alias(turn), F.col(role).alias(role), F.col(text).alias(text)).agg(F.count("*").cast("int").alias("copy"))
-    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copy")))).withColumn("message", F.xxhash64(role, text))
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copy")))).withColumn("message", F.xxhash64(F.col(role).isNull(), role, F.col(text).isNull(), text))
     half = F.floor(F.length(text) / 2).cast("int")
     event = lambda seq, text, op: F.struct(F.lit(seq).cast("long").alias("seq"), text.alias("text"), F.lit(op).alias("op"))
     deltas = F.array(event(3, F.left(text, half), "append"), event(4, F.substring(text, half + 1, F.length(text)), "append"))

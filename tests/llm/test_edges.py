@@ -181,3 +181,10 @@ def test_frequent_keys_are_spread(spark):
     values = rows.select("k").distinct().withColumn("v", F.col("k") * 2)
     got = scratch.spread_join(rows, values, rows.groupBy("k").agg(F.count("*").alias("_n")), ["k"], F.col("id"))
     assert got.columns == ["k", "id", "v"] and got.count() == 3000 and got.where("v <> 2 * k OR v IS NULL").count() == 0
+
+
+def test_null_role_and_null_text_of_one_turn_are_two_messages(spark):
+    rows = [(1, 0, None, "hi"), (1, 0, "hi", None), (1, 0, None, None), (1, 0, None, None), (1, 1, "assistant", "x" * 200_000)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    found = chat_format.read_back(chat_format.format_chats(chat_format.log_of(turns), parts=("message", "copy"))).first()
+    assert (found.n_turns, found.loss_chars) == (5, 200_000)
