@@ -7,7 +7,6 @@ from __future__ import annotations
 
 import itertools
 import math
-import time
 from collections import deque
 from fractions import Fraction
 
@@ -214,81 +213,6 @@ def brute_force_avgdeg(adj: Adj, q: int) -> Fraction:
     return max(Fraction(arcs_inside(adj, s := {q, *c}), len(s)) for r in range(len(others) + 1) for c in itertools.combinations(others, r))
 
 
-def dense_community(adj: Adj, q: int, k: int, kappa: int = 0, seconds: float | None = None, max_nodes: int | None = None) -> dict:
-    """Densest set with q and at least k nodes, with kappa edge-disjoint paths from q to each member.
-
-    Branch and bound over a list of candidates, best linked first. A node's bound: the arcs chosen so far, those from
-    candidates to chosen nodes, and half of those among candidates, both taken greedily for each possible size. Nodes
-    that miss kappa links are peeled first; a set that fails on connectivity is extended or dropped like any other.
-    """
-    und, began = support(adj), time.monotonic()
-    pool = _peel(und, set(adj), q, kappa)
-    w = {u: {v: (v in adj[u]) + (u in adj[v]) for v in und[u] & pool} for u in pool}
-    best, best_set, trace, visited, status = Fraction(-1), set(), [], 0, "exhausted"
-    if q not in pool or len(pool) < max(k, 2):
-        return {"nodes": [], "density": Fraction(0), "bb_nodes": 0, "gap_status": status, "trajectory": [], "bound": 0.0, "gap": 0.0, "open": 0}
-
-    def offer(s: set[int]) -> None:
-        nonlocal best, best_set
-        value = Fraction(arcs_inside(adj, s), len(s) * (len(s) - 1)) if len(s) > 1 else Fraction(0)
-        if len(s) >= max(k, 2) and value > best and kappa_verify(und, s, q, kappa):
-            best, best_set = value, set(s)
-            trace.append({"bb_node": visited, "density": float(value), "size": len(s), "nodes": sorted(s)})
-
-    greedy = {q}
-    while len(greedy) < len(pool) and len(greedy) < max(4 * k, 40):
-        near = {v for u in greedy for v in w[u]} - greedy or pool - greedy
-        greedy.add(max(near, key=lambda v: (sum(w[v].get(u, 0) for u in greedy), -v)))
-        offer(greedy)
-    offer(pool)
-    peeled = set(pool)
-    while len(peeled) > max(k, 2):
-        peeled.discard(min(peeled - {q}, key=lambda v: (sum(w[v].get(u, 0) for u in peeled), v)))
-        offer(peeled)
-
-    def bound_beats(chosen: set[int], inside: int, cand: list[int], gain: dict[int, int]) -> bool:
-        """Whether a set below this node may beat the best."""
-        return next(bounds(chosen, inside, cand, gain), None) is not None
-
-    def bounds(chosen: set[int], inside: int, cand: list[int], gain: dict[int, int]):
-        """Bounds above the best, by size of the set."""
-        c = len(chosen)
-        cset = set(cand)
-        tops = sorted((gain[v], v) for v in cand)[::-1]
-        half = {v: sorted((x for u, x in w[v].items() if u in cset), reverse=True) for v in cand}
-        for size in range(max(k, 2, c), c + len(cand) + 1):
-            m = size - c
-            if kappa == 0 and m and size > max(k, 2) and best > 0 and size > 1 + max(map(len, und.values())) / float(best):
-                break
-            reach = sorted((2 * g + sum(half[v][: m - 1]) for g, v in tops), reverse=True)[:m]
-            value = Fraction(2 * inside + sum(reach), 2 * size * (size - 1))
-            if value > best:
-                yield value
-
-    stack = [({q}, 0, sorted(pool - {q}), dict.fromkeys(pool, 0) | dict(w[q]))]
-    while stack:
-        if max_nodes is not None and visited >= max_nodes or seconds is not None and time.monotonic() - began > seconds:
-            status = "node_limit" if max_nodes is not None and visited >= max_nodes else "hard_time_limit"
-            break
-        chosen, inside, cand, gain = stack.pop()
-        visited += 1
-        offer(chosen)
-        if not cand or not bound_beats(chosen, inside, cand, gain):
-            continue
-        v = max(cand, key=lambda x: (gain[x], len(w[x]), -x))
-        rest = [u for u in cand if u != v]
-        stack.append((chosen, inside, rest, gain))
-        grown = dict(gain)
-        for u, x in w[v].items():
-            grown[u] += x
-        stack.append((chosen | {v}, inside + gain[v], rest, grown))
-    # What nodes left open may still reach; without any, the best is the bound.
-    found = max(best, Fraction(0))
-    bound = max([found, *(v for node in stack for v in bounds(*node))])
-    gap = float((bound - found) / max(found, Fraction(1, 10**10)))
-    return {"nodes": sorted(best_set), "density": found, "bb_nodes": visited, "gap_status": status, "trajectory": trace, "bound": float(bound), "gap": gap, "open": len(stack)}
-
-
 def enumerate_optima(adj: Adj, q: int, ks, kappas):
     """``kind, floor, connectivity, value, set`` of each optimum over all sets with q and two nodes or more; -1 and no set where none is feasible."""
     und, others = support(adj), sorted(set(adj) - {q})
@@ -453,26 +377,32 @@ def tie_table(truth: np.ndarray, cells: dict[str, np.ndarray], floor: dict[str,
     return out
 
 
-def wilcoxon_p(deltas) -> float | None:
-    """Two-sided signed-rank test: zeros dropped, exact below 51 untied values, else normal; None below two values."""
-    d = np.asarray([x for x in deltas if x is not None and not math.isnan(x)], float)
-    if len(d) < 2:
+def signed_rank_p(paired: int, n: int, plus: float, ties: float, untied: bool) -> float | None:
+    """Two-sided p of a signed-rank test: of ``paired`` values ``n`` are not zero, those above it have the rank sum ``plus``, and ``ties`` is the sum of t^3 - t.
+
+    Exact below 51 untied values, else normal.
+    """
+    if paired < 2:
         return None
-    d = d[d != 0]
-    n = len(d)
     if not n:
         return 1.0
-    size = np.abs(d)
-    order = np.sort(size)
-    rank = (np.searchsorted(order, size, "left") + np.searchsorted(order, size, "right") + 1) / 2
-    plus = rank[d > 0].sum()
-    ties = np.unique(size, return_counts=True)[1]
-    if n <= 50 and (ties == 1).all():
+    if n <= 50 and untied:
         ways = np.zeros(n * (n + 1) // 2 + 1)
         ways[0] = 1
         for r in range(1, n + 1):
-            ways[r:] = ways[r:] + ways[:-r].copy() if r else ways
+            ways[r:] = ways[r:] + ways[:-r].copy()
         low = int(min(plus, n * (n + 1) / 2 - plus))
         return float(min(1.0, 2 * ways[: low + 1].sum() / ways.sum()))
-    mean, var = n * (n + 1) / 4, n * (n + 1) * (2 * n + 1) / 24 - (ties**3 - ties).sum() / 48
+    mean, var = n * (n + 1) / 4, n * (n + 1) * (2 * n + 1) / 24 - ties / 48
     return float(math.erfc(abs(plus - mean) / math.sqrt(var) / math.sqrt(2)))
+
+
+def wilcoxon_p(deltas) -> float | None:
+    """The same from the values themselves; zeros are dropped."""
+    d = np.asarray([x for x in deltas if x is not None and not math.isnan(x)], float)
+    paired, d = len(d), d[d != 0]
+    size = np.abs(d)
+    order = np.sort(size)
+    rank = (np.searchsorted(order, size, "left") + np.searchsorted(order, size, "right") + 1) / 2
+    ties = np.unique(size, return_counts=True)[1]
+    return signed_rank_p(paired, len(d), rank[d > 0].sum(), float((ties**3 - ties).sum()), bool((ties == 1).all()))

@@ -86,6 +86,8 @@ class SolveParams:
     time_limit: float | None = None
     hard_time_limit: float | None = None
     gap_tolerance: float = 0.0
+    node_limit: int | None = None
+    dinkelbach_iter: int | None = None
 
     def validate(self) -> SolveParams:
         rules = [
@@ -100,6 +102,8 @@ class SolveParams:
             (self.time_limit is None or self.time_limit > 0, "a time limit is positive"),
             (self.hard_time_limit is None or self.hard_time_limit > 0, "a hard time limit is positive"),
             (0 <= self.gap_tolerance < 1, "a gap tolerance lies in [0, 1)"),
+            (self.node_limit is None or self.node_limit > 0, "a node limit is positive"),
+            (self.dinkelbach_iter is None or self.dinkelbach_iter > 0, "a limit of iterations is positive"),
         ]
         for holds, message in rules:
             if not holds:
@@ -108,8 +112,10 @@ class SolveParams:
 
     @classmethod
     def of(cls, method: str, params: dict) -> SolveParams:
-        """From a grid's entry: names that are not arguments are left out."""
-        known = {k: v for k, v in solver_params(params).items() if k in cls.__dataclass_fields__ and k != "method"}
+        """From a grid's entry; raises on a name that no method takes."""
+        known = {k: v for k, v in solver_params(params).items() if k not in ("method", "bfs_use_k")}
+        if unknown := sorted(set(known) - set(cls.__dataclass_fields__)):
+            raise ValueError(f"unknown parameters: {', '.join(unknown)}")
         if method == "bfs" and not params.get("bfs_use_k", True):
             known.pop("k", None)
         return cls(method, **known).validate()

@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 from corvane.functions.params import QUALITY_SCHEMA, SolveParams, effective_params, grid, resume_key, seeds_of
 
+from corvane.functions.branching import Limits
+from corvane.sources.graphs import build_graph_context
+
 from . import expand, metrics, solve, votes
 from .records import size_bucket
 
@@ -25,15 +28,19 @@ RECORD = (
     "quality_schema_version string, reused_solver_record boolean, reused_from_params_hash string, reused_from_split_hash string, ord long"
 )
 KEY = ["query_node", "method", "params_hash", "dataset", "split_hash", "seed"]
+#: Forbidden nodes that an evaluation can have.
+MAX_FORBIDDEN = 10_000_000
 RESUME = ["query_node", "method", "dataset", "resume_key", "seed"]
 
 
-def read_evaluations(spark: SparkSession, path: str) -> DataFrame:
-    """Records appended under ``path``; none where there is nothing yet."""
+def read_evaluations(spark: SparkSession, path: str, below: bool = False) -> DataFrame:
+    """Records appended under ``path``; none where there is nothing yet. With ``below``, those of its folders, but of none whose name ends in ``.bak``."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(folder):
         return spark.createDataFrame([], RECORD)
-    return spark.read.schema(RECORD).option("pathGlobFilter", "*.json").json(path)
+    paths = [x.getPath().toString() for x in files.listStatus(folder) if x.isDirectory() and not x.getPath().getName().endswith(".bak")] if below else [path]
+    return spark.read.schema(RECORD).option("pathGlobFilter", "*.json").json(paths) if paths else spark.createDataFrame([], RECORD)
 
 
 def _same(left: list[str]) -> Column:
@@ -66,27 +73,48 @@ def reusable(todo: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFrame]
     return hit.withColumn("reused_solver_record", F.lit(True)), todo.join(first.select(*(f"_{k}" for k in RESUME)), _same(RESUME), "left_anti")
 
 
+def _by_ball(edges: DataFrame, queries: DataFrame, params: SolveParams) -> DataFrame:
+    return solve.grown_balls(edges, queries, params.bfs_depth, params.k or 1, params.max_in_edges)
+
+
+def _by_average_degree(edges: DataFrame, queries: DataFrame, params: SolveParams) -> DataFrame:
+    """The set of largest average degree, grown to the size floor over what the query revealed."""
+    shown = expand.cut(solve.reveal(edges, queries, -1, params.max_in_edges))
+    found = expand.cut(solve.average_degree_communities(shown).select("query", F.explode("nodes").alias("node")))
+    grown = solve.grown_sets(shown.dropna(), found, params.k or 1)
+    return grown.groupBy("query").agg(F.array_sort(F.collect_list("node")).alias("nodes")).withColumn("gap_status", F.lit("not_run"))
+
+
+def _by_density(edges: DataFrame, queries: DataFrame, params: SolveParams) -> DataFrame:
+    limits = Limits(params.time_limit, params.hard_time_limit, params.node_limit, params.dinkelbach_iter, params.gap_tolerance)
+    return solve.dense_communities(solve.reveal(edges, queries, -1, params.max_in_edges), (params.k,), (params.kappa,), limits)
+
+
+#: Methods by name: functions of ``(edges, queries, params)`` that give ``query, nodes, gap_status``. Others may be added.
+SOLVERS = {"bfs": _by_ball, "avgdeg": _by_average_degree, "bp": _by_density}
+
+
 def run_solver(edges: DataFrame, queries: DataFrame, params: SolveParams) -> DataFrame:
     """``query, retrieved_nodes, oracle_queries, hard_cap_hit, gap_status`` of each query by the method of ``params``."""
-    shown = solve.reveal(edges, queries, params.bfs_depth if params.method == "bfs" else -1, params.max_in_edges)
-    if params.method == "bfs":
-        found = solve.grown_balls(edges, queries, params.bfs_depth, params.k or 1, params.max_in_edges)
-    elif params.method == "avgdeg":
-        found = solve.average_degree_communities(shown).withColumn("gap_status", F.lit("not_run"))
-    else:
-        found = solve.dense_communities(shown, (params.k,), (params.kappa,), params.hard_time_limit)
+    found = SOLVERS[params.method](edges, queries, params)
     asked = expand.bfs_ball(expand.revealed(edges, params.max_in_edges), queries, params.bfs_depth if params.method == "bfs" else -1).groupBy("query").agg(F.count("*").alias("oracle_queries"))
     return found.join(asked, "query").select("query", F.col("nodes").alias("retrieved_nodes"), "oracle_queries", (F.col("gap_status") == "hard_time_limit").alias("hard_cap_hit"), "gap_status")
 
 
-def classify(members: DataFrame, edges: DataFrame, nodes: DataFrame, queries: DataFrame, weighting: str = "distance", hops: int = 10, forbidden: DataFrame | None = None) -> DataFrame:
-    """``query, predicted_label, fallback_used``: the community's vote, or without voters the nearest training layer's, or the majority of all."""
-    arcs = expand.undirected(edges)
+def classify(
+    members: DataFrame, edges: DataFrame, nodes: DataFrame, queries: DataFrame, weighting: str = "distance", hops: int = 10, forbidden: DataFrame | None = None, max_in_edges: int = 0,
+) -> DataFrame:
+    """``query, predicted_label, fallback_used``: the community's vote, or without voters the nearest training layer's, or the majority of all.
+
+    Distances that weigh votes are undirected; the fallback walks successors only, unless predecessors are told too.
+    """
+    graph = build_graph_context(edges, max_in_edges)
     voters = votes.train_members(members, nodes, forbidden)
-    near = expand.bfs_distances(arcs, queries, hops, forbidden)
-    chosen = votes.distance_vote(voters, near) if weighting == "distance" else votes.label_vote(voters)
+    chosen = votes.distance_vote(voters, expand.bfs_distances(graph.undirected, queries, hops, forbidden)) if weighting == "distance" else votes.label_vote(voters)
     allowed = nodes if forbidden is None else nodes.join(forbidden.select(F.col("node").alias("node_id")), "node_id", "left_anti")
-    backup = votes.fallback_vote(near, allowed).withColumnRenamed("predicted", "backup")
+    chosen = expand.cut(queries.select("query").distinct().join(chosen, "query", "left"))
+    lost = chosen.where(F.col("predicted").isNull()).select("query")
+    backup = votes.fallback_vote(expand.bfs_distances(graph.fallback, lost, hops, forbidden), allowed).withColumnRenamed("predicted", "backup")
     df = queries.select("query").join(chosen, "query", "left").join(backup, "query", "left")
     return df.select("query", F.coalesce("predicted", "backup").cast("int").alias("predicted_label"), F.col("predicted").isNull().alias("fallback_used"))
 
@@ -106,15 +134,20 @@ def measure(members: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame
 
 def evaluate_nodes(
     queries: DataFrame, edges: DataFrame, nodes: DataFrame, method: str, params: dict, dataset: str, split: str, split_hash: str, records: str | None = None,
-    seed: int | None = None, weighting: str = "distance", hops: int = 10, forbidden: DataFrame | None = None, qualities: bool = True, solver=run_solver,
+    seed: int | None = None, weighting: str = "distance", hops: int = 10, forbidden: DataFrame | None = None, qualities: bool = True, solver=run_solver, siblings: str | None = None,
 ) -> DataFrame:
     """A record of each query (``query_node``), in the order of queries; new ones are appended at ``records``.
 
     ``solver`` is any function of ``(edges, queries, params)`` with the columns of ``run_solver``, for queries that no record answers.
+    Records in the folders of ``siblings`` (other weightings, other splits) give their solver results to equal solver questions.
+    A record's ``ord`` is the number of the run that appended it. At most ``MAX_FORBIDDEN`` nodes can be forbidden, since they are hashed as one text.
     """
     spark = queries.sparkSession
-    barred = [r.node for r in forbidden.select("node").distinct().orderBy("node").collect()] if forbidden is not None else []  # hashed as one text
-    whole, hashed = effective_params(params, weighting, hops, barred, solver_config={"max_in_edges": 0})
+    barred = forbidden.select("node").distinct().limit(MAX_FORBIDDEN + 1).collect() if forbidden is not None else []
+    if len(barred) > MAX_FORBIDDEN:
+        raise ValueError(f"more than {MAX_FORBIDDEN} forbidden nodes")
+    asked = SolveParams.of(method, params)
+    whole, hashed = effective_params(params, weighting, hops, [r.node for r in barred], solver_config={"max_in_edges": asked.max_in_edges})
     fixed = {
         "dataset": dataset, "method": method, "params": json.dumps(whole, sort_keys=True), "params_hash": hashed, "resume_key": resume_key(whole),
         "seed": seed if method == "bp" else None, "split_hash": split_hash, "query_split": split,
@@ -123,19 +156,20 @@ def evaluate_nodes(
     todo = todo.select(*(F.lit(v).cast("int" if k == "seed" else "string").alias(k) for k, v in fixed.items()), "query_node")
     stored = read_evaluations(spark, records) if records else spark.createDataFrame([], RECORD)
     cached, rest = cache_lookup(todo, stored)
-    taken, rest = reusable(rest, stored)
+    others = stored if siblings is None else read_evaluations(spark, siblings, below=True)
+    taken, rest = reusable(rest, others)
     rest = expand.cut(rest)
-    solved = rest.join(solver(edges, rest.select(F.col("query_node").alias("query")), SolveParams.of(method, whole)), F.col("query_node") == F.col("query")).drop("query")
+    solved = rest.join(solver(edges, rest.select(F.col("query_node").alias("query")), asked), F.col("query_node") == F.col("query")).drop("query")
     fresh = taken.unionByName(solved, allowMissingColumns=True)
     fresh = expand.cut(fresh.withColumn("returncode", F.lit(0)).withColumn("size", F.size("retrieved_nodes").cast("long")))
     members = fresh.select(F.col("query_node").alias("query"), F.explode("retrieved_nodes").alias("node"))
-    asked = fresh.select(F.col("query_node").alias("query"))
+    open_ = fresh.select(F.col("query_node").alias("query"))
     label = nodes.select(F.col("node_id").alias("query_node"), F.col("label").cast("int").alias("query_label"))
-    done = fresh.join(label, "query_node", "left").join(classify(members, edges, nodes, asked, weighting, hops, forbidden).withColumnRenamed("query", "query_node"), "query_node")
+    done = fresh.join(label, "query_node", "left").join(classify(members, edges, nodes, open_, weighting, hops, forbidden, asked.max_in_edges).withColumnRenamed("query", "query_node"), "query_node")
     if qualities:
         done = done.join(measure(members, edges, nodes).withColumnRenamed("query", "query_node"), "query_node", "left").withColumn("quality_schema_version", F.lit(QUALITY_SCHEMA))
     last = stored.agg(F.max("ord").alias("o")).first().o or 0
-    done = done.withColumn("ord", F.lit(last) + F.row_number().over(Window.orderBy("query_node"))) if records else done  # a batch of queries, one number each
+    done = done.withColumn("ord", F.lit(last + 1).cast("long")) if records else done
     new = spark.createDataFrame([], RECORD).unionByName(done, allowMissingColumns=True)
     new = expand.cut(new)
     if records:
@@ -158,7 +192,8 @@ def sweep(spark: SparkSession, dataset: str, grids: dict[str, dict], seeds: list
     rows = []
     for method, values in grids.items():
         for params in grid(method, **values):
-            whole, hashed = effective_params(params, **evaluation, solver_config={"max_in_edges": 0})
+            config = {"max_in_edges": SolveParams.of(method, params).max_in_edges}
+            whole, hashed = effective_params(params, **evaluation, solver_config=config)
             own = seeds_of(method, seeds) if seeds is not None else seeds_of(method)
             rows.append((dataset, method, hashed, json.dumps(params, sort_keys=True), f"{root}/{method}/{hashed[-12:]}", ",".join(str(s) for s in own)))
     return spark.createDataFrame(rows, "dataset string, method string, params_hash string, params_json string, records_dir string, seeds string")
@@ -172,7 +207,7 @@ def run_sweep(manifest: DataFrame, queries: dict[str, DataFrame], hashes: dict[s
             for split, asked in queries.items():
                 one = evaluate_nodes(
                     asked, edges, nodes, row.method, json.loads(row.params_json), row.dataset, split, hashes[split], row.records_dir or None,
-                    None if seed == "None" else int(seed), **evaluation,
+                    None if seed == "None" else int(seed), siblings=row.records_dir.rpartition("/")[0] or None if row.records_dir else None, **evaluation,
                 )
                 out = one if out is None else out.unionByName(one)
     return out

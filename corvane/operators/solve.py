@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.functions import kernels
+from corvane.functions import branching, kernels
 
 from . import expand
 from .expand import bfs_ball, induced_edges, revealed
@@ -29,18 +29,18 @@ def _solve(shown: DataFrame, solve, schema: str) -> DataFrame:
     return shown.groupBy("query").applyInPandas(one, schema)
 
 
-def dense_communities(shown: DataFrame, ks=(3, 4, 5), kappas=(0, 1, 2), seconds: float | None = None) -> DataFrame:
+def dense_communities(shown: DataFrame, ks=(3, 4, 5), kappas=(0, 1, 2), limits: branching.Limits = branching.Limits()) -> DataFrame:  # noqa: B008
     """Densest community for each query, size floor and connectivity; infeasible: density 0 and no nodes."""
 
     def solve(adj, q):
         for k in ks:
             for kappa in kappas:
-                r = kernels.dense_community(adj, q, k, kappa, seconds)
+                r = branching.densest(adj, q, k, kappa, limits)
                 n = len(r["nodes"])
-                yield {"query": q, "k": k, "kappa": kappa, "density": float(r["density"]), "size": n, "nodes": r["nodes"], "bb_nodes": r["bb_nodes"], "gap_status": r["gap_status"], "bb_best_bound": r["bound"], "optimality_gap": r["gap"], "open_bb_nodes": r["open"], "trajectory": r["trajectory"]}
+                yield {"query": q, "k": k, "kappa": kappa, "density": float(r["density"]), "size": n, "nodes": r["nodes"], "bb_nodes": r["bb_nodes"], "gap_status": r["gap_status"], "bb_best_bound": r["bound"], "optimality_gap": r["gap"], "open_bb_nodes": r["open"], "trajectory": r["trajectory"], "iterations": [{c: row[c] for c in ("iteration", "lambda", "value", "size", "bb_nodes", "cuts")} for row in r["iterations"]]}
 
     trace = "trajectory array<struct<bb_node:long,density:double,size:long,nodes:array<long>>>"
-    return _solve(shown, lambda a, q: list(solve(a, q)), f"query long, k int, kappa int, density double, size long, nodes array<long>, bb_nodes long, gap_status string, bb_best_bound double, optimality_gap double, open_bb_nodes long, {trace}")
+    return _solve(shown, lambda a, q: list(solve(a, q)), f"query long, k int, kappa int, density double, size long, nodes array<long>, bb_nodes long, gap_status string, bb_best_bound double, optimality_gap double, open_bb_nodes long, {trace}, iterations array<struct<iteration:long,lambda:double,value:double,size:long,bb_nodes:long,cuts:long>>")
 
 
 def average_degree_communities(shown: DataFrame) -> DataFrame:
@@ -88,6 +88,33 @@ def grown_communities(arcs: DataFrame, queries: DataFrame, k: int = 5, depth: in
     return members.groupBy("query").agg(F.count("*").alias("size"), F.array_sort(F.collect_list("node")).alias("nodes"), F.count("*").alias("asked"))
 
 
+def grown_sets(shown: DataFrame, members: DataFrame, k: int) -> DataFrame:
+    """``query, node``: communities ``(query, node)`` grown to ``k`` nodes over all arcs shown (``query, source, target``).
+
+    The neighbour with most links into a community joins it, one join a step for all queries that lack nodes; of equals
+    the one that a search from the query mentions first.
+    """
+    members = expand.cut(members.select("query", "node").distinct())
+    small = members.groupBy("query").agg(F.count("*").alias("n")).where(F.col("n") < k).select("query")
+    if small.isEmpty():
+        return members
+    arcs = expand.cut(shown.join(small, "query", "left_semi").where("source <> target").select("query", "source", "target").distinct())
+    links = expand.cut(arcs.select("query", F.col("source").alias("u"), F.col("target").alias("v")).union(arcs.select("query", "target", "source")).distinct())
+    told = arcs.select(F.col("source").alias("node"), F.col("target").alias("neighbour"), F.lit(1).alias("side"), F.col("target").alias("ord")).distinct()
+    known = expand.cut(expand.discovery_ordinals(told, small, 1 << 20).select("query", "node", "ordinal"))
+    for _ in range(k):
+        lack = members.join(small, "query").groupBy("query").agg(F.count("*").alias("n")).where(F.col("n") < k).select("query")
+        inside = members.join(lack, "query")
+        near = links.join(inside.select("query", F.col("node").alias("u")), ["query", "u"]).join(members.select("query", F.col("node").alias("v")), ["query", "v"], "left_anti")
+        gain = near.groupBy("query", F.col("v").alias("node")).agg(F.count("*").alias("gain")).join(known, ["query", "node"], "left")
+        first = F.struct((-F.col("gain")).alias("g"), F.col("ordinal").isNull().alias("late"), F.col("ordinal").alias("o"), F.col("node").alias("n"))
+        fresh = expand.cut(gain.groupBy("query").agg(F.min_by("node", first).alias("node")))
+        if fresh.isEmpty():
+            break
+        members = members.union(fresh)
+    return members
+
+
 def grown_balls(edges: DataFrame, queries: DataFrame, depth: int, k: int = 1, max_in_edges: int = 0) -> DataFrame:
     """``query, nodes, gap_status`` of balls grown to ``k``."""
     grown = grown_communities(expand.revealed(edges, max_in_edges), queries, k, depth)

@@ -1,24 +1,92 @@
-"""Resampling statistics of experiment cells, one group a task.
+"""Resampling statistics of experiment cells, as joins and aggregations.
 
-A group is a dataset's cells on one split: its size is the number of queries times cells, which the experiment's design
-bounds, not the data. The numeric kernels draw with a fixed seed, so results do not depend on the machine.
+A resample is a table of multiplicities (draw, ordinal of the row, how often it was drawn), made by a hash of draw and
+slot, so that it is the same on any machine and in any engine. Joined with a cell's rows it gives confusion counts by cell, draw and
+label in one aggregation, and from these the scores of each draw: no task holds a cell's rows, nor a matrix of draws and rows.
 """
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import kernels
+from corvane.session import cut
 
-_SCORES = ("precision", "recall", "f1")
+SCORES = ("precision", "recall", "f1")
+#: Stretches that rows are numbered by, so no task numbers all rows of a key.
+STRETCHES = 4096
 
 
-def _cell_schema(df: DataFrame, keys: list[str]) -> str:
-    kinds = dict(df.dtypes)
-    return ", ".join(f"`{k}` {kinds[k]}" for k in keys)
+def ordinals(df: DataFrame, keys: list[str], by: str, out: str = "ordinal") -> DataFrame:
+    """Adds ``out``: the place (from 0) of each row among those of equal ``keys``, by the whole number ``by``; nulls come first, ties in any order.
+
+    Rows are numbered within stretches of ``by``, and stretches by their counts.
+    """
+    span = df.agg(F.min(by).alias("lo"), F.max(by).alias("hi")).first()
+    lo, width = span.lo or 0, ((span.hi or 0) - (span.lo or 0)) // STRETCHES + 1
+    df = cut(df.withColumn("_s", F.coalesce(F.floor((F.col(by) - F.lit(lo)) / F.lit(width)).cast("long"), F.lit(-1).cast("long"))))
+    counts = df.groupBy(*keys, "_s").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1))
+    same = [F.col(f"_k{i}").eqNullSafe(F.col(k)) for i, k in enumerate(keys)]
+    base = counts.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_s").alias("_t"), F.coalesce(before, F.lit(0)).alias("_base"))
+    on = F.col("_s") == F.col("_t")
+    for one in same:
+        on = on & one
+    place = F.row_number().over(Window.partitionBy(*keys, "_s").orderBy(by)) - 1
+    return df.withColumn("_p", place).join(base, on).withColumn(out, (F.col("_base") + F.col("_p")).cast("long")).drop("_s", "_p", "_t", "_base", *(f"_k{i}" for i in range(len(keys))))
+
+
+def slot_hash(seed: Column, part: Column, draw: Column, slot: Column) -> Column:
+    """A whole number below 2 ** 48 for each slot of a draw, from the digits of an md5."""
+    text = F.concat_ws("/", *(c.cast("string") for c in (seed, part, draw, slot)))
+    return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("long")
+
+
+def resamples(sizes: DataFrame, draws: int, seed: int) -> DataFrame:
+    """``each, parts, draw, ordinal, times`` for ``sizes (each, parts)``: ``each`` rows drawn with replacement from every of ``parts`` equal stretches.
+
+    Draw -1 has every row once.
+    """
+    rows = sizes.select("each", "parts").distinct().withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("draw", F.explode(F.sequence(F.lit(-1), F.lit(draws - 1))))
+    slots = rows.repartition("each", "parts", "part", "draw").withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("each") - 1)))
+    hashed = slot_hash(F.lit(seed), F.col("part"), F.col("draw"), F.col("slot")) % F.col("each")
+    at = F.col("part") * F.col("each") + F.when(F.col("draw") < 0, F.col("slot")).otherwise(hashed)
+    return slots.select("each", "parts", "draw", at.cast("long").alias("ordinal")).groupBy("each", "parts", "draw", "ordinal").agg(F.count("*").alias("times"))
+
+
+def resampled_scores(rows: DataFrame, keys: list[str], label_keys: list[str], draws: int, seed: int, parts: str | None = None) -> DataFrame:
+    """``keys, draw, n, precision, recall, f1, accuracy`` of every resample of each cell; draw -1 is the cell itself.
+
+    ``rows`` has ``keys``, ``ordinal``, ``truth``, ``predicted``. Macro scores are over the labels of ``label_keys``' whole sample, 0 for
+    one that is not drawn. With ``parts`` (a column), each of its values is resampled by itself; they need equal numbers of rows.
+    """
+    rows = cut(rows)
+    shape = rows.groupBy(*keys).agg(F.count("*").alias("n"), (F.countDistinct(parts) if parts else F.lit(1)).cast("int").alias("parts"))
+    shape = cut(shape.withColumn("each", F.floor(F.col("n") / F.col("parts")).cast("long")))
+    if parts and not (uneven := rows.groupBy(*keys, parts).agg(F.count("*").alias("own")).groupBy(*keys).agg(F.min("own").alias("a"), F.max("own").alias("b")).where("a <> b")).isEmpty():
+        raise ValueError(f"seeds have different numbers of rows: {uneven.first()}")
+    drawn = resamples(shape, draws, seed)
+    both = rows.join(shape, keys).join(drawn, ["each", "parts", "ordinal"])
+    hit = (F.col("truth") == F.col("predicted")).cast("long") * F.col("times")
+    none = F.lit(0).cast("long")
+    sides = F.explode(F.array(F.struct(F.col("truth").alias("label"), hit.alias("tp"), F.col("times").alias("nt"), none.alias("np")), F.struct(F.col("predicted").alias("label"), none.alias("tp"), none.alias("nt"), F.col("times").alias("np"))))
+    counts = both.select(*keys, "n", "draw", sides.alias("s")).groupBy(*keys, "n", "draw", "s.label").agg(*(F.sum(f"s.{c}").alias(c) for c in ("tp", "nt", "np")))
+    labels = rows.select(*label_keys, F.explode(F.array("truth", "predicted")).alias("label")).groupBy(*label_keys).agg(F.countDistinct("label").alias("labels"))
+    share = lambda a, b: F.sum(F.when(b > 0, a / b).otherwise(0.0)) / F.first("labels")
+    tp, nt, np_ = F.col("tp"), F.col("nt"), F.col("np")
+    # A label counts once for a draw, whichever side has it.
+    return counts.join(labels, label_keys).groupBy(*keys, "n", "draw").agg(share(tp, np_).alias("precision"), share(tp, nt).alias("recall"), share(2 * tp, nt + np_).alias("f1"), (F.sum("tp") / F.first("n")).alias("accuracy"))
+
+
+def _spans(scores: DataFrame, keys: list[str], names) -> DataFrame:
+    own = F.col("draw") < 0
+    cols = []
+    for c in names:
+        drawn = F.when(~own, F.col(c))
+        cols += [F.max(F.when(own, F.col(c))).alias(c), F.percentile(drawn, F.lit(0.025)).alias(f"{c}_lo"), F.percentile(drawn, F.lit(0.975)).alias(f"{c}_hi"), F.stddev_samp(drawn).alias(f"{c}_std"), F.max(F.when(F.col("draw") == 0, F.col(c))).alias(f"{c}_first")]
+    return scores.groupBy(*keys).agg(F.first("n").alias("n"), *cols)
 
 
 def bootstrap_ci(df: DataFrame, keys: list[str], truth: str = "truth", predicted: str = "predicted", draws: int = 1000, seed: int = 0) -> DataFrame:
@@ -26,19 +94,23 @@ def bootstrap_ci(df: DataFrame, keys: list[str], truth: str = "truth", predicted
 
     Rows without a label or prediction are left out; rows are drawn in query order.
     """
-    names = [*_SCORES, "accuracy"]
-    fields = ", ".join(f"{n} double, {n}_ci_lo double, {n}_ci_hi double, {n}_boot_se double" for n in names)
+    rows = df.select(*keys, "query_node", F.col(truth).alias("truth"), F.col(predicted).alias("predicted")).dropna(subset=["truth", "predicted"])
+    found = _spans(resampled_scores(ordinals(rows, keys, "query_node"), keys, keys, draws, seed), keys, [*SCORES, "accuracy"])
+    cols = [c for s in [*SCORES, "accuracy"] for c in (F.col(s), F.col(f"{s}_lo").alias(f"{s}_ci_lo"), F.col(f"{s}_hi").alias(f"{s}_ci_hi"), ((F.col(f"{s}_hi") - F.col(f"{s}_lo")) / 4).alias(f"{s}_boot_se"))]
+    return df.select(*keys).distinct().join(found.select(*(F.col(k).alias(f"_{k}") for k in keys), "n", *cols), _null_safe(keys), "left").drop(*(f"_{k}" for k in keys)).withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
 
-    def one(key, pdf):
-        pdf = pdf.dropna(subset=[truth, predicted]).sort_values("query_node")
-        row = dict(zip(keys, key, strict=True)) | {"n": len(pdf)}
-        if len(pdf):
-            found = kernels.bootstrap_scores(pdf[truth].to_numpy("i8"), pdf[predicted].to_numpy("i8"), draws, seed)
-            for name, (value, lo, hi) in zip(names, found, strict=True):
-                row |= {name: value, f"{name}_ci_lo": lo, f"{name}_ci_hi": hi, f"{name}_boot_se": (hi - lo) / 4}
-        return pd.DataFrame([row], columns=[*keys, "n", *(f"{n}{s}" for n in names for s in ("", "_ci_lo", "_ci_hi", "_boot_se"))])
 
-    return df.groupBy(*keys).applyInPandas(one, f"{_cell_schema(df, keys)}, n long, {fields}")
+def _null_safe(keys: list[str]) -> Column:
+    out = F.lit(True)
+    for k in keys:
+        out = out & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return out
+
+
+def wilson_interval(p: Column, n: Column, z: float = 1.959963984540054) -> tuple[Column, Column]:
+    z2, p = z * z, F.least(F.lit(1.0), F.greatest(F.lit(0.0), p))
+    centre, half = (p + z2 / (2 * n)) / (1 + z2 / n), z * F.sqrt(p * (1 - p) / n + z2 / (4 * n * n)) / (1 + z2 / n)
+    return F.greatest(F.lit(0.0), centre - half), F.least(F.lit(1.0), centre + half)
 
 
 def paired_ci(df: DataFrame, group: list[str], cell: str = "cell", by_seed: str | None = None, draws: int = 1000, seed: int = 0) -> DataFrame:
@@ -47,21 +119,21 @@ def paired_ci(df: DataFrame, group: list[str], cell: str = "cell", by_seed: str
     With ``by_seed``, each seed's rows are resampled among themselves (seeds need equal numbers of rows). An interval of
     no width is replaced by Wilson's.
     """
-    fields = ", ".join(f"{n}_lo double, {n}_hi double" for n in _SCORES)
-
-    def one(key, pdf):
-        out, drawn = [], {}
-        for name, rows in pdf.groupby(cell, sort=True):
-            rows = rows.sort_values(([by_seed] if by_seed else []) + ["query_node"])
-            parts = rows[by_seed].nunique(dropna=False) if by_seed else 1
-            shape = (len(rows), parts)
-            if shape not in drawn:
-                drawn[shape] = kernels.resample_indices(len(rows), draws, seed, parts)
-            found = kernels.score_intervals(rows.truth.to_numpy("i8"), rows.predicted.to_numpy("i8"), drawn[shape])
-            out.append([*key, name, len(rows), *(x for lo_hi in found for x in lo_hi)])
-        return pd.DataFrame(out, columns=[*group, cell, "n", *(f"{n}_{s}" for n in _SCORES for s in ("lo", "hi"))])
-
-    return df.groupBy(*group).applyInPandas(one, f"{_cell_schema(df, [*group, cell])}, n long, {fields}")
+    keys = [*group, cell]
+    rows = df.select(*keys, "query_node", "truth", "predicted", *([by_seed] if by_seed else []))
+    if by_seed:  # stretches of seeds, one after the other
+        place = F.dense_rank().over(Window.partitionBy(*keys).orderBy(by_seed)) - 1
+        sizes = rows.groupBy(*keys, by_seed).agg(F.count("*").alias("_own")).withColumn("_before", place)
+        rows = ordinals(rows, [*keys, by_seed], "query_node").join(sizes, [*keys, by_seed]).withColumn("ordinal", F.col("_before") * F.col("_own") + F.col("ordinal")).drop("_own", "_before")
+    else:
+        rows = ordinals(rows, keys, "query_node")
+    found = _spans(resampled_scores(rows, keys, keys, draws, seed, by_seed), keys, SCORES)
+    cols = []
+    for s in SCORES:
+        flat = F.col(f"{s}_lo") == F.col(f"{s}_hi")
+        lo, hi = wilson_interval(F.col(f"{s}_first"), F.col("n"))
+        cols += [F.when(flat, lo).otherwise(F.col(f"{s}_lo")).alias(f"{s}_lo"), F.when(flat, hi).otherwise(F.col(f"{s}_hi")).alias(f"{s}_hi")]
+    return found.select(*keys, "n", *cols)
 
 
 def bootstrap_ties(df: DataFrame, group: list[str], draws: int = 1000, seed: int = 42) -> DataFrame:
@@ -70,25 +142,67 @@ def bootstrap_ties(df: DataFrame, group: list[str], draws: int = 1000, seed: int
     ``df`` has ``cell, cell_k, query_node, truth, predicted``. Queries that all cells have are resampled together; a cell
     ties with the best where the 95 % interval of their difference holds 0.
     """
-    fields = "cell string, cell_k int, n_queries long, metric string, value double, std double, section_best boolean, overall_best boolean, section_tied boolean, overall_tied boolean, section_lo double, section_hi double, overall_lo double, overall_hi double"
-
-    def one(key, pdf):
-        wide = pdf.pivot_table(index="query_node", columns="cell", values="predicted", aggfunc="last").dropna().sort_index()
-        truth = pdf.drop_duplicates("query_node").set_index("query_node").truth.reindex(wide.index).to_numpy("i8")
-        floor = pdf.drop_duplicates("cell").set_index("cell").cell_k
-        found = kernels.tie_table(truth, {c: wide[c].to_numpy("i8") for c in wide.columns}, floor.to_dict(), draws, seed) if len(wide) else []
-        return pd.DataFrame([[*key, *row] for row in found], columns=[*group, *(f.split()[0] for f in fields.split(", "))])
-
-    return df.groupBy(*group).applyInPandas(one, f"{_cell_schema(df, group)}, {fields}")
+    keys = [*group, "cell", "cell_k"]
+    rows = df.where(F.col("predicted").isNotNull()).select(*keys, "query_node", "truth", "predicted")
+    cells = rows.select(*keys).distinct().groupBy(*group).agg(F.count("*").alias("_cells"))
+    common = rows.groupBy(*group, "query_node").agg(F.countDistinct("cell").alias("_have")).join(cells, group).where("_have = _cells").select(*group, "query_node")
+    rows = ordinals(rows.join(common, [*group, "query_node"]), keys, "query_node")
+    scores = resampled_scores(rows, keys, group, draws, seed)
+    long = F.explode(F.array(*(F.struct(F.lit(s).alias("metric"), F.col(s).alias("v")) for s in SCORES)))
+    scores = cut(scores.select(*keys, "n", "draw", long.alias("m")).select(*keys, F.col("n").alias("n_queries"), "draw", "m.metric", "m.v"))
+    value = scores.where("draw < 0").select(*keys, "n_queries", "metric", F.col("v").alias("value"))
+    best = F.min_by("cell", F.struct((-F.col("value")).alias("v"), "cell"))
+    of_floor = value.groupBy(*group, "cell_k", "metric").agg(best.alias("section"))
+    of_all = value.groupBy(*group, "metric").agg(best.alias("overall"))
+    told = cut(value.join(of_floor, [*group, "cell_k", "metric"]).join(of_all, [*group, "metric"]))
+    drawn = scores.where("draw >= 0").select(*keys, "metric", "draw", "v")
+    other = lambda c: drawn.select(*group, F.col("cell").alias(c), "metric", "draw", F.col("v").alias(f"{c}_v"))
+    paired = drawn.join(told.select(*keys, "metric", "section", "overall"), [*keys, "metric"]).join(other("section"), [*group, "section", "metric", "draw"]).join(other("overall"), [*group, "overall", "metric", "draw"])
+    spans = [F.percentile(F.col(f"{c}_v") - F.col("v"), F.lit(q)).alias(f"{c}_{s}") for c in ("section", "overall") for s, q in (("lo", 0.025), ("hi", 0.975))]
+    out = told.join(paired.groupBy(*keys, "metric").agg(F.coalesce(F.stddev_samp("v"), F.lit(0.0)).alias("std"), *spans), [*keys, "metric"])
+    holds = lambda c: (F.col(f"{c}_lo") <= 0) & (F.col(f"{c}_hi") >= 0)
+    return out.select(
+        *group, "cell", "cell_k", "n_queries", "metric", "value", "std", (F.col("section") == F.col("cell")).alias("section_best"), (F.col("overall") == F.col("cell")).alias("overall_best"),
+        holds("section").alias("section_tied"), holds("overall").alias("overall_tied"), "section_lo", "section_hi", "overall_lo", "overall_hi",
+    )
+
+
+def table_sort(ties: DataFrame) -> DataFrame:
+    """Rows of a table of cells in its printed order: size floor, method, connectivity and depth, absent ones first."""
+    return ties.orderBy(*(F.asc_nulls_first(c) for c in ("cell_k", "method", "kappa", "bfs_depth") if c in ties.columns), "cell", *(["metric"] if "metric" in ties.columns else []))
+
+
+def signed_ranks(deltas: DataFrame, keys: list[str], delta: str = "delta") -> DataFrame:
+    """``keys, n_paired, n, w_plus, tie_term, untied`` of each group: rows, those that are not zero, the rank sum of those above zero, and sum of t^3 - t over ties.
+
+    Equal sizes are counted first; a size's mid-rank is the number of smaller ones and half of its own. Sizes are ranked within
+    octaves, and octaves by their counts, so no task sorts all sizes of a group.
+    """
+    d = F.col(delta).cast("double")
+    rows = deltas.select(*keys, F.when(~F.isnan(d), d).alias("d"))
+    total = rows.groupBy(*keys).agg(F.count("d").alias("n_paired"))
+    sizes = rows.where(F.col("d") != 0).groupBy(*keys, F.abs("d").alias("size")).agg(F.count("*").alias("t"), F.count_if(F.col("d") > 0).alias("plus"))
+    sizes = cut(sizes.withColumn("octave", F.floor(F.log2("size") * 16)))
+    per = sizes.groupBy(*keys, "octave").agg(F.sum("t").alias("k"))
+    before = F.coalesce(F.sum("k").over(Window.partitionBy(*keys).orderBy("octave").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    less = F.coalesce(F.sum("t").over(Window.partitionBy(*keys, "octave").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = sizes.withColumn("less", less).join(per.select(*keys, "octave", before.alias("base")), [*keys, "octave"])
+    rank = F.col("base") + F.col("less") + (F.col("t") + 1) / 2
+    t = F.col("t").cast("double")
+    sums = ranked.groupBy(*keys).agg(F.sum("t").alias("n"), F.sum(F.col("plus") * rank).alias("w_plus"), F.sum(t * t * t - t).alias("tie_term"), (F.max("t") == 1).alias("untied"))
+    return total.join(sums, keys, "left").na.fill(0, ["n"]).na.fill(0.0, ["w_plus", "tie_term"]).withColumn("untied", F.coalesce("untied", F.lit(True)))
 
 
 def wilcoxon(deltas: DataFrame, keys: list[str], delta: str = "delta") -> DataFrame:
     """Two-sided signed-rank test of each group's deltas: null below two values, 1 where all are zero."""
 
-    def one(key, pdf):
-        return pd.DataFrame([[*key, len(pdf[delta].dropna()), kernels.wilcoxon_p(pdf[delta].tolist())]], columns=[*keys, "n_paired", "p"])
+    @F.pandas_udf("double")
+    def p_value(paired: pd.Series, n: pd.Series, plus: pd.Series, ties: pd.Series, untied: pd.Series) -> pd.Series:
+        return pd.Series([kernels.signed_rank_p(*row) for row in zip(paired, n, plus, ties, untied, strict=True)], dtype="float64")
 
-    return deltas.groupBy(*keys).applyInPandas(one, f"{_cell_schema(deltas, keys)}, n_paired long, p double")
+    ranks = signed_ranks(deltas, keys, delta)
+    p = p_value("n_paired", "n", "w_plus", "tie_term", "untied")
+    return ranks.select(*keys, "n_paired", F.when(F.col("n_paired") >= 2, p).alias("p"))
 
 
 def section_best(scores: DataFrame, group: list[str], metric: str = "f1") -> DataFrame:

@@ -161,29 +161,80 @@ def paired_join(spark, d):
     return summaries.paired_summary(deltas, 6)
 
 
+_RANKS = """sizes AS (SELECT dataset, method, params_hash, query_split, metric, abs(delta) AS size, count(*) AS t, count(*) FILTER (delta > 0) AS plus FROM deltas WHERE delta <> 0 GROUP BY ALL),
+ranked AS (SELECT *, coalesce(sum(t) OVER (PARTITION BY dataset, method, params_hash, query_split, metric ORDER BY size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (t + 1) / 2.0 AS mid FROM sizes)"""
+
+
+@query(f"""{_F}, {_PAIRED}, {_RANKS}, sums AS (SELECT dataset, method, params_hash, query_split, metric, sum(t) AS n, sum(plus * mid) AS w_plus, sum(CAST(t AS DOUBLE) * t * t - t) AS tie_term FROM ranked GROUP BY ALL)
+SELECT a.dataset, a.method, a.params_hash, a.query_split, a.metric, a.n_paired, CAST(coalesce(n, 0) AS BIGINT) AS n, CAST(coalesce(w_plus, 0) AS DOUBLE) AS w_plus, CAST(coalesce(tie_term, 0) AS DOUBLE) AS tie_term
+FROM (SELECT dataset, method, params_hash, query_split, metric, count(*) AS n_paired FROM deltas GROUP BY ALL) a LEFT JOIN sums s ON s.dataset = a.dataset AND s.method = a.method AND s.params_hash = a.params_hash AND s.query_split = a.query_split AND s.metric = a.metric""")
+def wilcoxon_ranks(spark, d):
+    """What a signed-rank test is made of: values that are not zero, their rank sum, and ties."""
+    deltas = summaries.paired_deltas(flatten.quality_rows(_records(spark, d)), "avgdeg", ("size", "mixing_param"))
+    return statistics.signed_ranks(deltas, ["dataset", "method", "params_hash", "query_split", "metric"]).drop("untied")
+
+
 @query()
 def wilcoxon_signed_rank(spark, d):
     deltas = summaries.paired_deltas(flatten.quality_rows(_records(spark, d)), "avgdeg", ("size", "mixing_param"))
     return statistics.wilcoxon(deltas, ["dataset", "method", "params_hash", "query_split", "metric"])
 
 
-@query()
+#: Resamples of the queries of each cell, drawn by the digits of an md5, and the scores of each.
+DRAWS = 200
+
+
+def _drawn(seed: int, where: str = "", labels: str = "cell") -> str:
+    return f"""c AS (SELECT cell, cell_k, 'test' AS subset, query_node, truth, predicted, row_number() OVER (PARTITION BY cell ORDER BY query_node) - 1 AS ordinal, count(*) OVER (PARTITION BY cell) AS n FROM (
+  SELECT * FROM (SELECT {_CELL} AS cell, k AS cell_k, query_node, query_label AS truth, coalesce(predicted_label, -1) AS predicted, row_number() OVER (PARTITION BY {_CELL}, query_node ORDER BY ord DESC) AS r FROM f WHERE query_split = 'test' AND query_label IS NOT NULL) x WHERE r = 1) y {where}),
+draws AS (SELECT unnest(range(-1, {DRAWS})) AS draw), slots AS (SELECT unnest(range(1000000)) AS slot),
+times AS (SELECT n, draw, CASE WHEN draw < 0 THEN slot ELSE ('0x' || substr(md5(concat('{seed}/0/', draw, '/', slot)), 1, 12))::BIGINT % n END AS ordinal, count(*) AS times FROM (SELECT DISTINCT n FROM c) z CROSS JOIN draws JOIN slots ON slot < n GROUP BY ALL),
+b AS (SELECT cell, cell_k, c.n, draw, truth, predicted, sum(times) AS times FROM c JOIN times t ON t.n = c.n AND t.ordinal = c.ordinal GROUP BY ALL),
+k AS (SELECT cell, cell_k, n, draw, label, sum(tp) AS tp, sum(nt) AS nt, sum(np) AS np FROM (SELECT cell, cell_k, n, draw, truth AS label, CASE WHEN truth = predicted THEN times ELSE 0 END AS tp, times AS nt, 0 AS np FROM b UNION ALL SELECT cell, cell_k, n, draw, predicted, 0, 0, times FROM b) w GROUP BY ALL),
+labels AS (SELECT {'cell' if labels == 'cell' else "'all' AS cell"}, count(DISTINCT label) AS labels FROM (SELECT cell, truth AS label FROM c UNION ALL SELECT cell, predicted FROM c) v GROUP BY ALL),
+s AS (SELECT k.cell, cell_k, n, draw, sum(CASE WHEN np > 0 THEN CAST(tp AS DOUBLE) / np ELSE 0 END) / max(labels) AS precision, sum(CASE WHEN nt > 0 THEN CAST(tp AS DOUBLE) / nt ELSE 0 END) / max(labels) AS recall,
+  sum(CASE WHEN nt + np > 0 THEN 2.0 * CAST(tp AS DOUBLE) / (nt + np) ELSE 0 END) / max(labels) AS f1, CAST(sum(tp) AS DOUBLE) / n AS accuracy FROM k JOIN labels ON {'labels.cell = k.cell' if labels == 'cell' else 'true'} GROUP BY k.cell, cell_k, n, draw)"""
+
+
+def _own_cells(spark, d) -> DataFrame:
+    return flatten.collect_cells(_records(spark, d).withColumn("seed", F.lit(None).cast("int")), "test").withColumn("subset", F.lit("test"))
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select(*(F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
+_PERCENT = "round(quantile_cont({c}, 0.025) FILTER (draw >= 0), 9) AS {c}{x}_lo, round(quantile_cont({c}, 0.975) FILTER (draw >= 0), 9) AS {c}{x}_hi"
+_OWN = "round(max({c}) FILTER (draw < 0), 9) AS {c}, " + _PERCENT.replace("{x}", "_ci") + ", round((quantile_cont({c}, 0.975) FILTER (draw >= 0) - quantile_cont({c}, 0.025) FILTER (draw >= 0)) / 4, 9) AS {c}_boot_se"
+
+
+@query(f"{_F}, {_drawn(0)} SELECT cell, max(n) AS n, {', '.join(_OWN.format(c=c) for c in ('precision', 'recall', 'f1', 'accuracy'))} FROM s GROUP BY cell")
 def bootstrap_ci(spark, d):
-    cells = flatten.collect_cells(_records(spark, d).withColumn("seed", F.lit(None).cast("int")), "test")
-    return statistics.bootstrap_ci(cells, ["cell"], draws=200)
+    return _rounded(statistics.bootstrap_ci(_own_cells(spark, d), ["cell"], draws=DRAWS))
 
 
-@query()
+@query(f"{_F}, {_drawn(0)} SELECT 'test' AS subset, cell, max(n) AS n, {', '.join(_PERCENT.format(c=c, x='') for c in ('precision', 'recall', 'f1'))} FROM s GROUP BY cell")
 def paired_ci(spark, d):
-    cells = flatten.collect_cells(_records(spark, d).withColumn("seed", F.lit(None).cast("int")), "test").withColumn("subset", F.lit("test"))
-    return statistics.paired_ci(cells, ["subset"], draws=200)
+    return _rounded(statistics.paired_ci(_own_cells(spark, d), ["subset"], draws=DRAWS))
 
 
-@query()
+_COMMON = "WHERE query_node IN (SELECT query_node FROM (SELECT DISTINCT {c} AS cell, query_node FROM f WHERE query_split = 'test' AND query_label IS NOT NULL) u GROUP BY query_node HAVING count(*) = (SELECT count(DISTINCT {c}) FROM f WHERE query_split = 'test' AND query_label IS NOT NULL))".format(c=_CELL)
+
+
+@query(f"""{_F.replace("CAST(l_orderkey AS BIGINT) AS query_node", "CAST(l_orderkey % 50 AS BIGINT) AS query_node").replace("CASE WHEN l_partkey % 23 > 0 THEN CAST(l_orderkey % 7 AS INT) END", "CAST(l_orderkey % 50 % 7 AS INT)").replace("l_orderkey % 2 = 0", "l_orderkey % 50 % 2 = 0")}, {_drawn(42, _COMMON, "all")},
+m AS (SELECT cell, cell_k, n, draw, unnest(['precision', 'recall', 'f1']) AS metric, unnest([precision, recall, f1]) AS v FROM s), own AS (SELECT * FROM m WHERE draw < 0),
+told AS (SELECT *, first_value(cell) OVER (PARTITION BY cell_k, metric ORDER BY v DESC, cell) AS section, first_value(cell) OVER (PARTITION BY metric ORDER BY v DESC, cell) AS overall FROM own)
+SELECT 'test' AS subset, t.cell, t.cell_k, t.n AS n_queries, t.metric, round(t.v, 9) AS value, round(stddev_samp(m.v), 9) AS std, t.section = t.cell AS section_best, t.overall = t.cell AS overall_best,
+  round(quantile_cont(a.v - m.v, 0.025), 9) AS section_lo, round(quantile_cont(a.v - m.v, 0.975), 9) AS section_hi, round(quantile_cont(b.v - m.v, 0.025), 9) AS overall_lo, round(quantile_cont(b.v - m.v, 0.975), 9) AS overall_hi
+FROM told t JOIN m ON m.cell = t.cell AND m.metric = t.metric AND m.draw >= 0 JOIN m a ON a.cell = t.section AND a.metric = t.metric AND a.draw = m.draw JOIN m b ON b.cell = t.overall AND b.metric = t.metric AND b.draw = m.draw
+GROUP BY t.cell, t.cell_k, t.n, t.metric, t.v, t.section, t.overall""")
 def bootstrap_ties(spark, d):
-    cells = flatten.collect_cells(_records(spark, d).withColumn("seed", F.lit(None).cast("int")), "test").withColumn("subset", F.lit("test"))
-    common = records.common_queries(cells, ["cell"])
-    return statistics.bootstrap_ties(cells.join(common, "query_node"), ["subset"], 200)
+    """Cells over 50 queries that all have, best and tied with the best."""
+    f = _records(spark, d)
+    few = (F.col("query_node") % 50).cast("long")
+    f = f.withColumn("query_split", F.when(few % 2 == 0, "val").otherwise("test")).withColumn("query_label", (few % 7).cast("int")).withColumn("query_node", few).withColumn("seed", F.lit(None).cast("int"))
+    cells = flatten.collect_cells(f, "test").withColumn("subset", F.lit("test"))
+    return _rounded(statistics.bootstrap_ties(cells, ["subset"], DRAWS).drop("section_tied", "overall_tied"))
 
 
 _BF = """r AS (SELECT method, k, kappa, CAST(query_node % 2 AS DOUBLE) / 2 AS p, CASE WHEN bb_nodes % 10 = 0 THEN 'skipped_bf_infeasible' ELSE 'ran' END AS status, returncode, size AS solver_size, edge_connectivity AS solver_actual_kappa,
@@ -474,6 +525,24 @@ def evaluate_nodes(spark, d):
     return found.select("query_node", "query_label", "predicted_label", "fallback_used", "size", "oracle_queries", "qualities.dir_internal_edge_density", "qualities.undir_external_conductance", "qualities.edge_connectivity", "qualities.train_label_entropy")
 
 
+def _evaluated(spark, d, method: str, params: dict) -> DataFrame:
+    """Every nation evaluated on its graph, where a whole reveal is small."""
+    edges, nodes = graphs.graph_view(spark, d, "nation")
+    queries = nodes.select(F.col("node_id").alias("query_node"))
+    found = evaluate.evaluate_nodes(queries, edges, nodes, method, params, "nation", "val", "s0", seed=42, hops=3, weighting="uniform")
+    return found.select("query_node", "query_label", "predicted_label", "fallback_used", "size", "oracle_queries", "gap_status", F.round("qualities.dir_internal_edge_density", 9).alias("density"))
+
+
+@query()
+def evaluate_avgdeg(spark, d):
+    return _evaluated(spark, d, "avgdeg", {"k": 6})
+
+
+@query()
+def evaluate_bp(spark, d):
+    return _evaluated(spark, d, "bp", {"k": 3, "kappa": 1, "node_limit": 2000})
+
+
 _NUM = "SELECT ((CAST(l_orderkey AS BIGINT) * 8 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS ord, CAST(l_extendedprice AS DOUBLE) * CASE WHEN l_linenumber % 2 = 0 THEN 1e-8 ELSE 1 END AS x FROM lineitem"
 
 

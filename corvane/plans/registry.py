@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.operators import expand, metrics, records, solve, votes
+from corvane.functions.branching import Limits
+from corvane.operators import dense, expand, metrics, records, solve, votes
 from corvane.sources import graphs, papers
 from corvane.streaming import packets
 
@@ -518,6 +519,68 @@ def brute_force_optima(spark, d):
     return solve.optima(solve.inside(edges, members)).select("query", "optimum_kind", "k", "kappa", "opt_value")
 
 
+@_query()
+def core_levels(spark, d):
+    """The level of every part: no SQL, a fix-point."""
+    return dense.core_levels(graphs.graph_view(spark, d, "part")[0])
+
+
+@_query(f"""{_graph('part')}, {_ASKED}, near AS (SELECT a.query, e.target AS node, row_number() OVER (PARTITION BY a.query ORDER BY e.target) AS r FROM asked a JOIN edges e ON e.source = a.query)
+SELECT query, query AS node, 0 AS round FROM asked UNION ALL SELECT query, node, 1 FROM near WHERE r <= 3""")
+def ensure_feasibility(spark, d):
+    """Nodes that each query asks for until it has four; at first all that it knows have one link."""
+    edges, _, queries = _searches(spark, d)
+    return dense.adaptive_reveal(expand.revealed(edges), queries, 4)[0]
+
+
+@_query()
+def dense_community_full(spark, d):
+    """The densest community on all that a query reaches; a search ends after 60 tree nodes and says what it left open."""
+    edges, _, queries = _searches(spark, d)
+    found = dense.full_communities(edges, queries, limits=Limits(nodes=60))
+    return found.select("query", "k", "kappa", "revealed", "density", "size", "bb_nodes", "gap_status", "bb_best_bound", "optimality_gap")
+
+
+@_query()
+def dinkelbach_trace(spark, d):
+    """One row for each iteration of the parametric search on every query's one-hop reveal."""
+    edges, _, queries = _searches(spark, d)
+    found = solve.dense_communities(solve.reveal(edges, queries, 1), (4,), (0, 2))
+    return found.select("query", "k", "kappa", F.posexplode("iterations").alias("step", "i")).select("query", "k", "kappa", "step", "i.lambda", "i.value", "i.size", "i.bb_nodes", "i.cuts")
+
+
+_PRICES = f""", {_ASKED}, active AS (SELECT m.query, m.node, 1.0 / (1 + m.node % 4) AS x FROM members m JOIN asked a ON a.query = m.query),
+both_ AS (SELECT DISTINCT source AS node, target AS other, 1 AS way FROM edges UNION SELECT DISTINCT target, source, 2 FROM edges),
+frontier AS (SELECT DISTINCT a.query, b.other AS node, (b.other % 7) / 20.0 AS pi FROM active a JOIN both_ b ON b.node = a.node LEFT JOIN active t ON t.query = a.query AND t.node = b.other WHERE t.node IS NULL),
+mass AS (SELECT query, sum(x) AS mass, greatest(2, least(10, CAST(ceil(count(*) * 0.25) AS BIGINT))) AS take FROM active GROUP BY query),
+gains AS (SELECT f.query, f.node, sum(a.x) AS gain FROM frontier f JOIN both_ b ON b.node = f.node JOIN active a ON a.query = f.query AND a.node = b.other GROUP BY f.query, f.node),
+priced AS (SELECT f.query, f.node, coalesce(g.gain, 0) - 0.01 * m.mass - f.pi AS rc, m.take FROM frontier f JOIN mass m ON m.query = f.query LEFT JOIN gains g ON g.query = f.query AND g.node = f.node)"""
+
+
+@_query(f"{_graph('part')}{_PRICES} SELECT query, node, round(CAST(rc AS DOUBLE), 6) AS reduced_cost, place FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(CAST(rc AS DOUBLE) / 1e-6) DESC, node DESC) AS place FROM priced WHERE rc > 1e-6) x WHERE place <= take")
+def price_frontier_topk(spark, d):
+    """The best priced nodes next to each query's ball, for given choices and prices."""
+    edges, _, queries = _searches(spark, d)
+    active = expand.cut(expand.bfs_ball(expand.revealed(edges), queries, 1).withColumn("x", 1.0 / (1 + F.col("node") % 4)))
+    near = active.join(expand.undirected(edges), "node").select("query", F.col("neighbour").alias("node")).distinct()
+    frontier = near.join(active, ["query", "node"], "left_anti").withColumn("pi", (F.col("node") % 7) / 20.0)
+    found = dense.price_frontier(edges, active, frontier, 0.005, 0.25)
+    return found.select("query", "node", F.round("reduced_cost", 6).alias("reduced_cost"), "place")
+
+
+@_query(f"""{_graph('nation')}, bits AS (SELECT query, node, row_number() OVER (PARTITION BY query ORDER BY node) - 1 AS b FROM members), sizes AS (SELECT query, count(*) AS n, max(b) FILTER (node = query) AS own FROM bits GROUP BY query),
+masks AS (SELECT query, mask FROM sizes JOIN (SELECT unnest(range(1 << 12)) AS mask) r ON mask < (1 << n) AND (mask >> own) & 1 = 1),
+inner_ AS (SELECT u.query, u.b AS u, v.b AS v FROM edges e JOIN bits u ON u.node = e.source JOIN bits v ON v.query = u.query AND v.node = e.target),
+arcs AS (SELECT m.query, m.mask, count(i.u) AS arcs FROM masks m LEFT JOIN inner_ i ON i.query = m.query AND (m.mask >> i.u) & 1 = 1 AND (m.mask >> i.v) & 1 = 1 GROUP BY m.query, m.mask),
+valued AS (SELECT query, mask, bit_count(mask) AS size, CAST(arcs AS DOUBLE) / (bit_count(mask) * (bit_count(mask) - 1)) AS density FROM arcs WHERE bit_count(mask) > 1),
+floors AS (SELECT *, row_number() OVER (PARTITION BY query, k ORDER BY density DESC, mask) AS r FROM valued JOIN (SELECT unnest([3, 4, 5]) AS k) x ON size >= k)
+SELECT query, k, density AS opt_density, CAST(size AS BIGINT) AS opt_size, mask AS opt_mask FROM floors WHERE r = 1""")
+def subset_optima(spark, d):
+    """Densest set of each nation's one-hop ball, by enumeration of bit masks."""
+    edges, _, members = _balls(spark, d, "nation")
+    return dense.subset_optima(edges, members)
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

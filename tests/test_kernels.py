@@ -5,6 +5,7 @@ from fractions import Fraction
 import numpy as np
 import pytest
 
+from corvane.functions import branching as B
 from corvane.functions import kernels as K
 
 
@@ -25,16 +26,16 @@ def gnp(n, p, seed):
 
 @pytest.mark.parametrize("g,k,kappa,density,size", [(K3, 2, 0, 1, None), (K3, 2, 2, 1, 3), (K4, 4, 3, 1, 4), (K4_LESS, 4, 0, Fraction(10, 12), 4), (K4_LESS, 4, 2, Fraction(10, 12), 4), (K4_LESS, 3, 0, 1, 3)])
 def test_closed_forms(g, k, kappa, density, size):
-    r = K.dense_community(g, 0, k, kappa)
+    r = B.densest(g, 0, k, kappa)
     assert r["density"] == density and 0 in r["nodes"] and (size is None or len(r["nodes"]) == size)
 
 
 def test_infeasible_and_disconnected():
-    assert K.dense_community(K4_LESS, 0, 4, 3)["nodes"] == []
+    assert B.densest(K4_LESS, 0, 4, 3)["nodes"] == []
     g = sym((1, 2))
     g[0] = set()
-    assert K.dense_community(g, 0, 3)["density"] == Fraction(2, 6)
-    assert K.dense_community(g, 0, 3, 1)["nodes"] == []
+    assert B.densest(g, 0, 3)["density"] == Fraction(2, 6)
+    assert B.densest(g, 0, 3, 1)["nodes"] == []
 
 
 @pytest.mark.parametrize("seed", range(6))
@@ -47,14 +48,14 @@ def test_dense_community_is_optimal(seed, p):
     for k in (3, 4):
         for kappa in (0, 1, 2):
             want = K.brute_force(g, q, k, kappa)
-            assert K.dense_community(g, q, k, kappa)["density"] == (want[0] if want else 0)
+            assert B.densest(g, q, k, kappa)["density"] == (want[0] if want else 0)
 
 
 @pytest.mark.parametrize("seed", range(12))
 def test_directed_graphs(seed):
     rng = np.random.default_rng(seed)
     g = K.adjacency([(u, v) for u in range(7) for v in range(7) if u != v and rng.random() < 0.3] + [(0, 1)])
-    assert K.dense_community(g, 0, 3)["density"] == (K.brute_force(g, 0, 3) or (0,))[0]
+    assert B.densest(g, 0, 3)["density"] == (K.brute_force(g, 0, 3) or (0,))[0]
     assert K.avgdeg_anchored(g, 0)[0] == K.brute_force_avgdeg(g, 0)
 
 
@@ -133,7 +134,7 @@ def test_enumerated_optima_agree_with_the_solvers():
         for k in (3, 4):
             for kappa in (0, 1, 2):
                 want = found["edge_density_kappa", k, kappa]
-                r = K.dense_community(g, 0, k, kappa)
+                r = B.densest(g, 0, k, kappa)
                 assert r["density"] == max(want, 0) and r["gap_status"] == "exhausted" and r["gap"] == 0 and r["open"] == 0
         assert found["avgdeg", None, None] <= K.avgdeg_anchored(g, 0)[0] and found["avgdeg_connected", None, None] <= found["avgdeg", None, None]
 
@@ -141,7 +142,7 @@ def test_enumerated_optima_agree_with_the_solvers():
 def test_cut_off_search_reports_its_gap():
     rng = np.random.default_rng(2)
     g = K.adjacency([(int(a), int(b)) for a, b in rng.integers(0, 24, (150, 2))])
-    r, whole = K.dense_community(g, 0, 4, max_nodes=1), K.dense_community(g, 0, 4)
+    r, whole = B.densest(g, 0, 4, limits=B.Limits(nodes=1)), B.densest(g, 0, 4)
     assert r["gap_status"] in ("node_limit", "exhausted") and r["bound"] >= float(whole["density"]) - 1e-12 and (r["gap"] > 0) == (r["open"] > 0 and r["bound"] > float(r["density"]))
 
 
@@ -176,4 +177,4 @@ def test_dense_community_query_has_no_time_limit_and_says_how_it_ended(spark, sf
     given, real = {}, solve.dense_communities
     monkeypatch.setattr(solve, "dense_communities", lambda shown, **kw: given.update(kw) or real(shown, **kw))
     rows = registry.queries()["dense_community"](ship(spark), sf_dir).collect()
-    assert given.get("seconds") is None and rows and {r.gap_status for r in rows} == {"exhausted"}
+    assert "limits" not in given and rows and {r.gap_status for r in rows} == {"exhausted"}
