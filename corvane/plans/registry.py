@@ -535,9 +535,9 @@ def ensure_feasibility(spark, d):
 
 @_query()
 def dense_community_full(spark, d):
-    """The densest community on all that a query reaches; a search ends after 60 tree nodes and says what it left open."""
+    """The densest community on all that a query reaches; a search ends after 20 tree nodes and says what it left open."""
     edges, _, queries = _searches(spark, d)
-    found = dense.full_communities(edges, queries, limits=Limits(nodes=60))
+    found = dense.full_communities(edges, queries, limits=Limits(nodes=20))
     return found.select("query", "k", "kappa", "revealed", "density", "size", "bb_nodes", "gap_status", "bb_best_bound", "optimality_gap")
 
 
