@@ -12,7 +12,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corvane.functions.params import QUALITY_SCHEMA, SolveParams, effective_params, grid, resume_key, seeds_of
+from corvane.functions.params import QUALITY_SCHEMA, Evaluation, SolveParams, grid, seeds_of
 
 from corvane.functions.branching import Limits
 from corvane.sources.graphs import build_graph_context
@@ -147,9 +147,9 @@ def evaluate_nodes(
     if len(barred) > MAX_FORBIDDEN:
         raise ValueError(f"more than {MAX_FORBIDDEN} forbidden nodes")
     asked = SolveParams.of(method, params)
-    whole, hashed = effective_params(params, weighting, hops, [r.node for r in barred], solver_config={"max_in_edges": asked.max_in_edges})
+    one = Evaluation(params, weighting, hops, tuple(r.node for r in barred), solver_config={"max_in_edges": asked.max_in_edges})
     fixed = {
-        "dataset": dataset, "method": method, "params": json.dumps(whole, sort_keys=True), "params_hash": hashed, "resume_key": resume_key(whole),
+        "dataset": dataset, "method": method, "params": json.dumps(one.stored, sort_keys=True), "params_hash": one.key, "resume_key": one.question,
         "seed": seed if method == "bp" else None, "split_hash": split_hash, "query_split": split,
     }
     todo = queries.select(F.col("query_node").cast("long").alias("query_node")).distinct()
@@ -193,7 +193,7 @@ def sweep(spark: SparkSession, dataset: str, grids: dict[str, dict], seeds: list
     for method, values in grids.items():
         for params in grid(method, **values):
             config = {"max_in_edges": SolveParams.of(method, params).max_in_edges}
-            whole, hashed = effective_params(params, **evaluation, solver_config=config)
+            hashed = Evaluation(params, **evaluation, solver_config=config).key
             own = seeds_of(method, seeds) if seeds is not None else seeds_of(method)
             rows.append((dataset, method, hashed, json.dumps(params, sort_keys=True), f"{root}/{method}/{hashed[-12:]}", ",".join(str(s) for s in own)))
     return spark.createDataFrame(rows, "dataset string, method string, params_hash string, params_json string, records_dir string, seeds string")

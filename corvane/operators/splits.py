@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 from datetime import UTC, datetime
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,20 +38,6 @@ def stratified_half_split(pool: DataFrame, seed: int = 42) -> DataFrame:
     return pool.select("node_id", "label", F.when(place <= cut, "val").otherwise("test").alias("split"))
 
 
-def shuffled_half_split(pool: list[int], labels: dict[int, int], rng: np.random.Generator) -> tuple[list[int], list[int], list[int]]:
-    """The same rule with a generator's own shuffles, for small pools: validation, test, and the labels of one node."""
-    val: list[int] = []
-    test: list[int] = []
-    alone = []
-    for label in sorted({labels[q] for q in pool}):
-        bucket = [q for q in pool if labels[q] == label]
-        rng.shuffle(bucket)
-        n = len(bucket) // 2 + (len(bucket) % 2 and len(val) < len(test))
-        alone += [label] * (len(bucket) == 1)
-        val, test = val + bucket[:n], test + bucket[n:]
-    return sorted(val), sorted(test), alone
-
-
 def complement_train(nodes: DataFrame) -> DataFrame:
     """``train`` is every node that is in neither other split."""
     return nodes.withColumn("train", ~(F.coalesce("val", F.lit(False)) | F.coalesce("test", F.lit(False))))

@@ -20,9 +20,9 @@ def graph(spark):
 
 def test_params():
     assert P.canonical_json({"b": 1, "a": [2]}) == '{"a":[2],"b":1}' and P.canonical_json(None) == "{}"
-    one, h = P.effective_params({"k": 3}, forbidden=[2, 1], solver_config={"max_in_edges": 0})
-    assert one["_eval"]["forbidden_hash"] == P.node_set_hash([1, 2]) != P.node_set_hash([1]) and h == P.params_hash(one)
-    assert P.resume_key(one) == P.resume_key(P.effective_params({"k": 3}, weighting="uniform", solver_config={"max_in_edges": 0})[0]) != P.resume_key(P.effective_params({"k": 3})[0])
+    one = P.Evaluation({"k": 3}, forbidden=(2, 1), solver_config={"max_in_edges": 0})
+    assert one.stored["_eval"]["forbidden_hash"] == P.node_set_hash([1, 2]) != P.node_set_hash([1]) and one.key == P.digest(json.dumps(one.stored, sort_keys=True))
+    assert one.question == P.Evaluation({"k": 3}, weighting="uniform", solver_config={"max_in_edges": 0}).question != P.Evaluation({"k": 3}).question
     assert len(P.grid("bp", k=[3, 4], kappa=[0, 1])) == 4 and P.grid("bfs", bfs_depth=[1], k=[3])[0]["bfs_use_k"] and P.seeds_of("bfs") == [None]
     for bad in ({"method": "x"}, {"method": "bp", "k": 1}, {"method": "bp", "k": 3, "kappa": -1}, {"method": "bfs"}, {"method": "avgdeg", "kappa": 1}, {"method": "avgdeg", "bfs_depth": 1}, {"method": "bp", "k": 3, "max_in_edges": -1}):
         with pytest.raises(ValueError):
@@ -93,13 +93,6 @@ def test_split_meta(spark, graph, tmp_path):
     splits.validate_complete(rec.union(rec.withColumns({"query_split": F.lit("test"), "query_node": F.lit(3).cast("long")})), {"d": back})
 
 
-def test_shuffled_half_split():
-    import numpy as np
-
-    val, test, alone = splits.shuffled_half_split(list(range(9)), {i: i % 3 if i < 8 else 7 for i in range(9)}, np.random.default_rng(0))
-    assert sorted(val + test) == list(range(9)) and abs(len(val) - len(test)) <= 1 and alone == [7]
-
-
 def test_sinks_and_parsers(spark, tmp_path):
     out = outputs.payload_line({"query_node": "5", "nodes": ["5", "x", "6"], "size": 3, "method": "bp", "wall_time_s": 1.5})
     runs = spark.createDataFrame([(f"API Queries Made : 12\n{out}\nend", 0)], "stdout string, returncode int")
