@@ -15,7 +15,7 @@ LINE_CLASSES = [
     ("prune", r"Pruning|Pruned node"), ("success", r"Converged|FINAL SOLUTION|Graph built|Solved\."), ("error", r"(?i)Error|Exception|Fatal|Blacklisting"),
 ]
 STAMP = r"^\[[\d\- :,]+\]\s*"
-#: Patterns of telemetry, in the order they are tried, and the fields that their groups set (the type tells how a group is read).
+#: The log lines that solvers print, as patterns in the order they are tried, and the fields that their groups set (the type tells how a group is read).
 TELEMETRY = [
     (r"=== DINKELBACH ITERATION (\d+) \| Lambda = ([\d.eE+-]+) ===", {"iteration": int, "lambda": float}),
     (r"Init Active Set\s*\|\s*Size:\s*(\d+)\s*\|\s*Density:\s*([\d.eE+-]+)", {"size": int, "lambda": float}),
