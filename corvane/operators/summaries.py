@@ -130,7 +130,7 @@ def bf_summary(runs: DataFrame, keys: tuple[str, ...] = ("method", "k", "kappa",
 def optima_lookup(runs: DataFrame, optima: DataFrame) -> DataFrame:
     """Runs with the enumerated optimum of their graph and cell (null keys match); cells without a feasible set (below 0) are marked to be skipped."""
     keys = ["n", "p", "seed", "k", "kappa"]
-    right = optima.select(*(F.col(c).alias(f"_{c}") for c in keys), "opt_value", "opt_size")
+    right = optima.select(*(F.col(c).alias(f"_{c}") for c in keys), *(c for c in ("opt_value", "opt_size", "opt_nodes", "opt_kappa") if c in optima.columns))
     same = None
     for c in keys:
         one = F.col(c).eqNullSafe(F.col(f"_{c}"))

@@ -589,4 +589,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 
 
-from . import experiments  # noqa: E402, F401  registers its own
+from . import checks, experiments  # noqa: E402, F401  register their own

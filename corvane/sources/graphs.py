@@ -33,6 +33,13 @@ FOLLOW_EDGES = """SELECT DISTINCT source, target FROM (
 ) x WHERE target IS NOT NULL AND source <> target"""
 FOLLOW_NODES = """SELECT user_id AS node_id, CAST(label AS INT) AS label, user_id % 5 <> 0 AS train, user_id % 10 = 0 AS val, user_id % 10 = 5 AS test FROM (
   SELECT CAST(user_id AS BIGINT) AS user_id, CAST(max(event_id) % 7 AS INT) AS label FROM events GROUP BY user_id) x"""
+#: Small graphs: the lines of each sixteen orders link eight nodes. A graph's query is the node of most arcs, of equals the largest.
+BLOCK = 8
+BLOCK_ARCS = """SELECT DISTINCT CAST(floor(l_orderkey / 16.0) AS INT) AS seed, CAST(l_partkey % 8 AS BIGINT) AS source, CAST(l_suppkey % 8 AS BIGINT) AS target
+  FROM lineitem WHERE l_partkey % 8 <> l_suppkey % 8"""
+BLOCK_META = f"""SELECT 8 AS n, floor(4 * m / 56.0) / 4 AS p, seed, query_node FROM (
+  SELECT seed, node AS query_node, sum(d) OVER (PARTITION BY seed) / 2 AS m, row_number() OVER (PARTITION BY seed ORDER BY d DESC, node DESC) AS r FROM (
+    SELECT seed, node, count(*) AS d FROM (SELECT seed, source AS node FROM ({BLOCK_ARCS}) a UNION ALL SELECT seed, target FROM ({BLOCK_ARCS}) b) c GROUP BY seed, node) d_) e WHERE r = 1"""
 VIEWS = {"part": (PART_EDGES, PART_NODES), "nation": (NATION_EDGES, NATION_NODES), "follow": (FOLLOW_EDGES, FOLLOW_NODES)}
 
 
@@ -48,6 +55,13 @@ def graph_view(spark: SparkSession, sf_dir: str, name: str) -> tuple[DataFrame,
     return cut(spark.sql(edges)), spark.sql(nodes)
 
 
+def block_graphs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """``meta (n, p, seed, query_node)`` and ``edges (n, p, seed, source, target)`` of many small graphs; p is the share of arcs in quarters."""
+    tables(spark, sf_dir, "lineitem")
+    meta = cut(spark.sql(BLOCK_META).selectExpr("n", "CAST(p AS DOUBLE) AS p", "seed", "query_node"))
+    return meta, cut(spark.sql(BLOCK_ARCS).join(meta.select("n", "p", "seed"), "seed").select("n", "p", "seed", "source", "target"))
+
+
 class Oracle(Protocol):
     """A source of a graph that is asked node by node: many at once, as a join."""
 
