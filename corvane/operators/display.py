@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import numbered
+
 
 def stable_sample(df: DataFrame, keys: list[str], item: str, size: Column, *salt: Column | str) -> DataFrame:
     """At most ``size`` items of each key, the same ones however often and wherever it is asked: those of the lowest digests."""
@@ -79,10 +81,19 @@ def ledger_key(column: str) -> Column:
     return F.coalesce(F.nullif(c.cast("string"), F.lit("N/A")).try_cast("int"), F.lit(-1)) if column in NUMERIC else F.lower(c.cast("string"))
 
 
+def _ledger_order(column: str, descending: bool) -> list:
+    key = ledger_key(column)
+    return [key.desc() if descending else key.asc(), "display_num", "query"]
+
+
 def ledger_sort(shown: DataFrame, column: str, descending: bool = False) -> DataFrame:
     """Core nodes in the order of a column; equals keep the result's order."""
-    key = ledger_key(column)
-    return core_only(shown).orderBy(key.desc() if descending else key.asc(), "display_num")
+    return core_only(shown).orderBy(*_ledger_order(column, descending)[:2])
+
+
+def ledger_places(shown: DataFrame, column: str, descending: bool = False) -> DataFrame:
+    """Adds each core node's ``place`` in the ledger of all pictures, equals by their number and query; sorted by ranges over tasks."""
+    return numbered(core_only(shown), [], _ledger_order(column, descending))
 
 
 def log_tail(lines: DataFrame, keys: list[str], seq: str = "seq", most: int = 2000) -> DataFrame:

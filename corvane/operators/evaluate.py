@@ -28,6 +28,7 @@ RECORD = (
     "quality_schema_version string, reused_solver_record boolean, reused_from_params_hash string, reused_from_split_hash string, ord long"
 )
 KEY = ["query_node", "method", "params_hash", "dataset", "split_hash", "seed"]
+MANIFEST = "dataset string, method string, params_hash string, params_json string, records_dir string, seeds string"
 #: Forbidden nodes that an evaluation can have.
 MAX_FORBIDDEN = 10_000_000
 RESUME = ["query_node", "method", "dataset", "resume_key", "seed"]
@@ -196,11 +197,20 @@ def sweep(spark: SparkSession, dataset: str, grids: dict[str, dict], seeds: list
             hashed = Evaluation(params, **evaluation, solver_config=config).key
             own = seeds_of(method, seeds) if seeds is not None else seeds_of(method)
             rows.append((dataset, method, hashed, json.dumps(params, sort_keys=True), f"{root}/{method}/{hashed[-12:]}", ",".join(str(s) for s in own)))
-    return spark.createDataFrame(rows, "dataset string, method string, params_hash string, params_json string, records_dir string, seeds string")
+    return spark.createDataFrame(rows, MANIFEST)
 
 
-def run_sweep(manifest: DataFrame, queries: dict[str, DataFrame], hashes: dict[str, str], edges: DataFrame, nodes: DataFrame, **evaluation) -> DataFrame:
-    """All records of a sweep, over its splits. The manifest is small; each of its cells is one evaluation over all queries."""
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(MANIFEST).option("header", True).option("escape", '"').csv(path)
+
+
+def run_sweep(manifest: DataFrame, queries: dict[str, DataFrame], hashes: dict[str, str], edges: DataFrame, nodes: DataFrame, manifest_path: str | None = None, **evaluation) -> DataFrame:
+    """All records of a sweep, over its splits. The manifest is small; each of its cells is one evaluation over all queries.
+
+    It is written at ``manifest_path`` before the first cell is run, for ``read_manifest`` to take a sweep up again.
+    """
+    if manifest_path:
+        manifest.coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').csv(manifest_path)
     out = None
     for row in manifest.collect():
         for seed in row.seeds.split(","):

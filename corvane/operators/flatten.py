@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, NumericType, StructType
 
+from .ranking import numbered
 from .records import finite, size_bucket
 
 #: Field names of records, as they are written by other tools.
@@ -183,10 +184,16 @@ def collect_cells(df: DataFrame, split: str, hard: DataFrame | None = None, orde
     return rows.withColumn("_r", F.row_number().over(last)).where("_r = 1").drop("_r", "_o")
 
 
-def group_records(df: DataFrame, split: str, *fields: str) -> DataFrame:
-    """One row per method, parameter hash and seed: its records of a split as an array in query order."""
-    rows = F.array_sort(F.collect_list(F.struct("query_node", *fields)))
-    return df.where(F.col("query_split") == split).groupBy("method", "params_hash", "seed").agg(rows.alias("records"), F.count("*").alias("n_records"))
+def group_records(df: DataFrame, split: str, *fields: str, stretch: int = 10_000) -> DataFrame:
+    """Records of a split per method, parameter hash and seed, as arrays in query order; ``first`` is the place of an array's first record.
+
+    An array has ``stretch`` records at most, so a cell of any size is as many rows as it needs.
+    """
+    keys, item = ["method", "params_hash", "seed"], ["query_node", *fields]
+    rows = numbered(df.where(F.col("query_split") == split).select(*keys, *item), keys, item)
+    arrays = F.array_sort(F.collect_list(F.struct(*item)))
+    first = (F.floor((F.col("place") - 1) / stretch) * stretch + 1).cast("long").alias("first")
+    return rows.groupBy(*keys, first).agg(arrays.alias("records"), F.count("*").alias("n_records"))
 
 
 def wrong_depth1_queries(df: DataFrame) -> DataFrame:

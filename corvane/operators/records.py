@@ -116,6 +116,15 @@ def wilson_interval(successes: Column, n: Column, z: float = 1.959963984540054)
     return F.greatest(centre - span, F.lit(0.0)), F.least(centre + span, F.lit(1.0))
 
 
+def recorded_grid(df: DataFrame, key: str, *names: str) -> DataFrame:
+    """All combinations of the values (null is one) that each ``key`` has on record for a few parameters: joins of their distinct values."""
+    grid = None
+    for name in names:
+        one = df.select(key, name).distinct()
+        grid = one if grid is None else grid.join(one, key)
+    return grid
+
+
 def param_grid(spark: SparkSession, **values: list) -> DataFrame:
     """All combinations of a few parameter values."""
     df = None

@@ -150,8 +150,45 @@ def cut_qualities(shown: DataFrame) -> DataFrame:
     return _solve(shown, solve, "query long, edge_connectivity long, ncut double, lambda2 double, bridge_free_size long, two_connected boolean")
 
 
+def internal_ncuts(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """``query, int_ncut``: the normalised minimum cut of each community's own links; 0 where it falls apart."""
+
+    def solve(adj, q):
+        return [{"query": q, "int_ncut": kernels.internal_ncut(kernels.support(adj), set(adj))}]
+
+    return _solve(inside(edges, members), solve, "query long, int_ncut double")
+
+
+def without_trees(edges: DataFrame, rounds: int = 20) -> DataFrame:
+    """Arcs without the trees that hang from the rest: nodes with one neighbour are taken off, round by round.
+
+    No cycle and no path between nodes that stay is lost, after however many rounds.
+    """
+    links = expand.cut(expand.undirected(edges))
+    for _ in range(rounds):
+        ends = links.groupBy("node").agg(F.count("*").alias("n")).where("n < 2").select("node")
+        after = expand.cut(links.join(ends, "node", "left_anti").join(ends.withColumnRenamed("node", "neighbour"), "neighbour", "left_anti").select("node", "neighbour"))
+        same, links = after.count() == links.count(), after
+        if same:
+            break
+    keep = links.select("node").distinct()
+    plain = edges.where("source <> target").select("source", "target").distinct()
+    return plain.join(keep.withColumnRenamed("node", "source"), "source", "left_semi").join(keep.withColumnRenamed("node", "target"), "target", "left_semi").select("source", "target")
+
+
 def query_pool(edges: DataFrame, least: int = 5) -> DataFrame:
-    """Pure sources whose bridge-free component in what they reach has at least ``least`` nodes."""
-    from .expand import pure_sources
+    """Pure sources whose bridge-free component in what they reach has at least ``least`` nodes.
+
+    Only what lies on cycles or between them is revealed, and only to sources with two links into it: others have no such component.
+    """
+    if least < 2:
+        raise ValueError("a pool needs components of two nodes or more")
+    core = expand.cut(without_trees(edges))
+    able = core.groupBy(F.col("source").alias("query")).agg(F.count("*").alias("n")).where("n > 1").select("query")
+    asked = expand.cut(expand.pure_sources(edges).join(able, "query", "left_semi"))
+
+    def solve(adj, q):
+        return [{"query": q, "bridge_free_size": len(kernels.bridge_free_component(kernels.support(adj), q))}]
 
-    return cut_qualities(reveal(edges, pure_sources(edges))).where(F.col("bridge_free_size") >= least).select("query", "bridge_free_size")
+    shown = reveal(core, asked)
+    return _solve(shown, solve, "query long, bridge_free_size long").where(F.col("bridge_free_size") >= least)

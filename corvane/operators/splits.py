@@ -8,6 +8,7 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ranking import within
 from .records import set_hash
 
 #: What manifests of splits say, as other tools expect it.
@@ -18,6 +19,10 @@ SPLIT_STRATEGY = "label_stratified_50_50_out_2edge_component_eligible"
 HARD_CRITERION = "bfs_depth1_label_vote_wrong_outgoing"
 
 
+#: Lines of a digest: it is one text, made in one task.
+MAX_HASHED = 20_000_000
+
+
 def stratified_half_split(pool: DataFrame, seed: int = 42) -> DataFrame:
     """``node_id, label, split``: half of each label's nodes are ``val``, half ``test``.
 
@@ -44,21 +49,28 @@ def complement_train(nodes: DataFrame) -> DataFrame:
 
 
 def split_hashes(nodes: DataFrame) -> DataFrame:
-    """``split, size, hash`` of the three splits (empty ones too)."""
+    """``split, size, hash`` of the three splits (empty ones too), of at most ``MAX_HASHED`` nodes."""
+    nodes = within(nodes, [], MAX_HASHED, "hashes of splits")
     flags = F.explode(F.array(*(F.struct(F.lit(s).alias("split"), F.coalesce(F.col(s), F.lit(False)).alias("on")) for s in ("train", "val", "test"))))
     rows = nodes.select("node_id", flags.alias("f")).select("node_id", "f.*")
     return rows.groupBy("split").agg(F.count_if("on").alias("size"), set_hash(F.collect_list(F.when(F.col("on"), F.col("node_id").cast("long")))).alias("hash"))
 
 
 def edges_hash(edges: DataFrame) -> DataFrame:
-    """One row: the digest of the sorted edge list, one ``u,v`` a line. It is one text, so edges meet in one task; for graphs that fit it."""
+    """One row: the digest of the sorted edge list, one ``u,v`` a line. It is one text, so edges meet in one task; more than ``MAX_HASHED`` are an error."""
+    edges = within(edges, [], MAX_HASHED, "hash of edges")
     pairs = F.array_sort(F.collect_list(F.struct(F.col("source").cast("long").alias("u"), F.col("target").cast("long").alias("v"))))
     lines = F.array_join(F.transform(pairs, lambda p: F.concat(p.u.cast("string"), F.lit(","), p.v.cast("string"))), "\n")
     return edges.agg(F.concat(F.lit("sha256:"), F.sha2(lines, 256)).alias("edges_hash"), F.count("*").alias("num_edges"))
 
 
+def set_hashes(nodes: DataFrame, by: str = "label") -> DataFrame:
+    """``by, members, hash`` of each label's set of nodes; a set of more than ``MAX_HASHED`` is an error."""
+    return within(nodes, [by], MAX_HASHED, "hashes of sets").groupBy(by).agg(F.count("*").alias("members"), set_hash(F.collect_list(F.col("node_id").cast("long"))).alias("hash"))
+
+
 def set_row(nodes: DataFrame, column: str = "node_id") -> dict:
-    row = nodes.agg(F.count("*").alias("size"), set_hash(F.collect_list(F.col(column).cast("long"))).alias("hash")).first()
+    row = within(nodes, [], MAX_HASHED, "hash of a set").agg(F.count("*").alias("size"), set_hash(F.collect_list(F.col(column).cast("long"))).alias("hash")).first()
     return {"size": row["size"], "hash": row["hash"]}
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.branching import Limits
-from corvane.operators import dense, expand, metrics, records, solve, votes
+from corvane.operators import dense, expand, metrics, records, solve, splits, votes
 from corvane.sources import graphs, papers
 from corvane.streaming import packets
 
@@ -305,7 +305,7 @@ def hard_subset(spark, d):
 @_query(f"WITH n AS ({graphs.PART_NODES}) SELECT label, count(*) AS members, sha256(string_agg(CAST(node_id AS VARCHAR), chr(10) ORDER BY node_id)) AS digest FROM n GROUP BY label")
 def set_hashes(spark, d):
     nodes = graphs.graph_view(spark, d, "part")[1]
-    return nodes.groupBy("label").agg(F.count("*").alias("members"), F.substring(records.set_hash(F.collect_list("node_id")), 8, 64).alias("digest"))
+    return splits.set_hashes(nodes).select("label", "members", F.substring("hash", 8, 64).alias("digest"))
 
 
 @_query(f"WITH n AS ({graphs.PART_NODES}) SELECT label, count(*) AS c, row_number() OVER (ORDER BY count(*) DESC, label) AS place FROM n GROUP BY label")
@@ -367,12 +367,12 @@ def first_per_query(spark, d):
 
 
 @_query(f"""{_R}, done AS (SELECT dataset, seed, query_node, metric FROM (SELECT *, row_number() OVER (PARTITION BY dataset, seed, query_node ORDER BY metric, ord) AS rk FROM r WHERE split = 'val' AND NOT capped) x WHERE rk = 1),
-todo AS (SELECT DISTINCT dataset, seed, query_node FROM r WHERE split = 'val') SELECT count(d.metric) AS reused, count(*) - count(d.metric) AS to_do FROM todo t LEFT JOIN done d ON t.dataset = d.dataset AND t.seed IS NOT DISTINCT FROM d.seed AND t.query_node = d.query_node""")
+todo AS (SELECT DISTINCT dataset, seed, query_node FROM r WHERE split = 'val') SELECT t.dataset, t.seed, t.query_node, d.metric AS reused FROM todo t LEFT JOIN done d ON t.dataset = d.dataset AND t.seed IS NOT DISTINCT FROM d.seed AND t.query_node = d.query_node""")
 def solver_resume_join(spark, d):
     r = _records(spark, d).where("split = 'val'")
     keys = ["dataset", "seed", "query_node"]
     hit, left = records.resume_join(r.select(*keys).distinct(), r.where("NOT capped").select(*keys, "metric", "ord"), keys, [F.asc("metric"), F.asc("ord")])
-    return hit.agg(F.count("*").alias("reused")).crossJoin(left.agg(F.count("*").alias("to_do")))  # one row each
+    return hit.select(*keys, F.col("metric").alias("reused")).unionByName(left.select(*keys, F.lit(None).alias("reused")))
 
 
 @_query(f"{_R} SELECT dataset, CASE WHEN size <= 5 THEN 'small' WHEN size <= 20 THEN 'medium' ELSE 'large' END AS size_bucket, count(*) AS n FROM r GROUP BY 1, 2")
@@ -389,9 +389,10 @@ def wilson_interval(spark, d):
     return c.select("dataset", F.round(lo, 9).alias("lo"), F.round(hi, 9).alias("hi"))
 
 
-@_query("SELECT k, kappa FROM (VALUES (3), (4), (5)) a(k), (VALUES (0), (1), (2)) b(kappa)")
+@_query(f"{_R} SELECT method, k, seed, capped FROM (SELECT DISTINCT method, size AS k FROM r) a JOIN (SELECT DISTINCT method, seed FROM r) b USING (method) JOIN (SELECT DISTINCT method, capped FROM r) c USING (method)")
 def param_grid(spark, d):
-    return records.param_grid(spark, k=[3, 4, 5], kappa=[0, 1, 2]).select(F.col("k").cast("int").alias("k"), F.col("kappa").cast("int").alias("kappa"))
+    """Every combination of the parameters that a method has on record."""
+    return records.recorded_grid(_records(spark, d).withColumnRenamed("size", "k"), "method", "k", "seed", "capped")
 
 
 @_query(f"{_R} SELECT query_node, ord, metric, max(metric) OVER (PARTITION BY query_node ORDER BY ord, metric, size ROWS UNBOUNDED PRECEDING) AS best FROM r")
@@ -503,6 +504,20 @@ def cut_qualities(spark, d):
     return solve.cut_qualities(solve.reveal(edges, queries, 1))
 
 
+@_query()
+def openalex_ncut(spark, d):
+    """Normalised minimum cut inside every source's one-hop ball."""
+    edges, _, members = _balls(spark, d)
+    return solve.internal_ncuts(edges, members).select("query", F.round("int_ncut", 9).alias("int_ncut"))
+
+
+@_query()
+def query_pool(spark, d):
+    """Of the pure sources of citing suppliers and orders, those that lie on cycles of what they reach."""
+    graphs.tables(spark, d, "lineitem")
+    return solve.query_pool(expand.cut(spark.sql(f"{_CITES} UNION ALL SELECT l_suppkey + 2000000000, l_orderkey FROM lineitem WHERE l_linenumber = 7")))
+
+
 @_query()
 def incumbent_emit(spark, d):
     """The trajectory of incumbents of each solve, one row an incumbent."""
