@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def read_records(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """Records of a tree of ``records.ndjson`` files, and the lines that are none. Blank lines and ``.bak`` folders are left out."""
-    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "records.ndjson").text(path)
+def read_records(spark: SparkSession, path: str, schema: str, name: str = "records.ndjson") -> tuple[DataFrame, DataFrame]:
+    """Records of a tree of files of a ``name`` (a pattern), and the lines that are none. Blank lines and ``.bak`` folders are left out."""
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", name).text(path)
     lines = lines.where(~F.col("_metadata.file_path").rlike(r"\.bak/")).where(F.trim("value") != "")
     parsed = lines.select("value", F.from_json("value", f"{schema}, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"}).alias("r"))
     return parsed.where("r._corrupt IS NULL").select("r.*").drop("_corrupt"), parsed.where("r._corrupt IS NOT NULL").select("value")

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.functions.params import QUALITY_SCHEMA
 from corvane.operators import display, evaluate, flatten, records, splits, statistics, summaries
 from corvane.sources import graphs, outputs, papers
 
@@ -523,7 +524,8 @@ def cache_lookup(spark, d):
 
 
 @query(f"""{_F}, v AS (SELECT DISTINCT dataset, method, k, kappa, depth FROM f), s AS (SELECT string_agg(CAST(seed AS VARCHAR), ',' ORDER BY seed) AS seeds FROM (SELECT DISTINCT seed FROM f WHERE seed IS NOT NULL) y)
-SELECT DISTINCT a.dataset, a.method, b.k, c.kappa, e.depth, CASE WHEN a.method = 'bp' THEN seeds ELSE 'None' END AS seeds FROM v a JOIN v b ON b.dataset = a.dataset AND b.method = a.method JOIN v c ON c.dataset = a.dataset AND c.method = a.method JOIN v e ON e.dataset = a.dataset AND e.method = a.method, s""")
+SELECT DISTINCT a.dataset, a.method, b.k, c.kappa, e.depth, 'sha256:' || sha256('{{"_eval": {{"forbidden_hash": "sha256:' || sha256('') || '", "max_fallback_hops": 10, "quality_schema_version": "{QUALITY_SCHEMA}", "solver_config": {{"max_in_edges": 0}}, "weighting": "distance"}}, ' ||
+  CASE a.method WHEN 'bp' THEN '"k": ' || b.k || ', "kappa": ' || c.kappa WHEN 'bfs' THEN '"bfs_depth": ' || e.depth || ', "bfs_use_k": true, "k": ' || b.k ELSE '"k": ' || b.k END || '}}') AS params_hash, CASE WHEN a.method = 'bp' THEN seeds ELSE 'None' END AS seeds FROM v a JOIN v b ON b.dataset = a.dataset AND b.method = a.method JOIN v c ON c.dataset = a.dataset AND c.method = a.method JOIN v e ON e.dataset = a.dataset AND e.method = a.method, s""")
 def sweep(spark, d):
     """The manifests of sweeps over the parameters and seeds that each dataset's methods have on record: a few values each."""
     f = _flat(spark, d)
@@ -539,7 +541,7 @@ def sweep(spark, d):
         one = evaluate.sweep(spark, dataset, {m: {n: sorted(v) for n, v in values.items()} for m, values in methods.items()}, seeds, "/records")
         out = one if out is None else out.unionByName(one)
     p = F.from_json("params_json", "k int, kappa int, bfs_depth int")
-    return out.select("dataset", "method", p.k.alias("k"), p.kappa.alias("kappa"), p.bfs_depth.alias("depth"), "seeds")
+    return out.select("dataset", "method", p.k.alias("k"), p.kappa.alias("kappa"), p.bfs_depth.alias("depth"), "params_hash", "seeds")
 
 
 @query()

@@ -604,4 +604,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 
 
-from . import checks, experiments  # noqa: E402, F401  register their own
+from . import checks, experiments, files  # noqa: E402, F401  register their own
