@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.branching import Limits
-from corvane.operators import dense, expand, metrics, records, solve, splits, votes
+from corvane.operators import dense, evaluate, expand, metrics, records, solve, splits, votes
 from corvane.sources import graphs, papers
 from corvane.streaming import packets
 
@@ -302,6 +302,20 @@ def hard_subset(spark, d):
     return votes.hard_subset(*graphs.graph_view(spark, d, "part"))
 
 
+@_query(f"""{_graph('part')}, {_ASKED}, t AS (SELECT node_id, label FROM nodes WHERE node_id % 300 = 1), ball AS (SELECT query, query AS node FROM asked UNION SELECT a.query, e.target FROM asked a JOIN edges e ON e.source = a.query),
+two AS (SELECT DISTINCT b.query, e.target AS node FROM ball b JOIN edges e ON e.source = b.node WHERE NOT EXISTS (SELECT 1 FROM ball c WHERE c.query = b.query AND c.node = e.target)),
+v1 AS (SELECT query, label FROM ball JOIN t ON node_id = node WHERE node <> query), v2 AS (SELECT query, label FROM two JOIN t ON node_id = node), g AS (SELECT label FROM t GROUP BY label ORDER BY count(*) DESC, label LIMIT 1),
+p1 AS ({_VOTE.format(score='count(*)', votes='v1')}), p2 AS ({_VOTE.format(score='count(*)', votes='v2')}), z AS (SELECT query, count(*) AS size FROM ball GROUP BY query)
+SELECT z.query AS query_node, n.label AS query_label, coalesce(p1.predicted, p2.predicted, (SELECT label FROM g)) AS predicted_label, p1.predicted IS NULL AS fallback_used, size, size AS oracle_queries, false AS hard_cap_hit
+FROM z JOIN nodes n ON n.node_id = z.query LEFT JOIN p1 ON p1.query = z.query LEFT JOIN p2 ON p2.query = z.query""")
+def evaluate_labels(spark, d):
+    """Ids divisible by 100 evaluated where few nodes are labelled: some have voters in their ball, some only two hops on, some none."""
+    edges, nodes, queries = _searches(spark, d)
+    few = nodes.withColumn("train", F.col("node_id") % 300 == 1)
+    found = evaluate.evaluate_nodes(queries.withColumnRenamed("query", "query_node"), edges, few, "bfs", {"bfs_depth": 1, "k": 1}, "part", "val", "s0", hops=2, qualities=False)
+    return found.select("query_node", "query_label", "predicted_label", "fallback_used", "size", "oracle_queries", "hard_cap_hit")
+
+
 @_query(f"WITH n AS ({graphs.PART_NODES}) SELECT label, count(*) AS members, sha256(string_agg(CAST(node_id AS VARCHAR), chr(10) ORDER BY node_id)) AS digest FROM n GROUP BY label")
 def set_hashes(spark, d):
     nodes = graphs.graph_view(spark, d, "part")[1]
